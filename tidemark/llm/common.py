@@ -51,6 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plus(df: DataFrame, **columns: str) -> str:
+    """The schema of df and further columns, as a DDL string."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` {t}" for n, t in columns.items()])
+
+
 def doc_bucket(column: str, n: int) -> F.Column:
     """crc32 of an id as text, modulo n; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op10_byte_bpe
 from .licenses import op8_license_scan
+from .token_shards import op6_token_shards
 
-QUERIES = {"op8_license_scan": op8_license_scan}
+QUERIES = {f.__name__: f for f in (op6_token_shards, op8_license_scan, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
