@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .decontaminate import op3_decontaminate
 from .licenses import op8_license_scan
+from .near_dup import op5_near_dup
+from .quality import op2_quality
 from .token_shards import op6_token_shards
 
-QUERIES = {f.__name__: f for f in (op6_token_shards, op8_license_scan, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_decontaminate, op5_near_dup, op6_token_shards, op8_license_scan, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
