@@ -5,9 +5,12 @@ from __future__ import annotations
 from .byte_bpe import op10_byte_bpe
 from .decontaminate import op3_decontaminate
 from .licenses import op8_license_scan
+from .line_dedup import ORACLE as LINE_DEDUP
+from .line_dedup import op9_line_dedup
+from .lm_score import op7_lm_score
 from .near_dup import op5_near_dup
 from .quality import op2_quality
 from .token_shards import op6_token_shards
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_decontaminate, op5_near_dup, op6_token_shards, op8_license_scan, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_decontaminate, op5_near_dup, op6_token_shards, op7_lm_score, op8_license_scan, op9_line_dedup, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op9_line_dedup": LINE_DEDUP}
