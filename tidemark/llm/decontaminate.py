@@ -212,5 +212,12 @@ def matches(w: Words, one: Block, short: set[int], least: float) -> Iterator[tup
         yield d, hit
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs that hold no item. Rows are told apart by their place in the input, which must be repeatable."""
+    rows = docs.withColumn("_tm_uid", F.monotonically_increasing_id())
+    found = find(rows.drop(key).withColumnRenamed("_tm_uid", key), benchmark, key, text, **how).select(F.col(key).alias("_tm_bad")).distinct()
+    return rows.join(found, rows["_tm_uid"] == found["_tm_bad"], "left_anti").drop("_tm_uid")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
