@@ -1 +1 @@
-
+"""Set-at-a-time operators over event data."""

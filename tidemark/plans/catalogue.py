@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import scalar_queries, state_queries
+
+QUERIES = scalar_queries.QUERIES | state_queries.QUERIES
+ORACLES = scalar_queries.ORACLES | state_queries.ORACLES
