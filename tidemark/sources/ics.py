@@ -59,7 +59,7 @@ def parse(resources: DataFrame) -> DataFrame:
     rows = marked.withColumn("blocks", F.when(F.col("error").isNull(), blocks).otherwise(F.array(F.lit("")))).select("source_id", "url", "raw_content_hash", "error", F.posexplode("blocks").alias("row", "b"))
     b = F.col("b")
     (start, start_zone, all_day), (end, end_zone, _) = local_time(b, "DTSTART"), local_time(b, "DTEND")
-    lasting = F.timestampadd("SECOND", duration(b), start)
+    lasting = F.timestamp_add("SECOND", duration(b), start)
     number = F.coalesce(words(b, "X-ID"), F.concat(F.lit("ics:"), F.nullif(F.regexp_extract("url", r"(?i)-(\d+)-\d+\.ical$", 1), F.lit(""))))
     person = F.coalesce(parameter(b, "ORGANIZER", "CN"), F.nullif(F.trim(F.regexp_replace(value(b, "ORGANIZER"), "(?i)^mailto:", "")), F.lit("")))
     status = F.upper(words(b, "STATUS"))

@@ -72,7 +72,8 @@ def dated_list(nodes: DataFrame) -> DataFrame:
     )
     said = F.nullif(F.trim(F.regexp_extract("description", "Veranstalter:([^|]*)", 1)), F.lit(""))
     when = bodies.select(*PAGE, F.col("d_n").alias("row"), "when")
-    return rows.join(when, [*PAGE, "row"]).withColumn("organizer", said).withColumn("ident", F.nullif(F.regexp_extract("link", r"[?&]vDetail=([^&#]+)", 1), F.lit("")))
+    rest = F.when(F.startswith(F.col("description"), F.col("title")), F.nullif(F.trim(F.substring("description", F.length("title") + 1, F.length("description"))), F.lit(""))).otherwise(F.col("description"))
+    return rows.withColumn("description", rest).join(when, [*PAGE, "row"]).withColumn("organizer", said).withColumn("ident", F.nullif(F.regexp_extract("link", r"[?&]vDetail=([^&#]+)", 1), F.lit("")))
 
 
 def cards(nodes: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def cards(nodes: DataFrame) -> DataFrame:
     ).join(when, [*PAGE, "block"])
     none = F.lit(None).cast("string")
     rest = F.nullif(F.regexp_replace(F.replace("body", F.col("when"), F.lit("")), "^[ :]+", ""), F.lit(""))
-    return rows.select(*PAGE, "row", "title", "when", none.alias("time"), none.alias("location"), rest.alias("description"), none.alias("organizer"), "link", text.slug(urls.path(F.col("link"))).alias("ident"))
+    return rows.select(*PAGE, "row", "title", "when", none.alias("time"), none.alias("location"), rest.alias("description"), none.alias("organizer"), "link", F.nullif(text.slug(F.regexp_replace("link", "^[a-zA-Z]+://[^/]*|[?#].*$", "")), F.lit("")).alias("ident"))
 
 
 def paragraphs(nodes: DataFrame, style: str = "Kaushan Script", ahead: int = 4) -> DataFrame:
@@ -121,7 +122,7 @@ def finish(raw: DataFrame, pages: DataFrame, profile: str) -> DataFrame:
     rows = raw.withColumn("span", span).withColumn("minutes", minutes).filter("span is not null and title is not null").join(pages.select(*PAGE, F.sha2("body", 256).alias("raw_content_hash")), PAGE)
     midnight = F.col("span.first").cast("timestamp_ntz")
     timed = F.col("minutes").isNotNull()
-    start = F.when(timed, F.convert_timezone(F.lit(dates.ZONE), F.lit("UTC"), F.timestampadd("MINUTE", "minutes", midnight)).cast("timestamp")).otherwise(dates.berlin_midnight(F.col("span.first")))
+    start = F.when(timed, F.convert_timezone(F.lit(dates.ZONE), F.lit("UTC"), F.timestamp_add("MINUTE", F.col("minutes"), midnight)).cast("timestamp")).otherwise(dates.berlin_midnight(F.col("span.first")))
     own = F.coalesce("ident", F.concat(text.slug(F.col("title")), F.lit(":"), dates.iso_berlin(start)))
     none = F.lit(None).cast("string")
     return rows.select(
