@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is hashed in pieces of about this many bytes (one document at least), which bounds a task's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 BYTE_BASE = U64(0x9E3779B97F4A7C15)
