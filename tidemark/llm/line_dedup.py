@@ -76,8 +76,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_lines:
     """docs with their texts as they are after removal, n_lines (not blank, before) and n_removed."""
     single = suffix_array(line_symbols(docs, key, text), 1)
     runs = later(deepen(single, least_lines)).select("uid", F.explode(F.sequence("k", F.col("k") + least_lines - 1)).alias("k"))
-    gone = runs.unionByName(later(single.filter("long"))).groupBy("uid").agg(F.collect_set("k").alias("_tm_gone"))
-    rows = docs.withColumn("uid_", F.monotonically_increasing_id()).join(gone, F.col("uid_") == gone["uid"], "left").drop("uid", "uid_")
+    gone = runs.unionByName(later(single.filter("long"))).groupBy(F.col("uid").alias("_tm_found")).agg(F.collect_set("k").alias("_tm_gone"))
+    rows = docs.withColumn("_tm_uid", F.monotonically_increasing_id()).join(gone, F.col("_tm_uid") == F.col("_tm_found"), "left").drop("_tm_uid", "_tm_found")
     lines, places, out = F.split(F.col(text), "\n", -1), filled(F.col(text)), F.col("_tm_gone")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(out, lambda k: F.get(places, k)))
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")

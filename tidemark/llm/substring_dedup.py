@@ -31,7 +31,7 @@ from .common import U64, mix
 WINDOW = 35
 FILTER_BYTES = 32 << 20
 #: Words that a task packs at a time.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 OTHER_BASE = U64(0xA24BAED4963EE407)
 PACKED = "bucket int, uids binary, counts binary, keys binary, gaps binary"
 
@@ -273,7 +273,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
     """docs with their texts as they are after removal, n_words (before) and n_removed."""
     spark, block = docs.sparkSession, (window + 1) // 2
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
+    buckets = 4 * parts
     rows = docs.drop("n_words", "n_removed").withColumn("_tm_uid", F.monotonically_increasing_id())
     texts = rows.select("_tm_uid", F.col(text).alias("text"))
     anchors = answered(texts.mapInArrow(_rolling(window, block, buckets), PACKED), _anchors("<u4", block, parts))
@@ -282,7 +282,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
     touched = texts.mapInArrow(_only(members, True), texts.schema).join(anchors, F.col("_tm_uid") == F.col("uid")).select("uid", "text", "at")
     windows = answered(touched.mapInArrow(_extended(window, block, buckets), PACKED), _twice("<u8", parts))
 
-    inside = rows.mapInArrow(_only(members, True), rows.schema).join(windows.withColumnRenamed("at", "_tm_at"), F.col("_tm_uid") == F.col("uid"), "left").drop("uid")
+    inside = rows.mapInArrow(_only(members, True), rows.schema).join(windows.select(F.col("uid").alias("_tm_found"), F.col("at").alias("_tm_at")), F.col("_tm_uid") == F.col("_tm_found"), "left").drop("_tm_found")
     outside = rows.mapInArrow(_only(members, False), rows.schema).withColumn("_tm_at", F.lit(None).cast("binary"))
     joined = inside.unionByName(outside).drop("_tm_uid")
     return joined.mapInArrow(_finish(window, text), common.plus(joined.drop("_tm_at"), n_words="long", n_removed="long"))
