@@ -273,14 +273,14 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
     """docs with their texts as they are after removal, n_words (before) and n_removed."""
     spark, block = docs.sparkSession, (window + 1) // 2
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    buckets, told = 2 * parts, max(1, parts // 4)  # an answer is packed for each bucket and each of the fewer parts
     rows = docs.drop("n_words", "n_removed").withColumn("_tm_uid", F.monotonically_increasing_id())
     texts = rows.select("_tm_uid", F.col(text).alias("text"))
-    anchors = answered(texts.mapInArrow(_rolling(window, block, buckets), PACKED), _anchors("<u4", block, parts))
+    anchors = answered(texts.mapInArrow(_rolling(window, block, buckets), PACKED), _anchors("<u4", block, told))
 
     members = spark.sparkContext.broadcast(Members(anchors.select("uid"), parts))  # at most FILTER_BYTES
     touched = texts.mapInArrow(_only(members, True), texts.schema).join(anchors, F.col("_tm_uid") == F.col("uid")).select("uid", "text", "at")
-    windows = answered(touched.mapInArrow(_extended(window, block, buckets), PACKED), _twice("<u8", parts))
+    windows = answered(touched.mapInArrow(_extended(window, block, buckets), PACKED), _twice("<u8", told))
 
     inside = rows.mapInArrow(_only(members, True), rows.schema).join(windows.select(F.col("uid").alias("_tm_found"), F.col("at").alias("_tm_at")), F.col("_tm_uid") == F.col("_tm_found"), "left").drop("_tm_found")
     outside = rows.mapInArrow(_only(members, False), rows.schema).withColumn("_tm_at", F.lit(None).cast("binary"))
