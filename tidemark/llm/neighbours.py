@@ -30,7 +30,7 @@ ROUNDS = 6
 #: Random projections that the graph starts from, and nodes that lie together on one.
 TREES, LEAF = 4, 48
 #: Rounds end when less than this share of the edges is new.
-SETTLED = 0.01
+SETTLED = 0.02
 BEAM, WALKS, ENTRIES = 48, 12, 8
 
 EDGES = "array<struct<d:double,to:bigint,new:boolean>>"
@@ -114,30 +114,29 @@ def _compare(best: Best, ids: np.ndarray, v: np.ndarray, fresh: np.ndarray) -> N
 
 def start(points: DataFrame, dims: int, seed: int) -> DataFrame:
     """(node, to, d): candidates among nodes that lie together on random projections."""
-    found = None
-    for t in range(TREES):
-        lines = np.random.default_rng([seed, t]).normal(size=(2, dims))
+    lines = np.random.default_rng(seed).normal(size=(TREES, 2, dims))
 
-        def project(batches: Iterator[pa.RecordBatch], lines=lines) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = _stack(b.column(1)) @ lines.T
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], [*b.schema.names, "x", "y"])
-
-        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(DEGREE)
-            for b in batches:  # a batch is a strip; within it, neighbours on the other line
-                ids, v, y = b.column(0).to_numpy(), _stack(b.column(1)), b.column(3).to_numpy()
-                for lo in range(0, len(ids), 32 * LEAF):
-                    strip = lo + np.argsort(y[lo : lo + 32 * LEAF], kind="stable")
-                    for at in range(0, len(strip), LEAF // 2):
-                        leaf = strip[at : at + LEAF]
-                        _compare(best, ids[leaf], v[leaf], np.ones(len(leaf), bool))
-            yield from best.batches()
-
-        placed = points.mapInArrow(project, "node long, v binary, x double, y double")
-        one = placed.repartitionByRange("x", "node").sortWithinPartitions("x", "node").mapInArrow(leaves, "node long, to long, d double")
-        found = one if found is None else found.unionByName(one)
-    return found
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _stack(b.column(1))
+            for t, line in enumerate(lines):
+                at = v @ line.T
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), *b.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], ["tree", *b.schema.names, "x", "y"])
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(DEGREE)
+        for b in batches:  # sorted by tree and x: strips of them, and within a strip neighbours on the other line
+            tree, ids, v, y = b.column(0).to_numpy(), b.column(1).to_numpy(), _stack(b.column(2)), b.column(4).to_numpy()
+            ends = np.unique(np.concatenate([np.arange(0, len(ids), 32 * LEAF), np.flatnonzero(np.diff(tree)) + 1, [len(ids)]]))
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                strip = lo + np.argsort(y[lo:hi], kind="stable")
+                for at in range(0, len(strip), LEAF // 2):
+                    leaf = strip[at : at + LEAF]
+                    _compare(best, ids[leaf], v[leaf], np.ones(len(leaf), bool))
+        yield from best.batches()
+
+    placed = points.mapInArrow(project, "tree int, node long, v binary, x double, y double")
+    return placed.repartitionByRange("tree", "x", "node").sortWithinPartitions("tree", "x", "node").mapInArrow(leaves, "node long, to long, d double")
 
 
 def keep_nearest(edges: DataFrame, degree: int) -> DataFrame:
