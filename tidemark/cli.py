@@ -28,6 +28,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     config = configs.load(args.config)
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(f"{config.state}/checkpoints")
     state, failed = State(spark, config.state), False
     if args.command != "export":
         delays = {h: s[6] for s in config.sources for h in s[5]}
