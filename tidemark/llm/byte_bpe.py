@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Encodings of pieces that a worker remembers from now, and as many from before.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Pairs of tokens of which a worker remembers whether they may stand side by side.
+REMEMBERED_PAIRS = 200_000
+#: Rows of a text batch that are encoded at a time.
+ROWS = 1000
 #: Longer pieces are not remembered.
 REMEMBERED_CHARS = 40
 
@@ -50,7 +54,7 @@ class Vocabulary:
             self.trie.add_word(token.decode("latin-1"), r)
         self.pairs: dict[tuple[int, int], int] = {}  # what a pair merges into
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.shorter = [self._prefix(t) for t in self.bytes]
         for r in sorted(self.rank.values()):
             self._split(r)
@@ -94,11 +98,12 @@ class Vocabulary:
                 before, right = right + 1, b[0]
 
     def apart(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) > REMEMBERED_PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = self._stay(left, right)
+            known = self.fits[pair] = self._stay(left, right)
         return known
 
     def longest(self, text: str, piece: bytes, at: int) -> int:
@@ -171,17 +176,31 @@ def _with(batch: pa.RecordBatch, column: str, values: list, kind: pa.DataType) -
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], [*batch.schema.names, column])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each text, in one binary value as little-endian unsigned 32-bit integers."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each text, in one binary value as little-endian unsigned 32-bit integers.
+
+    With ``decoded``, also the bytes that decoding the ids gives, in the same pass: one Python worker a task, not two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(batch.schema.names.index(text))
-            yield _with(batch, ids, [one(t.as_py() or "") for t in texts], pa.binary())
+            found = [one(t.as_py() or "") for t in texts]
+            out = _with(batch, ids, found, pa.binary())
+            yield out if decoded is None else _with(out, decoded, [decode_ids(x, one.vocabulary.bytes) for x in found], pa.binary())
+
+    new = {ids: "binary"} | ({decoded: "binary"} if decoded else {})
+    kept = docs.drop(*new)
+    return kept.mapInArrow(run, common.plus(kept, **new))
+
 
-    kept = docs.drop(ids)
-    return kept.mapInArrow(run, common.plus(kept, **{ids: "binary"}))
+def decode_ids(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -189,9 +208,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(path)
-        for batch in batches:
+        for batch in _slices(batches):
             values = batch.column(batch.schema.names.index(ids))
-            yield _with(batch, decoded, [b"".join(map(token.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist())) for v in values], pa.binary())
+            yield _with(batch, decoded, [decode_ids(v.as_py() or b"", token) for v in values], pa.binary())
 
     kept = docs.drop(decoded)
     return kept.mapInArrow(run, common.plus(kept, **{decoded: "binary"}))
@@ -205,12 +224,11 @@ def _tokens(path: str) -> list[bytes]:
 
 
 def digest(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, by way of encode and decode."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; what is decoded comes from the ids."""
     import public_tokenizers as public
 
-    path = public.path(vocabulary)
-    ids = encode(docs.select("doc_id", "text"), path, public.PATTERN).drop("text")
-    return decode(ids, path).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = encode(docs.select("doc_id", "text"), public.path(vocabulary), public.PATTERN, decoded="decoded")
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
