@@ -37,7 +37,10 @@ KEYS_A_PART = 1 << 15
 #: Bits of a level for each key that is still without a place.
 GAMMA = 2
 LEVELS = 64
-REMEMBERED = 300_000
+#: Words that a worker remembers from now, and about as many from before.
+REMEMBERED = 250_000
+#: Punctuation that may be cut off from the word before it.
+CUT = re.compile(rb"(?<=[a-z])[.,](?=[\sa-z]|$)")
 
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8"), ("same", "<u4")])
 
@@ -117,8 +120,12 @@ def load_part(raw: bytes) -> tuple[PerfectHash, np.ndarray]:
 
 
 class WordEncoder:
-    """Encodes texts word by word with the tokenizers library. For a vocabulary whose splitting drops white space and
-    looks at nothing beyond it, that gives the ids of the whole text; words that were seen before cost a look-up."""
+    """Encodes texts word by word with the tokenizers library, remembering what it has seen.
+
+    That gives the ids of the whole text for a vocabulary that drops white space, ignores case, and never joins letters
+    with punctuation: then ASCII letters may be put in lower case first, and a comma or full stop that stands alone between
+    a letter and a space or letter may be cut off. Texts that could hold a special token are left as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,18 +133,36 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split)) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED and len(self.known):
-            self.known = {}
-            new = set(chain.from_iterable(split))
-        fresh = list(new)
-        for lo in range(0, len(fresh), 10_000):
-            some = fresh[lo : lo + 10_000]
-            self.known.update(zip(some, [np.array(x.ids, self.size).tobytes() for x in self.library.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+        self.border = next(((i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and "<|" in t.content), None)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        again = words & self.older.keys() if self.older else set()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(words - again)
+        for lo in range(0, len(new), 2_000):
+            some = new[lo : lo + 2_000]
+            self.known.update(zip(some, self._encode(some), strict=True))
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Words without special tokens go through the library as one text, with one in between."""
+        if self.border is None or any(b"<|" in w for w in words):
+            found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+            return [np.array(x.ids, self.size).tobytes() for x in found]
+        (whole,) = self.library.encode_batch_fast([self.border[1].join(w.decode() for w in words)], add_special_tokens=False)
+        ids = np.array(whole.ids, self.size)
+        at, raw, n = np.flatnonzero(ids == self.border[0]).tolist(), ids.tobytes(), self.size.itemsize
+        return [raw[a * n : b * n] for a, b in zip([0, *[x + 1 for x in at]], [*at, len(ids)], strict=True)]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"<|" in t else CUT.sub(rb" \g<0>", t.lower())).split() for t in texts]
+        words = set(chain.from_iterable(split))
+        self._learn(words - self.known.keys())
+        if not words <= self.known.keys():  # what was known has just become old
+            self._learn(words - self.known.keys())
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -164,7 +189,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
         for batch in batches:
             for lo, hi, data, offsets in common.text_chunks(batch.column(1)):
                 raw = data.tobytes()
-                found = encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+                found = encode([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
                 out = out or fs.open_output_stream(f"{name}.{task.taskAttemptId()}")
                 out.write(b"".join(chain.from_iterable((x, stop) for x in found)))
                 keys, rows = batch.column(0)[lo:hi].to_pylist(), []
