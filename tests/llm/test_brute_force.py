@@ -153,6 +153,38 @@ def test_op5_large_group_with_an_original(spark):
     assert {r.class_id for r in got if r.doc_id <= 1000} == {0} and sum(r.kept for r in got) == 51
 
 
+def test_op5_pairs_inside_a_large_group_of_half_alike_texts(spark):
+    rng = random.Random(7)
+    parts = [[f"p{i}w{j}" for j in range(25)] for i in range(12)]
+    rows, pairs = [], []
+    for i in range(500):
+        text = [w for k in sorted(rng.sample(range(12), 8)) for w in parts[k]]
+        own = list(text)
+        own[rng.randrange(200)] = f"o{i}"
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:
+            for at in (10, 70, 130, 190):
+                own[at] = f"c{i}"
+            rows.append((1000 + i, " ".join(own)))
+            pairs.append((i, 1000 + i))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    assert all(top(a) == top(b) for a, b in pairs)
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: top(i) for i in sets}
+
+
 def test_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 300).astype(np.uint64)

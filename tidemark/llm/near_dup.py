@@ -1,15 +1,18 @@
 """Near-duplicate documents by DartMinHash signatures, banded joins and exact verification.
 
-A text's elements are its 5-word shingles (all its words, if fewer), each with weight 1 + ln(count). Onto each element's
-weight axis hashed darts fall as a Poisson process in time; a text of total weight W looks at the darts before t / W that
-hit below its weights, about t of them, and keeps the earliest of each of K coordinates. Equal coordinates have the
-probability of weighted Jaccard similarity, at a cost that is the same for texts of any length.
+A text's elements are its distinct 5-word shingles (all its words, if fewer), each with weight 1, as in the verification.
+Onto each element's weight axis hashed darts fall as a Poisson process in time; a text of total weight W looks at the darts
+before t / W that hit below its weights, about t of them, and keeps the earliest of each of K coordinates. Equal coordinates
+have the probability of Jaccard similarity, at a cost that is the same for texts of any length.
 
 Texts that are equal are one node. Nodes that agree in a band of ROWS coordinates meet at the most central node of their
 bucket (the one whose buckets are largest: in a group of edited copies, the original), at the most central one of those
-that agree in the next band as well, and, in small buckets, at each other; so a bucket of any size gives a number of pairs
-that is linear in it. Pairs are verified by the exact Jaccard similarity of their shingle sets (``least`` or more), and
-what is linked becomes one class. A pair of similarity 0.8 shares a band with probability 0.9998.
+that agree in the next band as well, and, in small buckets, at each other. Pairs are verified by the exact Jaccard similarity of their
+shingle sets (``least`` or more), and what is linked becomes one class. A large bucket that is one class by then is settled.
+The nodes of all others go through an exact prefix-filter join: two sets of similarity ``least`` share one of their rarest
+shingles, so nodes meet at these, first one central node of each, then all that are still in different classes, as far as
+sizes, places and parity bitmaps (each an exact bound) allow ``least``. So no pair that shares a band is left out, in buckets
+of any size; a pair of similarity 0.8 shares one with probability 0.9998.
 
 Result: a row per document with class_id (the smallest id in the class), class_size, n_links (verified links of its text)
 and kept (true for one row of each class, that of the smallest id). A null text counts as empty; empty texts equal each
@@ -34,8 +37,14 @@ K, ROWS = 64, 4
 BANDS = K // ROWS
 #: Darts that a text looks at: so many leave a coordinate empty in about one text of fifty, which then looks further.
 DARTS = K * (np.log(K) + 4)
-#: In buckets of up to so many nodes all pairs are verified.
+#: In buckets of up to so many nodes all pairs are verified at once; larger ones meet at hubs first.
 SMALL = 16
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 8
+#: Nodes of one shingle that a row of the prefix join meets in one task.
+SALTED = 512
+#: Shingles that are unpacked at a time.
+UNPACKED = 1 << 18
 
 
 def shingles(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +114,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, offsets in common.text_chunks(b.column(3)):
             w = common.words(data, offsets)
-            doc, grams, counts = distinct(*shingles(w))
-            keys = bands(signatures(doc, grams, 1 + np.log(counts), hi - lo))
+            doc, grams, _ = distinct(*shingles(w))
+            keys = bands(signatures(doc, grams, np.ones(len(doc)), hi - lo))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)), mask=pa.array(np.diff(w.first) == 0))
             yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), lists], ["uid", "id", "same", "bands"])
 
@@ -132,11 +141,15 @@ def _alike(least: float):
     return run
 
 
-def pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes (uid, bands) to verify."""
+def met_in(nodes: DataFrame) -> DataFrame:
+    """(bucket, uid, next, n) of the nodes (uid, bands) of all buckets of at least two."""
     flat = nodes.select("uid", F.posexplode("bands").alias("i", "bucket"), F.get("bands", (F.col("i") + 1) % BANDS).alias("next")).select("uid", "bucket", "next")
     large = flat.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = common.cut(flat.join(large, "bucket"))
+    return common.cut(flat.join(large, "bucket"))
+
+
+def pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of nodes to verify first."""
     central = met.groupBy("uid").agg(F.sum("n").alias("weight"))
     ranked = met.join(central, "uid").withColumn("order", F.struct("weight", (-F.col("uid")).alias("minus")))
     finer = ranked.filter(F.col("n") > SMALL).withColumn("bucket", F.xxhash64("bucket", "next"))
@@ -150,6 +163,93 @@ def pairs(nodes: DataFrame) -> DataFrame:
     return star(ranked.filter(F.col("n") > SMALL)).unionByName(star(finer)).unionByName(each).distinct()
 
 
+def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    left, right = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+    return common.cut(found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = np.array([len(x.as_buffer()) // 8 for x in b.column(1)], np.int64)
+        piece = (np.cumsum(sizes) - sizes) // UNPACKED
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(sizes)]])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo:
+                grams = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in b.column(1).slice(lo, hi - lo)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(lo, hi - lo).to_numpy(), sizes[lo:hi])), pa.array(grams.view(np.int64))], ["uid", "shingle"])
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        maps, sizes = np.zeros((b.num_rows, BITMAP * 64), np.uint8), np.zeros(b.num_rows, np.int64)
+        for i, x in enumerate(b.column(1)):
+            grams = np.frombuffer(x.as_buffer(), U64)
+            maps[i], sizes[i] = np.bincount((grams % U64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1, len(grams)
+        packed = pa.array(np.packbits(maps, axis=1).reshape(-1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * BITMAP, BITMAP), pa.int32()), packed)], ["uid", "size", "map"])
+
+
+def postings(sets: DataFrame, least: float) -> DataFrame:
+    """(shingle, uid, size, place, map) of those shingles of each set's prefix that other sets (uid, shingles) have too.
+
+    In the order of their number of sets, a set of n shingles has a prefix of n - ceil(least n) + 1; place counts from 0."""
+    flat = common.cut(sets.mapInArrow(_unpacked, "uid long, shingle long"))
+    often = flat.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    own = flat.join(often, "shingle").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("all"))
+    known = own.join(sets.mapInArrow(_mapped, "uid long, size long, map array<long>"), "uid").withColumn("alone", F.col("size") - F.size("all"))
+    prefix = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - F.col("alone")
+    cut = known.select("uid", "size", "map", "alone", F.slice("all", 1, F.greatest(prefix, F.lit(0)).cast("int")).alias("all"))
+    return common.cut(cut.select("uid", "size", "map", "alone", F.posexplode("all").alias("i", "s")).select("s.shingle", "uid", "size", (F.col("alone") + F.col("i")).alias("place"), "map"))
+
+
+def can_be(x: str, y: str, least: float) -> F.Column:
+    """Whether postings x and y of one shingle can be of sets of similarity least: by classes, sizes, places and bitmaps."""
+    at = lambda side, name: F.col(f"{side}.{name}")
+    total = at(x, "size") + at(y, "size")
+    after = F.least(at(x, "size") - at(x, "place"), at(y, "size") - at(y, "place"))
+    differ = sum((F.bit_count(F.get(at(x, "map"), F.lit(i)).bitwiseXOR(F.get(at(y, "map"), F.lit(i)))) for i in range(BITMAP)), F.lit(0))
+    sizes = F.least(at(x, "size"), at(y, "size")) >= F.greatest(at(x, "size"), at(y, "size")) * least - 1e-6
+    # the first common shingle in order bounds what is in common; a later one may be refused, as the first is not
+    return (at(x, "root") != at(y, "root")) & sizes & (after >= total * (least / (1 + least)) - 1e-6) & (differ <= total * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def finished(met: DataFrame, nodes: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All links, and (uid, root) of all nodes, once what hubs left of the large buckets is compared exactly."""
+    root = common.cut(nodes.select("uid").join(components(links), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")))
+    large = met.filter(F.col("n") > SMALL).select("bucket", "uid").join(root, "uid")
+    open_ = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    left = common.cut(large.join(open_, "bucket").select("uid").distinct())
+    if not left.limit(1).count():
+        return links, root
+    posted = postings(sets.join(left, "uid"), least)
+
+    def across(root: DataFrame) -> DataFrame:
+        """Postings of the shingles that several classes have, with the number of them."""
+        rows = common.cut(posted.join(root, "uid"))
+        several = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("uid", "root", "size", "place", "map"), F.xxhash64("uid", "shingle")).alias("hub"))
+        return rows.join(several.filter("low < high").drop("low", "high"), "shingle")
+
+    def merged(root: DataFrame, new: DataFrame) -> DataFrame:
+        ends = new.join(root.select(F.col("uid").alias("a"), F.col("root").alias("p")), "a").join(root.select(F.col("uid").alias("b"), F.col("root").alias("q")), "b")
+        top = components(ends.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+        return common.cut(root.join(top.select(F.col("uid").alias("root"), F.col("root").alias("top")), "root", "left").select("uid", F.coalesce("top", "root").alias("root")))
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = across(root).filter(F.col("n") > SMALL).alias("x").filter(can_be("x", "hub", least)).select(*pair("x.uid", "hub.uid")).distinct()
+    by_hub = verified(star, sets, least)
+    if by_hub.limit(1).count():
+        root, links = merged(root, by_hub), links.unionByName(by_hub)
+    rows = common.cut(across(root).drop("hub").withColumn("parts", F.ceil(F.col("n") / SALTED).cast("int")))
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), "parts").cast("int")).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.uid") < F.col("y.uid"))
+    rest = verified(x.join(y, same & can_be("x", "y", least)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), sets, least)
+    if rest.limit(1).count():
+        root, links = merged(root, rest), links.unionByName(rest)
+    return links.distinct(), root
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(uid, root) for each node of undirected edges (a, b): the smallest node it is linked with."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -174,14 +274,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     nodes = common.cut(signed.groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")).select("same", "first", "first.uid", "n", "bands"))
 
-    found = common.cut(pairs(nodes))
+    met = met_in(nodes)
+    found = common.cut(pairs(met))
     wanted = found.select(F.col("a").alias("uid")).union(found.select(F.col("b").alias("uid"))).distinct()
     sets = common.cut(rows.select("uid", "text").join(wanted, "uid").mapInArrow(_sets, "uid long, shingles binary"))
-    left, right = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-    links = common.cut(found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+    links, root = finished(met, nodes, verified(found, sets, least), sets, least)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
-    known = nodes.join(components(links), "uid", "left").join(degree, "uid", "left").select("same", "first", "n", "uid", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = nodes.join(root, "uid").join(degree, "uid", "left").select("same", "first", "n", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     whole = known.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
     texts = known.join(whole, "root").select("same", "head", "class_size", "n_links")
     return signed.select("uid", "id", "same").join(texts, "same").select("uid", F.col("id").alias(key), F.col("head.id").alias("class_id"), "class_size", "n_links", (F.col("uid") == F.col("head.uid")).alias("kept"))
