@@ -65,6 +65,21 @@ def test_op3_finds_edited_passages_and_leaves_others(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("copies", [1, 5, 50])
+def test_op3_finds_an_edited_passage_of_any_frequency(spark, copies):
+    rng, word = random.Random(8), lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 7)))
+    items = [(0, [word() for _ in range(20)]), (1, [word() for _ in range(24)])]
+    passages = [list(w) for _, w in items]
+    for at in (3, 8, 13, 17):  # 11 of 18 3-grams of item 0
+        passages[0][at] = word()
+    for at in (2, 6, 10, 14, 18):  # 15 of 22 of item 1
+        passages[1][at] = word()
+    clean = {498: items[0][1], 499: items[1][1]}  # one copy without edits must not hide the others
+    rows = [(i, " ".join([word() for _ in range(40)] + clean.get(i, []) + (passages[i % 2] if i // 2 < copies else []) + [word() for _ in range(40)])) for i in range(500)]
+    got = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i % 2) for i in [*range(2 * copies), 498, 499]}
+
+
 def brute_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(len(a)), range(len(b))):

@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages of test items, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages of test items, local alignment scores them.
 
-Words are compared in lower case and without punctuation. A first pass counts in how many documents each 3-gram of the
-items occurs; an item's seeds are its 3-grams that are rare in the corpus, and in any case the rarer half of them, so that
-an item that has leaked into much of the corpus keeps seeds. A second pass joins the documents' 3-grams to the seeds; where
-at least two different seeds of one item (one, for items of fewer than six words) lie close together, Smith-Waterman
-alignment of item and surroundings gives a score: 2 for equal words, -1 for different or missing ones, divided by what the
-whole item would get. A document is contaminated by an item if that is at least ``least``.
+Words are compared in lower case and without punctuation. An item's seeds are all its 3-grams, however common, so that no
+leaked copy, edited or not, loses them by how often others have leaked. One pass joins the documents' 3-grams to the seeds;
+where at least two different seeds of one item (one, for items of fewer than six words) lie close together and the words in
+common could give the score, Smith-Waterman alignment of item and surroundings gives it: 2 for equal words, -1 for different
+or missing ones, divided by what the whole item would get. A document is contaminated by an item if that is at least ``least``.
 
 The items go to the workers in blocks of a fixed number of words, each block meeting all documents; nothing of the
-documents is shuffled but counts per seed. Null texts count as empty; items without words match nothing; repeated
+documents is shuffled. Null texts count as empty; items without words match nothing; repeated
 documents and repeated items each give their own rows; an item of fewer than three words must occur as a whole.
 """
 
@@ -29,10 +28,7 @@ from .common import SPACES, Words
 N = 3
 #: Words of the items of one block, which is broadcast.
 BLOCK_WORDS = 1_000_000
-#: A seed is rare if at most this share of the documents has it.
-RARE = 0.001
 LEAST = 0.5
-
 _INSIDE = ~SPACES
 _INSIDE[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 
@@ -50,9 +46,6 @@ class Block:
     hashes: np.ndarray  # sorted, one for each (hash, item)
     items: np.ndarray
 
-    def only(self, keep: np.ndarray) -> Block:
-        return Block(self.ids, self.words, self.hashes[keep], self.items[keep])
-
 
 def blocks(benchmark: DataFrame, key: str, text: str, most: int = BLOCK_WORDS) -> Iterator[Block]:
     ids, texts, size = [], [], 0
@@ -97,6 +90,13 @@ def seed_hits(w: Words, hashes: np.ndarray, short: set[int]) -> tuple[np.ndarray
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def in_common(item: np.ndarray, words: np.ndarray) -> int:
+    """How many words an alignment can match at most."""
+    kind, wanted = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(kind, words), len(kind) - 1)
+    return int(np.minimum(wanted, np.bincount(at[kind[at] == words], minlength=len(kind))).sum())
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with scores 2, -1, -1: the best score, and the words of the text that it spans."""
     best, end = _best(item, words)
@@ -130,38 +130,10 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     found = docs.sparkSession.createDataFrame([], schema)
     for one in blocks(benchmark, item_key, item_text, most):
         if len(one.hashes):
-            found = found.unionByName(parts.mapInArrow(_finder(rare(parts, one), least, schema, (key, item_key)), schema))
+            found = found.unionByName(parts.mapInArrow(_finder(one, least, schema, (key, item_key)), schema))
     return found
 
 
-def rare(parts: DataFrame, one: Block) -> Block:
-    """The block with the seeds that are rare enough in all documents, and the rarer half of each item's."""
-    shared = parts.sparkSession.sparkContext.broadcast(one)  # bounded by the words of a block
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = np.unique(shared.value.hashes)
-        counts, n = np.zeros(len(hashes), np.int64), 0
-        short = {len(x) for x in shared.value.words if 0 < len(x) < N}
-        for b in batches:
-            n += b.num_rows
-            for _, _, data, offsets in common.text_chunks(pc.utf8_lower(b.column(1))):
-                w = plain_words(data, offsets)
-                words, at = seed_hits(w, hashes, short)
-                counts += np.bincount(np.unique(w.doc[words] * len(hashes) + at) % len(hashes), minlength=len(hashes))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[some].view(np.int64), 0)), pa.array(np.append(counts[some], n)), pa.array(np.append(np.zeros(len(some), bool), True))], ["seed", "n", "total"])
-
-    seen = parts.mapInArrow(run, "seed long, n long, total boolean").groupBy("seed", "total").agg(F.sum("n").alias("n")).toArrow()
-    total = sum(n for n, t in zip(seen["n"].to_pylist(), seen["total"].to_pylist(), strict=True) if t)
-    count = {np.int64(s).view(np.uint64): n for s, n, t in zip(seen["seed"].to_pylist(), seen["n"].to_pylist(), seen["total"].to_pylist(), strict=True) if not t}
-    often = np.array([count.get(h, 0) for h in one.hashes])
-    order = np.lexsort((often, one.items))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order)) - np.searchsorted(one.items[order], one.items[order])
-    half = np.bincount(one.items, minlength=len(one.ids))[one.items] / 2
-    return one.only((often <= RARE * total) | (place < half))
-
-
 def _finder(one: Block, least: float, schema: str, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = {len(x) for x in one.words if 0 < len(x) < N}
@@ -204,6 +176,8 @@ def matches(w: Words, one: Block, short: set[int], least: float) -> Iterator[tup
         if seeds < (2 if size >= 6 else 1):
             continue
         lo, hi = max(int(w.first[d]), int(word[a]) - size), min(int(w.first[d + 1]), int(word[z - 1]) + N + size)
+        if in_common(one.words[i], w.hashes[lo:hi]) < least * size:
+            continue
         got, first, last = align(one.words[i], w.hashes[lo:hi])
         score = got / (2 * size)
         if score >= least and score > best.get((d, i), (0, -1.0))[1]:
