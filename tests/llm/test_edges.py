@@ -61,6 +61,13 @@ def test_license_rules_all_have_keywords():
     assert len(rules) > 300 and all(k and p and x and 0 < w <= 1 for k, p, x, w in rules)
 
 
+def test_license_rules_see_any_separator(spark):
+    plain = ["cc by 4 0", "cc by sa 4 0", "placed in the public domain", "all rights reserved", "may be used for x", "neither the name of x may be used to endorse or promote", "not for commercial use", "machine executable object code generated by a source language processor", "altered source versions must be plainly marked as such", "creative commons attribution 4 0", "creative commons zero", "mozilla org mpl 2 0", "eclipse org legal epl v20", "all advertising materials mentioning features or use of this software", "proprietary and confidential", "unauthorized copying of this file"]
+    rows = [(i, f"{a}{sep.join(p.split())}{z}") for i, p in enumerate(plain) for sep in (" ", "-", "  ", "\n * ", ".") for a, z in (("", ""), ("(", ")"), ("x\n", "\n"))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", F.size("detections").alias("n")).collect()
+    assert [r.text for r in got if (r.n == 0) != (plain[r.doc_id] == "may be used for x")] == []
+
+
 def test_license_detections(spark):
     text = "SPDX-License-Identifier: BSD-3-Clause\nsee the MIT  License; mit-license. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. GNU General\nPublic License v3"
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

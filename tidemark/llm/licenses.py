@@ -1,6 +1,6 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
-Each text that may hold a license (it has one of a few keywords) meets the rules whose own keyword it has. Overlapping
+Each text that may hold a license (it has a word that some rule needs) meets the rules whose own keyword it has. Overlapping
 detections are resolved: one inside another goes, and of two that overlap the one of the earlier rule stays. Every step
 works on one row at a time, so nothing is shuffled and a source of any size is no hot spot.
 
@@ -26,8 +26,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Phrases that count as base detections, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: A text without any of these can't match a rule.
-GATE = ["licen", "spdx", "copyright", "rights reserved", "public domain", "permission", "redistribution", "warranty", "endorse or promote", "advertising materials", "proprietary", "unauthorized", "commercial use", "creativecommons", "apache.org", "mozilla.org", "boost.org", "eclipse.org", "altered source", "machine-executable", "software foundation", "gpl", "cc0", " cc ", "substantial portions", "do what the f", "creative commons"]
 #: What a base detection is worth to the score.
 BASE_WEIGHT = 0.9
 
@@ -36,6 +34,20 @@ def compiled(pattern: str) -> str:
     return rf"(?<!{WORD})(?:{pattern.replace(',?', '').replace(' ?', '~').replace(' ', BETWEEN).replace('~', f'(?:{BETWEEN})?')})(?!{WORD})"
 
 
+def gate(text: Column) -> Column:
+    """Whether a text may match a rule or a phrase: it has a word that one of them needs, whatever separates its words."""
+    needed = [k for k, *_ in rules()] + [p.split() for p in PHRASES]
+    words = ["license"]
+    for k in sorted(needed, key=len):
+        if "cc" not in k and not any(w in x for w in words for x in k):
+            words.append(max(k, key=len))
+    has = F.lit(False)
+    for w in words:
+        has = has | F.contains(text, F.lit(w))
+    # names that start with cc, which alone is in too many words
+    return has | (F.contains(text, F.lit("cc")) & F.regexp_like(text, F.lit(rf"(?<!{WORD})cc{BETWEEN}by")))
+
+
 def rule_column() -> Column:
     found = [{"o": i, "k": k, "r": compiled(p), "l": label, "w": w} for i, (k, p, label, w) in enumerate(rules())]
     return F.from_json(F.lit(json.dumps(found)), "array<struct<o:int,k:array<string>,r:string,l:string,w:double>>")
@@ -78,11 +90,7 @@ def word_count(text: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, base (places of phrases), detections (those that stay), base_labels, labels, score."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    folded = F.lower(whole)
-    gate = F.lit(False)
-    for k in GATE:
-        gate = gate | F.contains(folded, F.lit(k))
-    first = docs.withColumn("n_words", word_count(whole)).withColumn("_tm_low", F.when(gate, F.translate(whole, UPPER, LOWER)))
+    first = docs.withColumn("n_words", word_count(whole)).withColumn("_tm_low", F.when(gate(F.lower(whole)), F.translate(whole, UPPER, LOWER)))
     low = F.col("_tm_low")
     words = F.when(F.contains(low, F.lit("license")), F.regexp_extract_all(low, F.lit(WORD + "+"), F.lit(0)))
     second = first.withColumn("_tm_words", words)
