@@ -254,6 +254,20 @@ def test_op7_base_scores_and_held_out_gain(spark, docs):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_op7_first_words_are_scored_by_the_number_of_documents(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"h{i % 8} w{i}") for i in range(3072)]  # 384 and 3072 lie in the middle of their powers of two
+    texts = [["<s>", *t.split(), "</s>"] for _, t in rows]
+    ones, twos = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
+    n, v = sum(ones.values()) - ones["<s>"], len(ones) - 1
+    p = lambda a, b: (twos[a, b] + lm_score.MU * (ones[b] + 1) / (n + v + 1)) / (ones[a] + lm_score.MU)
+    want = {i: sum(math.log10(p(a, b)) for a, b in zip(t, t[1:])) for (i, _), t in zip(rows, texts)}
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
+    error = sorted(abs(r.score - want[r.doc_id]) for r in got)
+    assert error[len(error) // 2] < 0.1  # counts are kept to their power of two, and the filter has false positives
+
+
 def test_filter_reads_levels_back():
     rng = np.random.default_rng(2)
     h, counts = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(1, 10**6, 3000)

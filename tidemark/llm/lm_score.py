@@ -5,7 +5,8 @@ each task sums its own, packs them by hash bucket, and the buckets are merged. A
 filter holds (n-gram, 1) ... (n-gram, level), so that a count is read back, to its power of two, by probing one level after
 the other. Each bucket sets its own slice of the filter. The filter has at most ``MOST_BYTES``: where the 2-grams would need
 more, those below the lowest level that fits are left to the 1-grams, which the smoothing does anyway for rare ones.
-The model is a Dirichlet-smoothed bigram: (c(vw) + MU p(w)) / (c(v) + MU) with p(w) = (c(w) + 1) / (N + V + 1).
+The model is a Dirichlet-smoothed bigram: (c(vw) + MU p(w)) / (c(v) + MU) with p(w) = (c(w) + 1) / (N + V + 1); before the
+first token c(v) is the number of training documents.
 
 The exact base score needs each token's exact count: the most frequent words (at most ``HEAD``) go to the workers, and the
 few tokens beyond them, summed by document, are joined with the table of counts.
@@ -205,8 +206,9 @@ def score(docs: DataFrame, training: F.Column, key: str = "doc_id", text: str =
     order = np.argsort(h := head["hash"].to_numpy().view(U64))
     known = h[order], head["c"].to_numpy()[order]
     shared = spark.sparkContext.broadcast((model, known))
+    ends = flat(counts.filter(F.col("bucket") == int(END % U64(buckets))), 1, LEVELS + 1).filter(F.col("hash") == int(END.view(np.int64))).first()
 
-    first = common.cut(rows.mapInArrow(_scorer(shared, n, kinds), "uid long, id long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<long>"))
+    first = common.cut(rows.mapInArrow(_scorer(shared, n, kinds, ends.c if ends else 0), "uid long, id long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<long>"))
     tail = first.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("hash"), F.col("t.times").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = tail.join(flat(counts, 1, head_level), "hash", "left").groupBy("uid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(c + 1) - F.log10(F.lit(float(n + kinds + 1))))).alias("further"))
@@ -216,7 +218,7 @@ def score(docs: DataFrame, training: F.Column, key: str = "doc_id", text: str =
     )
 
 
-def _scorer(shared, n: int, kinds: int):
+def _scorer(shared, n: int, kinds: int, documents: int):
     whole = np.log10(n + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +239,7 @@ def _scorer(shared, n: int, kinds: int):
                 before = np.empty(len(single))
                 before[1:] = single[:-1]
                 starts = np.flatnonzero(t.before == START)
-                before[starts] = middle(model.levels(np.array([START])))[0]
+                before[starts] = documents
                 p = (both + MU * (single + 1) / (n + kinds + 1)) / (np.maximum(before, both) + MU)
                 score = np.bincount(t.doc, np.log10(np.minimum(p, 1.0)), size)
 
