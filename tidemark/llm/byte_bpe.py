@@ -1,21 +1,25 @@
 """Byte-level BPE encoding in linear time, and decoding.
 
-Bytes are mapped to Latin-1 characters, so that an Aho-Corasick trie over the vocabulary gives the longest token at a
+Bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton over the vocabulary gives the longest token at a
 place. An encoding is built from the left: the longest token whose pair with the token before it is one that the merges
 would keep; where none fits, the encoder steps back and takes a shorter one. Whether two tokens may stand side by side
 depends on them alone and is remembered, and no place is tried twice after it has failed, so the time is linear. The
 result is that of applying merges in rank order.
 
-A null text counts as empty and gives no ids; repeated rows give repeated results; other columns stay, result columns
+The new pieces of many texts go through the automaton as one string, with a character in between that no token has. Pieces
+whose longest tokens all fit are done then; the others step back from the first pair that doesn't.
+
+A null text counts as empty and gives no ids; repeated rows give repeated results; an empty table gives an empty one. Texts
+are encoded whole, of any length: what is encoded at a time is bounded, by document. Other columns stay, result columns
 replace those of the same name. The vocabulary's path must be readable on each executor.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from struct import pack
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,13 +31,17 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Encodings of pieces that a worker remembers from now, and as many from before.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Pairs of tokens of which a worker remembers whether they may stand side by side.
 REMEMBERED_PAIRS = 200_000
-#: Rows of a text batch that are encoded at a time.
+#: Rows that are decoded at a time.
 ROWS = 1000
-#: Longer pieces are not remembered.
+#: Longer pieces are neither remembered nor encoded together with others.
 REMEMBERED_CHARS = 40
+#: Pieces that are encoded together.
+TOGETHER = 20_000
+#: Stands between them: no Latin-1 character.
+BETWEEN = "\u0100"
 
 # White space as the splitting pattern has it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -52,10 +60,18 @@ class Vocabulary:
         self.trie = ahocorasick.Automaton()
         for token, r in self.rank.items():
             self.trie.add_word(token.decode("latin-1"), r)
+        self.trie.make_automaton()
+        self.sizes = np.array([*map(len, self.bytes)], np.int64)
         self.pairs: dict[tuple[int, int], int] = {}  # what a pair merges into
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
         self.shorter = [self._prefix(t) for t in self.bytes]
+        self.begun: dict[str, int] = {}  # the longest token that each beginning of a token begins with
+        for token in self.rank:
+            for n in range(1, len(token) + 1):
+                text = token[:n].decode("latin-1")
+                if text not in self.begun:
+                    self.begun[text] = self.rank.get(token[:n], self.begun.get(text[:-1], -1))
         for r in sorted(self.rank.values()):
             self._split(r)
 
@@ -97,74 +113,93 @@ class Vocabulary:
             else:
                 before, right = right + 1, b[0]
 
-    def apart(self, left: int, right: int) -> bool:
-        pair = left << 32 | right
+    def apart(self, pair: int) -> bool:
+        """Whether two tokens may stand side by side; pair: the left one in the upper 32 bits, the right one in the lower."""
         known = self.fits.get(pair)
         if known is None:
             if len(self.fits) > REMEMBERED_PAIRS:
                 self.fits.clear()
-            known = self.fits[pair] = self._stay(left, right)
+            known = self.fits[pair] = self._stay(pair >> 32, pair & 0xFFFFFFFF)
         return known
 
-    def longest(self, text: str, piece: bytes, at: int) -> int:
+    def longest(self, text: str, at: int) -> int:
         """The longest token that starts at a place. The trie tells how far the text goes along with any token."""
-        for end in range(at + self.trie.longest_prefix(text[at : at + self.most]), at, -1):
-            if (r := self.rank.get(piece[at:end])) is not None:
-                return r
-        raise ValueError(f"no token for byte {piece[at]}")
-
-    def encode(self, piece: bytes) -> list[int]:
-        """The ids of one piece that the splitting pattern matched."""
-        whole = self.rank.get(piece)
-        if whole is not None:
+        along = text[at : at + self.most]
+        token = self.begun.get(along[: self.trie.longest_prefix(along)], -1)
+        if token < 0:
+            raise ValueError(f"no token for byte {ord(text[at])}")
+        return token
+
+    def encode(self, piece: bytes, found: Iterable[int] = ()) -> list[int]:
+        """The ids of one piece that the splitting pattern matched; found: its first tokens, each the longest that fits."""
+        if (whole := self.rank.get(piece)) is not None:
             return [whole]
-        text, n, at, found = piece.decode("latin-1"), len(piece), 0, []
-        failed = bytearray(n + 1)
-        token = self.longest(text, piece, 0)
+        text, n, found = piece.decode("latin-1"), len(piece), list(found)
+        failed, size, fits = bytearray(n + 1), self.bytes, self.fits
+        at = sum(len(size[t]) for t in found)
+        token = self.longest(text, at)
         while at < n:
-            end = at + len(self.bytes[token])
-            if not failed[end] and (not found or self.apart(found[-1], token)):
-                found.append(token)
-                at = end
-                if at < n:
-                    token = self.longest(text, piece, at)
-                continue
+            end = at + len(size[token])
+            if not failed[end]:
+                pair = found[-1] << 32 | token if found else -1
+                if pair < 0 or (fits[pair] if pair in fits else self.apart(pair)):
+                    found.append(token)
+                    at = end
+                    if at < n:
+                        token = self.longest(text, at)
+                    continue
             token = self.shorter[token]
             while token < 0:  # nothing fits here: take the last token back and try a shorter one
                 failed[at] = 1
                 last = found.pop()
-                at -= len(self.bytes[last])
+                at -= len(size[last])
                 token = self.shorter[last]
         return found
 
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many short pieces, each as little-endian unsigned 32-bit integers."""
+        matched = self.trie.iter_long(BETWEEN.join([p.decode("latin-1") for p in pieces]))
+        last, ids = np.fromiter(chain.from_iterable(matched), np.int64).reshape(-1, 2).T
+        sizes = np.array([*map(len, pieces)], np.int64)
+        borders = np.cumsum(sizes + 1) - 1
+        piece = np.searchsorted(borders, last)
+        first = np.searchsorted(piece, np.arange(len(pieces) + 1))
+        pairs, place = np.unique((ids[:-1] << 32 | ids[1:])[inner := np.flatnonzero(piece[:-1] == piece[1:])], return_inverse=True)
+        bad = inner[~np.fromiter(map(self.apart, pairs.tolist()), bool, len(pairs))[place]]
+        raw, at = ids.astype("<u4").tobytes(), first.tolist()
+        out = [raw[4 * a : 4 * z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        again = dict(zip(piece[bad[::-1]].tolist(), bad[::-1].tolist(), strict=True))  # the first bad pair of each piece
+        again |= dict.fromkeys(np.flatnonzero(np.bincount(piece, self.sizes[ids], len(pieces)) != sizes).tolist(), -1)  # some byte has no token
+        for i, b in again.items():
+            out[i] = np.array(self.encode(pieces[i], ids[at[i] : b + 1].tolist() if b >= 0 else ()), "<u4").tobytes()
+        return out
+
 
 class Encoder:
-    """Encodes texts, remembering what it has seen between two borders that no match of the pattern crosses."""
+    """Encodes texts, remembering the pieces that the pattern matched."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(path)
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.parts = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        if (out := self.older.get(part)) is not None:
-            return self._keep(part, out)
-        ids = [i for piece in self.pattern.findall(part) for i in self.vocabulary.encode(piece.encode())]
-        out = np.array(ids, "<u4").tobytes() if len(ids) > 50 else pack(f"<{len(ids)}I", *ids)
-        return self._keep(part, out) if len(part) <= REMEMBERED_CHARS else out
-
-    def _keep(self, part: str, out: bytes) -> bytes:
-        if len(self.known) >= REMEMBERED:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't known. Short ones are known from now on."""
+        told = {p: self.older[p] for p in pieces & self.older.keys()} if self.older else {}
+        new = list(pieces - told.keys())
+        short = [p for p in new if len(p) <= REMEMBERED_CHARS]
+        for lo in range(0, len(short), TOGETHER):
+            some = short[lo : lo + TOGETHER]
+            told.update(zip(some, self.vocabulary.encode_all([p.encode() for p in some]), strict=True))
+        if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        self.known[part] = out
-        return out
+        self.known.update(told)
+        return told | {p: np.array(self.vocabulary.encode(p.encode()), "<u4").tobytes() for p in new if len(p) > REMEMBERED_CHARS}
 
-    def __call__(self, text: str) -> bytes:
-        """The ids, as little-endian unsigned 32-bit integers."""
-        known, part = self.known.get, self._part
-        return b"".join([known(p) or part(p) for p in self.parts(text)])
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        return common.remembered([self.split(t) for t in texts], self.known, self._learn)
 
 
 @lru_cache(2)
@@ -176,8 +211,12 @@ def _with(batch: pa.RecordBatch, column: str, values: list, kind: pa.DataType) -
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], [*batch.schema.names, column])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS))
+def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of bounded size, one at least, and their texts."""
+    for b in batches:
+        for lo, hi, data, offsets in common.text_chunks(b.column(b.schema.names.index(column))):
+            raw = data.tobytes()
+            yield b.slice(lo, hi - lo), [raw[x:y].decode("utf-8", "replace") for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -188,9 +227,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path, pattern)
-        for batch in _slices(batches):
-            texts = batch.column(batch.schema.names.index(text))
-            found = [one(t.as_py() or "") for t in texts]
+        for batch, texts in _texts(batches, text):
+            found = one(texts)
             out = _with(batch, ids, found, pa.binary())
             yield out if decoded is None else _with(out, decoded, [decode_ids(x, one.vocabulary.bytes) for x in found], pa.binary())
 
@@ -208,7 +246,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(path)
-        for batch in _slices(batches):
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             values = batch.column(batch.schema.names.index(ids))
             yield _with(batch, decoded, [decode_ids(v.as_py() or b"", token) for v in values], pa.binary())
 

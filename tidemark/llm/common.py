@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,6 +174,18 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+def remembered(split: list[list], known: dict, learn: Callable[[set], dict]) -> list[bytes]:
+    """For each list of keys what is known of them, joined; learn tells the rest, all at once."""
+    found = [list(map(known.get, keys)) for keys in split]
+    holes = [[i for i, x in enumerate(f) if x is None] for f in found]
+    if new := {keys[i] for keys, h in zip(split, holes, strict=True) for i in h}:
+        told = learn(new)
+        for keys, f, h in zip(split, found, holes, strict=True):
+            for i in h:
+                f[i] = told[keys[i]]
+    return [b"".join(f) for f in found]
+
+
 def hash_words(text: str, lower: bool = False) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     return words(data, np.array([0, len(data)]), lower).hashes

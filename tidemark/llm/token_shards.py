@@ -38,9 +38,11 @@ KEYS_A_PART = 1 << 15
 GAMMA = 2
 LEVELS = 64
 #: Words that a worker remembers from now, and about as many from before.
-REMEMBERED = 250_000
-#: Punctuation that may be cut off from the word before it.
-CUT = re.compile(rb"(?<=[a-z])[.,](?=[\sa-z]|$)")
+REMEMBERED = 300_000
+#: Punctuation that may be cut off from the words around it.
+CUT = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[\sa-z]|$)")
+#: Words that the tokenizer's normalization and splitting leave as they are, but for the cut before punctuation.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8"), ("same", "<u4")])
 
@@ -123,48 +125,58 @@ class WordEncoder:
     """Encodes texts word by word with the tokenizers library, remembering what it has seen.
 
     That gives the ids of the whole text for a vocabulary that drops white space, ignores case, and never joins letters
-    with punctuation: then ASCII letters may be put in lower case first, and a comma or full stop that stands alone between
-    a letter and a space or letter may be cut off. Texts that could hold a special token are left as they are.
+    with punctuation: then ASCII letters may be put in lower case first, and punctuation (but apostrophes) that stands
+    between a letter and a space or letter may be cut off. Texts that could hold a special token are left as they are. New
+    words of small letters skip normalization and the splitting pattern, which would leave them as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.digit = self.library.encode("0", add_special_tokens=False).ids  # one id that no letters or symbols give
         self.size = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.border = next(((i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and "<|" in t.content), None)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that aren't known; they are from now on."""
+        told = {w: self.older[w] for w in words & self.older.keys()} if self.older else {}
+        plain, other = [], []
+        for w in words - told.keys():
+            text = w.decode()
+            (plain if PLAIN(text) else other).append((w, text))
+        for some, encode in ((plain, self._encode_plain), (other, self._encode)):
+            for lo in range(0, len(some), 2_000):
+                part = some[lo : lo + 2_000]
+                told.update(zip((w for w, _ in part), encode([t for _, t in part]), strict=True))
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        again = words & self.older.keys() if self.older else set()
-        self.known.update((w, self.older[w]) for w in again)
-        new = list(words - again)
-        for lo in range(0, len(new), 2_000):
-            some = new[lo : lo + 2_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+        self.known.update(told)
+        return told
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        text = " 0 ".join([" ".join(PLAIN(w).groups()) for w in words])
+        return self._cut(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.digit[0])
+
+    def _encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word. Words without special tokens go through the library as one text, with one in between."""
-        if self.border is None or any(b"<|" in w for w in words):
-            found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        if self.border is None or any("<|" in w for w in words):
+            found = self.library.encode_batch_fast(words, add_special_tokens=False)
             return [np.array(x.ids, self.size).tobytes() for x in found]
-        (whole,) = self.library.encode_batch_fast([self.border[1].join(w.decode() for w in words)], add_special_tokens=False)
-        ids = np.array(whole.ids, self.size)
-        at, raw, n = np.flatnonzero(ids == self.border[0]).tolist(), ids.tobytes(), self.size.itemsize
+        return self._cut(self.library.encode_batch_fast([self.border[1].join(words)], add_special_tokens=False)[0].ids, self.border[0])
+
+    def _cut(self, ids: list[int], border: int) -> list[bytes]:
+        ids = np.array(ids, self.size)
+        at, raw, n = np.flatnonzero(ids == border).tolist(), ids.tobytes(), self.size.itemsize
         return [raw[a * n : b * n] for a, b in zip([0, *[x + 1 for x in at]], [*at, len(ids)], strict=True)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else CUT.sub(rb" \g<0>", t.lower())).split() for t in texts]
-        words = set(chain.from_iterable(split))
-        self._learn(words - self.known.keys())
-        if not words <= self.known.keys():  # what was known has just become old
-            self._learn(words - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return common.remembered([(t if b"<|" in t else CUT.sub(rb" \g<0> ", t.lower())).split() for t in texts], self.known, self._learn)
 
 
 @lru_cache(2)
