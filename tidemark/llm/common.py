@@ -5,6 +5,7 @@ Words here are runs of bytes other than the six ASCII white-space characters, of
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,10 +31,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own only where none is set."""
+    """The folder that all executors share, as the session names it; one of our own only where there is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(spark, "_tidemark_scratch", None):
         spark._tidemark_scratch = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(spark._tidemark_scratch)
@@ -45,12 +48,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what a path holds, on whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and stored in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame, name: str, repeatable: bool) -> DataFrame:
+    """docs with a number for each row, the same whenever it is computed again, after the loss of an executor too.
+
+    repeatable: whether the rows come in the same order each time, as they do when they are read from files without a
+    shuffle. Others are stored once in the shared folder and read from there.
+    """
+    if not repeatable:
+        path = scratch(docs.sparkSession, "numbered")
+        docs.write.parquet(path)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts, by which the number of parts of a hashed table is chosen."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
 def plus(df: DataFrame, **columns: str) -> str:
     """The schema of df and further columns, as a DDL string."""
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` {t}" for n, t in columns.items()])

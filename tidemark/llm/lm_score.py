@@ -1,19 +1,22 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
-
-Tokens are words in lower case (A-Z) and one end per document. Training documents' 1- and 2-grams are counted exactly:
-each task sums its own, packs them by hash bucket, and the buckets are merged. A count c has level 1 + floor(log2 c); the
-filter holds (n-gram, 1) ... (n-gram, level), so that a count is read back, to its power of two, by probing one level after
-the other. Each bucket sets its own slice of the filter. The filter has at most ``MOST_BYTES``: where the 2-grams would need
-more, those below the lowest level that fits are left to the 1-grams, which the smoothing does anyway for rare ones.
-The model is a Dirichlet-smoothed bigram: (c(vw) + MU p(w)) / (c(v) + MU) with p(w) = (c(w) + 1) / (N + V + 1); before the
-first token c(v) is the number of training documents.
-
-The exact base score needs each token's exact count: the most frequent words (at most ``HEAD``) go to the workers, and the
-few tokens beyond them, summed by document, are joined with the table of counts.
-
-A null text is a document of one end; a null id counts as training; repeated rows each count and each give a row.
-Without training documents N = V = 0 and every score is that of the formula. Words are told apart by 64-bit hashes.
-Columns besides id and text are left out.
+"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts, held in slices.
+
+Tokens are words in lower case (A-Z) and one end per document. Documents are read in blocks of bounded size; each sends its
+distinct 1-, 2- and 3-grams, with how often its training documents have them, to the slices that their hashes name. A slice
+adds the counts up and builds its part of the filter: a count c has level 1 + floor(log2 c), and the filter holds (n-gram, 1)
+... (n-gram, level), so that a count is read back, to its power of two, by probing one level after the other. The slice
+probes it for all that the blocks have sent and answers with the levels, and for words with their exact counts. The
+blocks' documents meet these answers and are scored. So no filter is larger than a slice, whatever the corpus, what is gathered
+grows with the corpus, and no n-gram is left out. (One filter sent to every worker, as the method has it, would have to be
+cut off at some size.) An n-gram goes to a slice once from each block, so a very frequent one is no hot spot.
+
+The model is Dirichlet-smoothed: p(w|uv) = (c(uvw) + M p(w|v)) / (c(uv) + M), p(w|v) = (c(vw) + M p(w)) / (c(v) + M), p(w) =
+(c(w) + 1) / (N + V + 1); before the first token stands a start that occurs once a training document. M is that of ``WEIGHTS``
+under which the training documents are likeliest when each n-gram's count is lowered by one (its own occurrence).
+
+A null text is a document of one end; a null id counts as training; repeated rows each count and each give a row; texts of any
+length are read whole; an empty table gives an empty one. Without training documents N = V = 0 and every score is that of the formula.
+Words are told apart by 64-bit hashes, 2- and 3-grams by 32 bits within a slice, of which about one in 10,000 coincides.
+Columns besides id and text are left out, so names may clash with those of the result.
 """
 
 from __future__ import annotations
@@ -23,29 +26,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .common import U64, mix
 
-#: Size of the filter at most, and its bits for each entry.
-MOST_BYTES = 64 << 20
-BITS = 8
-PROBES = 5
-#: Words whose exact counts are broadcast.
-HEAD = 200_000
-MU = 2000.0
-#: Distinct n-grams that a counting task holds before it packs them.
-HELD = 1_500_000
+ORDER = 3
+#: Bits of the filter for each entry, and probes.
+BITS, PROBES = 8, 5
+#: Smoothing weights to choose from.
+WEIGHTS = (2.0, 10.0, 50.0, 500.0)
+#: Bytes of text that a slice answers for, on average, and of a block (one document at least).
+SLICE_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
+#: Documents whose blocks are kept together.
+GROUP_BITS = 12
 LEVELS = 64
 END, START = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
 
-MERGED = "size int, bucket int, hashes binary, counts binary, n long, kinds long, levels array<long>"
-
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1]  # 1 for 1, 2 for 2 and 3, ...
+    return np.frexp(counts.astype(np.float64))[1]  # 0 for 0, 1 for 1, 2 for 2 and 3, ...
 
 
 def middle(levels: np.ndarray) -> np.ndarray:
@@ -58,8 +60,8 @@ def middle(levels: np.ndarray) -> np.ndarray:
 class Tokens:
     doc: np.ndarray
     token: np.ndarray
-    pair: np.ndarray  # the 2-gram that ends with each token
-    before: np.ndarray  # the word before it
+    grams: list[np.ndarray]  # the 2-gram and the 3-gram that end with each token
+    start: np.ndarray  # whether a token is the first of its document
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -71,75 +73,144 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     inner = np.ones(ends[-1], bool)
     inner[ends - 1] = False
     token[inner] = w.hashes
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[ends - counts] = START
-    return Tokens(np.repeat(np.arange(n), counts), token, mix(before * U64(0x9E3779B97F4A7C15) + mix(token)), before)
-
-
-def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(c, first) if len(h) else c
-
-
-def count(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: one text column. By size of the n-grams and hash bucket: packed hashes and counts, and sums over them."""
-
-    def packed(size: int, held: list) -> Iterator[pa.RecordBatch]:
-        h, c = _summed(*zip(*held, strict=True))
-        bucket = (h % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        parts = [(i, order[a:z]) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([size] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([h[o].tobytes() for _, o in parts], pa.binary()), pa.array([c[o].astype("<i8").tobytes() for _, o in parts], pa.binary())], ["size", "bucket", "hashes", "counts"])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: []}
-        room = HELD
+    start = np.zeros(len(token), bool)
+    start[ends - counts] = True
+    grams, last = [], token
+    for k in range(2, ORDER + 1):
+        before = np.empty_like(token)
+        before[1:] = last[:-1]
+        before[start] = START  # nothing stands before a document's start, whatever the order
+        last = mix(before * U64(0x9E3779B97F4A7C15) + mix(token + U64(k)))
+        grams.append(last)
+    return Tokens(np.repeat(np.arange(n), counts), token, grams, start)
+
+
+@dataclass
+class Block:
+    """What a block of documents asks the slices for: its distinct words and n-grams, by slice."""
+
+    words: np.ndarray
+    word_slice: np.ndarray
+    grams: np.ndarray
+    gram_slice: np.ndarray
+    word_of: np.ndarray  # of each token, its place among the words
+    gram_of: np.ndarray  # of each order's n-grams, one order after the other, the place
+
+
+def block(t: Tokens, slices: int) -> Block:
+    def dealt(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kind, of = np.unique(values, return_inverse=True)
+        part = ((kind >> U64(32)) % U64(slices)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return kind[order], part[order], place[of]
+
+    words, word_slice, word_of = dealt(t.token)
+    grams, gram_slice, gram_of = dealt(np.concatenate(t.grams))
+    return Block(words, word_slice, grams, gram_slice, word_of, gram_of)
+
+
+class Gather:
+    """Puts rows, whose last column is the text, together into blocks: where a block ends depends on its own rows only."""
+
+    def __init__(self):
+        self.rows: list[pa.RecordBatch] = []
+        self.size = 0
+
+    def add(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lo = 0
+        for i, n in enumerate(pc.binary_length(b.column(b.num_columns - 1)).to_pylist()):
+            if self.size + n > BLOCK_BYTES and (self.rows or i > lo):
+                self.rows.append(b.slice(lo, i - lo))
+                yield from self.rest()
+                lo = i
+            self.size += n
+        if b.num_rows > lo:
+            self.rows.append(b.slice(lo))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            whole = pa.Table.from_batches(self.rows).combine_chunks().to_batches()[0]
+            self.rows, self.size = [], 0
+            yield whole
+
+
+def read_tokens(b: pa.RecordBatch) -> Tokens:
+    (_, _, data, offsets), *_ = common.text_chunks(b.column(b.num_columns - 1), 1 << 62)
+    return tokens(data, offsets)
+
+
+def parts(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows that agree in all keys."""
+    new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    edges = [0, *new.tolist(), len(keys[0])]
+    return [(a, z) for a, z in zip(edges[:-1], edges[1:], strict=True) if z > a]
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in one, four or eight bytes each, with a byte that tells which."""
+    kind = next(k for k in ("<u1", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(k).max)
+    return kind[-1].encode() + counts.astype(kind).tobytes()
+
+
+def _wide(raw: pa.Scalar) -> np.ndarray:
+    data = raw.as_buffer()
+    return np.frombuffer(data, f"<u{data[0:1].to_pybytes().decode()}", -1, 1)
+
+
+ASKED = "slice int, block long, words binary, word_counts binary, grams binary, gram_counts binary"
+
+
+def _ask(slices: int):
+    """From (uid, training, text): what each block asks each slice for. A block is named by its first uid."""
+
+    def asked(b: pa.RecordBatch) -> pa.RecordBatch:
+        uid, training, t = b.column(0)[0].as_py(), b.column(1).to_numpy(zero_copy_only=False), read_tokens(b)
+        own = block(t, slices)
+        counted = training[t.doc]
+        words = np.bincount(own.word_of[counted], minlength=len(own.words))
+        grams = np.bincount(own.gram_of[np.tile(counted, ORDER - 1)], minlength=len(own.grams))
+        w, g = (np.searchsorted(x, np.arange(slices + 1)) for x in (own.word_slice, own.gram_slice))
+        rows = np.flatnonzero((np.diff(w) > 0) | (np.diff(g) > 0)).tolist()
+        low = own.grams.astype("<u4")  # the lower half: the upper one names the slice
+        columns = [[own.words[w[i] : w[i + 1]].tobytes() for i in rows], [_narrow(words[w[i] : w[i + 1]]) for i in rows], [low[g[i] : g[i + 1]].tobytes() for i in rows], [_narrow(grams[g[i] : g[i + 1]]) for i in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([uid] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["slice", "block", "words", "word_counts", "grams", "gram_counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Gather(), None
         for b in batches:
-            for _, _, data, offsets in common.text_chunks(b.column(0)):
-                t = tokens(data, offsets)
-                for size, values in ((1, t.token), (2, t.pair)):
-                    held[size].append(np.unique(values, return_counts=True))
-                    room -= len(held[size][-1][0])
-                if room < 0:
-                    for size, some in held.items():
-                        yield from packed(size, some)
-                    held, room = {1: [], 2: []}, HELD
-        for size, some in held.items():
-            if some:
-                yield from packed(size, some)
-
-    def merged(table: pa.Table) -> pa.Table:
-        h, c = _summed([np.frombuffer(x.as_buffer(), U64) for x in table["hashes"]], [np.frombuffer(x.as_buffer(), "<i8") for x in table["counts"]])
-        levels = np.bincount(level(c), minlength=LEVELS)[:LEVELS]
-        size = table["size"][0].as_py()
-        stored = c if size == 1 else level(c).astype(np.uint8)  # of 2-grams only the level is wanted further on
-        one = {"size": [size], "bucket": [table["bucket"][0].as_py()], "hashes": [h.tobytes()], "counts": [stored.tobytes()], "n": [int(c.sum())], "kinds": [len(h)], "levels": [levels.tolist()]}
-        return pa.Table.from_pydict(one, pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64()), ("levels", pa.list_(pa.int64()))]))
-
-    return docs.mapInArrow(local, "size int, bucket int, hashes binary, counts binary").groupBy("size", "bucket").applyInArrow(merged, MERGED)
+            group = b.column(0).to_numpy(zero_copy_only=False) >> GROUP_BITS
+            for a, z in parts(group):
+                if group[a] != now:
+                    yield from map(asked, held.rest())
+                    now = group[a]
+                yield from map(asked, held.add(b.slice(a, z - a)))
+        yield from map(asked, held.rest())
+
+    return run
 
 
 @dataclass
 class Filter:
-    """The slices of all buckets, one after the other, each of ``slots`` bits."""
+    """A slice of the filter: (n-gram, level) entries in ``slots`` bits."""
 
     bits: np.ndarray
-    slots: int
-    buckets: int
+
+    @classmethod
+    def build(cls, hashes: np.ndarray, levels: np.ndarray) -> Filter:
+        bits = np.zeros(max(64, BITS * int(levels.sum())), bool)
+        for k in range(1, int(levels.max(initial=0)) + 1):
+            hashes, levels = hashes[levels >= k], levels[levels >= k]
+            for j in range(PROBES):
+                bits[places(hashes, k, j, len(bits))] = True
+        return cls(bits)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        found, open_ = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
-        base = (hashes % U64(self.buckets)) * U64(self.slots)
+        found, open_ = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
         for k in range(1, LEVELS):
             for j in range(PROBES):
-                at = base[open_] + places(hashes[open_], k, j, self.slots)
-                open_ = open_[(self.bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
+                open_ = open_[self.bits[places(hashes[open_], k, j, len(self.bits))]]
             if not len(open_):
                 break
             found[open_] = k
@@ -150,111 +221,109 @@ def places(hashes: np.ndarray, level: int, probe: int, slots: int) -> np.ndarray
     return mix(hashes + U64(level * 0x9FB21C651E98DF25 + probe * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) % U64(slots)
 
 
-def build_filter(counts: DataFrame, entries: int, least: int, buckets: int) -> Filter:
-    """least: 2-grams of a lower level are left out."""
-    slots = max(64, -(-entries * BITS // buckets // 8) * 8)
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the sum of each one's counts, and the place of each given hash among them."""
+    kind, of = np.unique(hashes, return_inverse=True)
+    return kind, np.bincount(of, counts, len(kind)).astype(np.int64), of
+
+
+TOLD = "block long, slice int, words binary, grams binary, n long, kinds long"
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """One slice: sums the counts of all blocks, builds its filter and probes it for each block."""
+    words = [np.frombuffer(x.as_buffer(), U64) for x in table["words"]]
+    grams = [np.frombuffer(x.as_buffer(), "<u4") for x in table["grams"]]
+    kind, total, of = _summed(np.concatenate(words), np.concatenate([_wide(x) for x in table["word_counts"]]).astype(np.float64))
+    gram, times, gram_of = _summed(np.concatenate(grams), np.concatenate([_wide(x) for x in table["gram_counts"]]).astype(np.float64))
+    gram = gram.astype(U64)
+    seen = times > 0
+    levels = Filter.build(gram[seen], level(times[seen])).levels(gram)[gram_of]
+    counts = total[of]
+    w, g = (np.cumsum([0, *map(len, x)]) for x in (words, grams))
+    n = table.num_rows
+    return pa.table(
+        {
+            "block": table["block"], "slice": table["slice"],
+            "words": pa.array([_narrow(counts[w[i] : w[i + 1]]) for i in range(n)], pa.binary()), "grams": pa.array([levels[g[i] : g[i + 1]].tobytes() for i in range(n)], pa.binary()),
+            "n": pa.array([int(total.sum())] + [0] * (n - 1), pa.int64()), "kinds": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64()),
+        }
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for size, bucket, h, c in zip(*(b.column(i) for i in range(4)), strict=True):
-                h, one = np.frombuffer(h.as_buffer(), U64), size.as_py() == 1
-                levels = level(np.frombuffer(c.as_buffer(), "<i8")) if one else np.frombuffer(c.as_buffer(), np.uint8)
-                h, levels = (h, levels) if one else (h[levels >= least], levels[levels >= least])
-                marks = np.zeros(slots, bool)
-                for k in range(1, int(levels.max(initial=0)) + 1):
-                    h, levels = h[levels >= k], levels[levels >= k]
-                    for j in range(PROBES):
-                        marks[places(h, k, j, slots)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["bucket", "slice"])
-
-    bits = np.zeros(slots * buckets // 8, np.uint8)  # at most MOST_BYTES
-    for row in counts.select("size", "bucket", "hashes", "counts").mapInArrow(run, "bucket int, slice binary").toLocalIterator():
-        bits[row.bucket * slots // 8 :][: slots // 8] |= np.frombuffer(row.slice, np.uint8)
-    return Filter(bits, slots, buckets)
-
-
-def flat(counts: DataFrame, low: int, high: int) -> DataFrame:
-    """(hash, c) of the words whose level is at least low and below high."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, c in zip(b.column(0), b.column(1), strict=True):
-                h, c = np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), "<i8")
-                take = (level(c) >= low) & (level(c) < high)
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(c[take])], ["hash", "c"])
-
-    return counts.filter("size = 1").select("hashes", "counts").mapInArrow(run, "hash long, c long")
-
-
-def score(docs: DataFrame, training: F.Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("id"), F.col(text).alias("text"))
-    counts = common.cut(count(docs.filter(training).select(F.col(text).alias("text")), buckets))
-
-    sums = counts.groupBy("size").agg(F.sum("n"), F.sum("kinds"), *[F.sum(F.get("levels", F.lit(i))) for i in range(LEVELS)]).collect()
-    of = {r[0]: r for r in sums}
-    n, kinds = (of[1][1], of[1][2]) if 1 in of else (0, 0)
-    levels = {size: np.array(of[size][3:], np.int64) if size in of else np.zeros(LEVELS, np.int64) for size in (1, 2)}
-    head_level = next(k for k in range(1, LEVELS + 1) if levels[1][k:].sum() <= HEAD)
-    entries = {size: np.cumsum((x * np.arange(LEVELS))[::-1])[::-1] for size, x in levels.items()}
-    least = next((k for k in range(1, LEVELS) if (entries[1][0] + entries[2][k]) * BITS <= MOST_BYTES * 8), LEVELS)
-    words_fit = min(int(entries[1][0]), MOST_BYTES * 8 // BITS)
-    model = build_filter(counts, words_fit + int(entries[2][least] if least < LEVELS else 0), least, buckets)
-    head = flat(counts, head_level, LEVELS + 1).toArrow()  # at most HEAD rows
-    order = np.argsort(h := head["hash"].to_numpy().view(U64))
-    known = h[order], head["c"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((model, known))
-    ends = flat(counts.filter(F.col("bucket") == int(END % U64(buckets))), 1, LEVELS + 1).filter(F.col("hash") == int(END.view(np.int64))).first()
-
-    first = common.cut(rows.mapInArrow(_scorer(shared, n, kinds, ends.c if ends else 0), "uid long, id long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<long>"))
-    tail = first.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("hash"), F.col("t.times").alias("times"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = tail.join(flat(counts, 1, head_level), "hash", "left").groupBy("uid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(c + 1) - F.log10(F.lit(float(n + kinds + 1))))).alias("further"))
-    return first.join(rest, "uid", "left").select(
-        F.col("id").alias(key), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("further", F.lit(0.0))).alias("base_score"), "score",
-    )
+def log_probabilities(t: Tokens, words: np.ndarray, levels: list[np.ndarray], documents: float, n: int, kinds: int, weight: float, less: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability. words: exact counts; levels: of the 2- and 3-grams; less: what to take off the counts."""
+    p = (np.maximum(words - less, 0) + 1) / (n + kinds + 1)
+    history = words
+    for k, own in enumerate(levels):
+        before = np.empty(len(p))
+        before[1:] = history[:-1]
+        before[t.start] = documents
+        c, before = np.maximum(middle(own) - less, 0), np.maximum(before - less, 0)
+        p = (c + weight * p) / (np.maximum(before, c) + weight)
+        history = middle(levels[k])
+    return np.log10(np.minimum(p, 1.0))
 
 
-def _scorer(shared, n: int, kinds: int, documents: int):
+def _score(slices: int, n: int, kinds: int):
+    """From answers and documents, sorted by group, answers first: a row for each document."""
     whole = np.log10(n + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (head, often) = shared.value
+        told: dict[tuple[int, int], tuple] = {}
+        held, now = Gather(), None
         for b in batches:
-            for lo, hi, data, offsets in common.text_chunks(b.column(2)):
-                t, size = tokens(data, offsets), hi - lo
-                kind, which = np.unique(t.token, return_inverse=True)
-                at = np.minimum(np.searchsorted(head, kind), max(0, len(head) - 1))
-                exact = np.where(head[at] == kind, often[at], 0) if len(head) else np.zeros(len(kind), np.int64)
-                in_head = exact > 0
-                base = np.bincount(t.doc, np.where(in_head, np.log10(exact + 1) - whole, 0)[which], size)
-
-                word = middle(model.levels(kind))
-                pair, place = np.unique(t.pair, return_inverse=True)
-                both = middle(model.levels(pair))[place]
-                single = word[which]
-                before = np.empty(len(single))
-                before[1:] = single[:-1]
-                starts = np.flatnonzero(t.before == START)
-                before[starts] = documents
-                p = (both + MU * (single + 1) / (n + kinds + 1)) / (np.maximum(before, both) + MU)
-                score = np.bincount(t.doc, np.log10(np.minimum(p, 1.0)), size)
-
-                out = np.flatnonzero(~in_head[which])
-                rare, times = np.unique(t.doc[out] * len(kind) + which[out], return_counts=True)
-                ends = np.searchsorted(rare, np.arange(size + 1) * len(kind)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (kind[rare % max(1, len(kind))].view(np.int64), times)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, size), b.column(1).slice(lo, size), pa.array(np.bincount(t.doc, minlength=size)), pa.array(np.bincount(t.doc, in_head[which], size).astype(np.int64)), pa.array(base), pa.array(score), *lists],
-                    ["uid", "id", "n_tokens", "n_known", "base", "score", "tail", "times"],
-                )
+            group, is_doc = (b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("group", "is_doc"))
+            for a, z in parts(group, is_doc):
+                if group[a] != now:
+                    yield from (scored(x, told) for x in held.rest())
+                    told, now = {}, group[a]
+                part = b.slice(a, z - a)
+                if is_doc[a]:
+                    yield from (scored(x, told) for x in held.add(part.select(["uid", "training", "id", "text"])))
+                else:
+                    for at, i, w, g in zip(*(part.column(part.schema.names.index(c)) for c in ("uid", "slice", "words", "grams")), strict=True):
+                        told[at.as_py(), i.as_py()] = (_wide(w), np.frombuffer(g.as_buffer(), np.uint8))
+        yield from (scored(x, told) for x in held.rest())
+
+    def scored(b: pa.RecordBatch, told: dict) -> pa.RecordBatch:
+        at, training, t, size = b.column(0)[0].as_py(), b.column(1).to_numpy(zero_copy_only=False), read_tokens(b), b.num_rows
+        own = block(t, slices)
+        words = np.concatenate([told[at, i][0] for i in np.unique(own.word_slice).tolist()]).astype(np.float64)[own.word_of]
+        levels = np.concatenate([told[at, i][1] for i in np.unique(own.gram_slice).tolist()])[own.gram_of].astype(np.int64)
+        levels = np.split(levels, ORDER - 1)
+        base = np.bincount(t.doc, np.log10(words + 1) - whole, size)
+        documents = words[np.flatnonzero(t.token == END)[0]]
+        less = training[t.doc].astype(np.float64)
+        scores = [np.bincount(t.doc, log_probabilities(t, words, levels, documents, n, kinds, m, np.zeros(len(less))), size) for m in WEIGHTS]
+        unseen = [float(log_probabilities(t, words, levels, documents, n, kinds, m, less)[less > 0].sum()) for m in WEIGHTS]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (size + 1) * len(WEIGHTS), len(WEIGHTS)), pa.int32()), pa.array(np.stack(scores, axis=1).reshape(-1)))
+        fits = pa.ListArray.from_arrays(pa.array([0, *[len(WEIGHTS)] * size], pa.int32()), pa.array(unseen))  # the block's, on its first row
+        return pa.RecordBatch.from_arrays(
+            [b.column(2), pa.array(np.bincount(t.doc, minlength=size)), pa.array(np.bincount(t.doc, words > 0, size).astype(np.int64)), pa.array(base), lists, fits],
+            ["id", "n_tokens", "n_known", "base", "scores", "fits"],
+        )
 
     return run
 
 
+def score(docs: DataFrame, training: F.Column, key: str = "doc_id", text: str = "text", repeatable: bool = False) -> DataFrame:
+    """A row per document: key, n_tokens, n_known, train_tokens, base_score, score. repeatable: as in common.numbered."""
+    rows = common.numbered(docs.select(F.col(key).alias("id"), F.coalesce(training, F.lit(True)).alias("training"), F.coalesce(F.col(text), F.lit("")).alias("text")), "uid", repeatable)
+    slices = max(1, -(-common.text_bytes(rows, "text") // SLICE_BYTES))
+    kind = rows.schema["id"].dataType.simpleString()
+    asked = rows.select("uid", "training", "text").mapInArrow(_ask(slices), ASKED)
+    told = common.cut(asked.groupBy("slice").applyInArrow(_answer, TOLD))
+    n, kinds = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    answers = told.select(F.col("block").alias("uid"), F.lit(False).alias("is_doc"), "slice", "words", "grams")
+    both = answers.unionByName(rows.withColumn("is_doc", F.lit(True)), allowMissingColumns=True).withColumn("group", F.shiftright("uid", GROUP_BITS))
+    met = both.repartition("group").sortWithinPartitions("group", "is_doc", "uid")
+    found = common.cut(met.mapInArrow(_score(slices, n, kinds), f"id {kind}, n_tokens long, n_known long, base double, scores array<double>, fits array<double>"))
+    fits = found.agg(*[F.sum(F.get("fits", F.lit(i))) for i in range(len(WEIGHTS))]).first()
+    best = max(range(len(WEIGHTS)), key=lambda i: (fits[i] if fits[i] is not None else 0.0, i))
+    return found.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.get("scores", F.lit(best)).alias("score"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = common.doc_bucket("doc_id", 7) == 2
-    return score(common.read(spark, sf_dir, "documents").select("doc_id", "text"), ~held).withColumn("held_out", held)
+    return score(common.read(spark, sf_dir, "documents").select("doc_id", "text"), ~held, repeatable=True).withColumn("held_out", held)

@@ -6,13 +6,16 @@ probes it, by hash. A block that is hit from anywhere else is an anchor, and hit
 anchor a wide hash of all its words is compared with those of all other such windows, so what is found are exactly the
 windows that occur twice or more, and overlapping ones make up the maximal exact repeats. Every word of them goes.
 
-Index and probes meet by hash bucket as packed arrays (six bytes a word), never as pairs: each bucket only tells which of
-its entries are not alone, so a passage that a third of all documents share costs as much as any other text. Documents
-without an anchor don't take part in the later steps; a Bloom filter of at most ``FILTER_BYTES`` of the others spares them the
-shuffle (with more documents than it can tell apart it lets more through, and nothing is lost).
-
-A null text counts as empty. Repeated rows are each other's copies. Input rows must come in a repeatable order, as from files.
-Columns of the input stay; the text becomes the kept words, joined by one space; result columns replace those of the same name.
+Index and probes meet by hash bucket as packed arrays (six to ten bytes a word), never as pairs: each bucket only tells which
+of its entries are not alone. Equal entries that a task sees together know so at once: they need no answer, and one of them
+goes to the bucket for all. So a passage that a third of all documents share reaches its bucket once from each task's buffer,
+and buckets are as many as the input's size asks for. Documents without an anchor don't take part in the later steps; a
+Bloom filter of at most ``FILTER_BYTES`` of the others spares them the shuffle (with more documents than it can tell apart it
+lets more through, and nothing is lost).
+
+A null text counts as empty, as does one of white space. Repeated rows are each other's copies. Texts of any length are read
+whole; an empty table gives an empty one. Columns of the input stay; the text becomes the kept words, joined by one space;
+result columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -32,68 +35,101 @@ WINDOW = 35
 FILTER_BYTES = 32 << 20
 #: Words that a task packs at a time.
 FLUSH = 1_000_000
+#: Bytes of text that a bucket holds entries of, on average.
+BUCKET_BYTES = 8 << 20
 OTHER_BASE = U64(0xA24BAED4963EE407)
-PACKED = "bucket int, uids binary, counts binary, keys binary, gaps binary"
+PACKED = "bucket int, uids binary, counts binary, words binary, keys binary"
 
 
 def small(values: np.ndarray) -> bytes:
-    """Values of 0 or more in two or four bytes each, with a byte that tells which."""
-    kind = "<u2" if not len(values) or values.max() < 1 << 16 else "<u4"
+    """Whole numbers in two, four or eight bytes each, with a byte that tells which."""
+    least, most = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    kind = "<i8" if least < 0 or most >> 32 else "<u4" if most >> 16 else "<u2"
     return kind[-1].encode() + values.astype(kind).tobytes()
 
 
 def large(raw: pa.Scalar) -> np.ndarray:
     data = raw.as_buffer()
-    return np.frombuffer(data, "<u2" if data[0:1] == b"2" else "<u4", -1, 1).astype(np.int64)
+    return np.frombuffer(data, {b"2": "<u2", b"4": "<u4", b"8": "<i8"}[data[0:1].to_pybytes()], -1, 1).astype(np.int64)
 
 
 class Packer:
-    """Collects (document, word, bucket, key) entries in order and packs them by bucket."""
+    """Collects (document, word, bucket, key) entries and packs them by bucket, equal ones as one."""
 
-    def __init__(self, buckets: int, kind: str):
-        self.buckets, self.kind = buckets, kind
+    def __init__(self, buckets: int, kind: str, block: int):
+        self.buckets, self.kind, self.block = buckets, kind, block
         self.clear()
 
     def clear(self) -> None:
-        self.uids, self.counts, self.at, self.key, self.bucket, self.words = [], [], [], [], [], 0
-
-    def add(self, uids: np.ndarray, counts: np.ndarray, at: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> None:
-        """at: places among the words of these documents, ascending; counts: words of each document."""
-        self.uids.append(uids)
-        self.counts.append(counts)
-        self.at.append(at + self.words)
-        self.bucket.append((bucket % U64(self.buckets)).astype(np.int32))
+        self.uid, self.at, self.key, self.bucket, self.words = [], [], [], [], 0
+
+    def add(self, uids: np.ndarray, first: np.ndarray, at: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> None:
+        """at: places among the words of these documents, ascending; first: the first word of each document."""
+        doc = np.searchsorted(first, at, "right") - 1
+        self.uid.append(uids[doc])
+        self.at.append(at - first[doc])
+        self.bucket.append((bucket % U64(self.buckets)).astype(np.int64))
         self.key.append(key.astype(self.kind))
-        self.words += int(counts.sum())
+        self.words += int(first[-1])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.words:
-            uids, counts = np.concatenate(self.uids), np.concatenate(self.counts)
-            at, key, bucket = (np.concatenate(x) for x in (self.at, self.key, self.bucket))
+            uid, at, key, bucket = (np.concatenate(x) for x in (self.uid, self.at, self.key, self.bucket))
             self.clear()
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-            head = uids[:1].astype("<i8").tobytes() + np.diff(uids).astype("<i8").tobytes(), small(counts)
-            for lo in range(0, self.buckets, 16):
-                rows = [(i, order[ends[i] : ends[i + 1]]) for i in range(lo, min(lo + 16, self.buckets)) if ends[i + 1] > ends[i]]
-                if rows:
-                    columns = [[i for i, _ in rows], [head[0]] * len(rows), [head[1]] * len(rows), [key[o].tobytes() for _, o in rows], [small(np.diff(at[o], prepend=0)) for _, o in rows]]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "uids", "counts", "keys", "gaps"])
-
-
-def unpacked(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(uid, word in the document, key) of all entries."""
-    found = []
-    for uids, counts, keys, gaps in zip(*(table[c] for c in ("uids", "counts", "keys", "gaps")), strict=True):
-        first = np.concatenate([[0], np.cumsum(large(counts))])
-        at = np.cumsum(large(gaps))
-        doc = np.searchsorted(first, at, "right") - 1
-        found.append((np.cumsum(np.frombuffer(uids.as_buffer(), "<i8"))[doc], at - first[doc], np.frombuffer(keys.as_buffer(), kind)))
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+            indexed = at % self.block == 0
+            whole = key if self.kind == "<u8" else bucket.astype(U64) << U64(33) | key.astype(U64) << U64(1) | (~indexed).astype(U64)
+            order = np.argsort(whole)  # of equal entries, those of the index first
+            same = key[order]
+            first = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]) | (bucket[order][1:] != bucket[order][:-1])])) if len(same) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(order)))
+            told, sent = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            told[order] = np.repeat((n > 1) & indexed[order[first]], n)
+            sent[order[first]] = True
+            if len(known := np.flatnonzero(told & indexed)):
+                yield self._rows(np.array([int(mix(uid[known[:1]].view(U64))[0] % U64(self.buckets))]), [known], uid, at, None)
+            left = np.flatnonzero(sent)
+            left = left[np.argsort(bucket[left].astype(np.uint16) if self.buckets <= 1 << 16 else bucket[left], kind="stable")]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[left])) + 1, [len(left)]]) if len(left) else np.zeros(1, np.int64)
+            for lo in range(0, len(edges) - 1, 16):
+                some = [left[a:z] for a, z in zip(edges[lo : lo + 16], edges[lo + 1 : lo + 17], strict=False)]
+                yield self._rows(np.array([bucket[x[0]] for x in some]), some, uid, at, key)
+
+    def _rows(self, buckets: np.ndarray, parts: list[np.ndarray], uid: np.ndarray, at: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
+        uids, counts = [], []
+        for x in parts:
+            new = np.flatnonzero(np.diff(uid[x], prepend=-1))
+            uids.append(uid[x[:1]].astype("<i8").tobytes() + small(np.diff(uid[x[new]])))
+            counts.append(small(np.diff(np.append(new, len(x)))))
+        keys = [None if key is None else key[x].tobytes() for x in parts]
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *(pa.array(c, pa.binary()) for c in (uids, counts, [small(at[x]) for x in parts], keys))], ["bucket", "uids", "counts", "words", "keys"])
+
+
+def _places(uids: pa.Scalar, counts: pa.Scalar, words: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    raw = uids.as_buffer()
+    first = np.frombuffer(raw, "<i8", 1)
+    steps = large(pa.scalar(raw[8:].to_pybytes(), pa.binary()))
+    return np.repeat(np.cumsum(np.concatenate([first, steps])), large(counts)), large(words)
+
+
+def unpacked(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(uid, word in the document, key) of all entries, and (uid, word) of those that are known to be repeated."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for uids, counts, words, keys in zip(*(table[c] for c in ("uids", "counts", "words", "keys")), strict=True):
+        uid, at = _places(uids, counts, words)
+        if keys.is_valid:
+            found[0].append(uid)
+            found[1].append(at)
+            found[2].append(np.frombuffer(keys.as_buffer(), kind))
+        else:
+            found[3].append(uid)
+            found[4].append(at)
+    return tuple(np.concatenate(f) for f in found)
 
 
 def repeated(key: np.ndarray, indexed: np.ndarray) -> np.ndarray:
     """Which entries share their key with another one, one of the two being indexed."""
+    if not len(key):
+        return np.zeros(0, bool)
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     n = np.diff(np.append(first, len(key)))
@@ -121,6 +157,8 @@ def by_document(table: pa.Table) -> pa.Table:
     at = np.concatenate([large(x) for x in table["at"]])
     order = np.lexsort((at, uid))
     uid, at = uid[order], at[order]
+    once = np.concatenate([[True], (uid[1:] != uid[:-1]) | (at[1:] != at[:-1])])
+    uid, at = uid[once], at[once]
     first = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
     cut = [small(x) for x in np.split(at, first[1:])]
     return pa.Table.from_arrays([pa.array(uid[first]), pa.array(cut, pa.binary())], ["uid", "at"])
@@ -128,19 +166,19 @@ def by_document(table: pa.Table) -> pa.Table:
 
 def _anchors(kind: str, block: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        uid, at, key = unpacked(table, kind)
+        uid, at, key, told, told_at = unpacked(table, kind)
         aligned = at % block == 0
         hit = repeated(key, aligned) & aligned
-        return replies(uid[hit], at[hit] // block, parts)
+        return replies(np.concatenate([uid[hit], told]), np.concatenate([at[hit], told_at]) // block, parts)
 
     return run
 
 
 def _twice(kind: str, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        uid, at, key = unpacked(table, kind)
+        uid, at, key, told, told_at = unpacked(table, kind)
         hit = repeated(key, np.ones(len(key), bool))
-        return replies(uid[hit], at[hit], parts)
+        return replies(np.concatenate([uid[hit], told]), np.concatenate([at[hit], told_at]), parts)
 
     return run
 
@@ -152,7 +190,7 @@ def answered(packed: DataFrame, run) -> DataFrame:
 
 def _rolling(window: int, block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Packer(buckets, "<u4")
+        out = Packer(buckets, "<u4", block)
         for b in batches:
             uids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in common.text_chunks(b.column(1)):
@@ -160,7 +198,7 @@ def _rolling(window: int, block: int, buckets: int):
                 counts = np.diff(w.first)
                 starts, grams = w.grams(block)
                 long = np.repeat(counts >= window, counts)[starts]
-                out.add(uids[lo:hi], counts, starts[long], grams[long] & U64(0xFFFFFFFF), grams[long] >> U64(32))
+                out.add(uids[lo:hi], w.first, starts[long], grams[long] & U64(0xFFFFFFFF), grams[long] >> U64(32))
                 if out.words >= FLUSH:
                     yield from out.flush()
         yield from out.flush()
@@ -170,7 +208,7 @@ def _rolling(window: int, block: int, buckets: int):
 
 def _extended(window: int, block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Packer(buckets, "<u8")
+        out = Packer(buckets, "<u8", 1)
         for b in batches:
             uids, anchors = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
             for lo, hi, data, offsets in common.text_chunks(b.column(1)):
@@ -183,7 +221,7 @@ def _extended(window: int, block: int, buckets: int):
                     np.add.at(marks, begin + blocks + 1, -1)
                 all_starts = common.window_starts(w.first, window)
                 starts = all_starts[np.cumsum(marks)[all_starts] > 0]
-                out.add(uids[lo:hi], np.diff(w.first), starts, common.window_hashes(w.hashes, starts, window, OTHER_BASE), common.window_hashes(w.hashes, starts, window))
+                out.add(uids[lo:hi], w.first, starts, common.window_hashes(w.hashes, starts, window, OTHER_BASE), common.window_hashes(w.hashes, starts, window))
                 if out.words >= FLUSH:
                     yield from out.flush()
         yield from out.flush()
@@ -269,16 +307,16 @@ def _finish(window: int, text: str):
     return run
 
 
-def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with their texts as they are after removal, n_words (before) and n_removed."""
+def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, repeatable: bool = False) -> DataFrame:
+    """docs with their texts as they are after removal, n_words (before) and n_removed. repeatable: as in common.numbered."""
     spark, block = docs.sparkSession, (window + 1) // 2
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, told = 2 * parts, max(1, parts // 4)  # an answer is packed for each bucket and each of the fewer parts
-    rows = docs.drop("n_words", "n_removed").withColumn("_tm_uid", F.monotonically_increasing_id())
+    rows = common.numbered(docs.drop("n_words", "n_removed"), "_tm_uid", repeatable)
+    buckets = max(1, -(-common.text_bytes(rows, text) // BUCKET_BYTES))
+    told = max(1, buckets // 8)  # an answer is packed for each bucket and each of the fewer parts
     texts = rows.select("_tm_uid", F.col(text).alias("text"))
     anchors = answered(texts.mapInArrow(_rolling(window, block, buckets), PACKED), _anchors("<u4", block, told))
 
-    members = spark.sparkContext.broadcast(Members(anchors.select("uid"), parts))  # at most FILTER_BYTES
+    members = spark.sparkContext.broadcast(Members(anchors.select("uid"), told))  # at most FILTER_BYTES
     touched = texts.mapInArrow(_only(members, True), texts.schema).join(anchors, F.col("_tm_uid") == F.col("uid")).select("uid", "text", "at")
     windows = answered(touched.mapInArrow(_extended(window, block, buckets), PACKED), _twice("<u8", told))
 
@@ -289,7 +327,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup(common.read(spark, sf_dir, "documents").select("doc_id", "text"), repeatable=True)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
