@@ -54,6 +54,112 @@ SIGNATURES = [
     (r"eclipse org legal epl v10", "epl-1.0", 0.98),
     (r"the artistic license 2 0", "artistic-2.0", 0.97),
     (r"python software foundation license (?:version )?2?", "psf-2.0", 0.95),
+    (r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "mit", 0.7),
+    (r"except as contained in this notice the name .{1,80}? shall not be used in advertising", "x11", 0.97),
+    (r"the author disclaims all warranties with regard to this software", "isc", 0.9),
+    (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that", "isc", 0.98),
+    (r"redistributions of source code must retain the above copyright notice", "bsd", 0.95),
+    (r"redistributions in binary form must reproduce the above copyright notice", "bsd", 0.95),
+    (r"this software is provided by the copyright holders and contributors as is", "bsd", 0.9),
+    (r"the views and conclusions contained in the software and documentation are those of the authors", "bsd-2-clause-views", 0.95),
+    (r"this product includes software developed by the university of california berkeley", "bsd-4-clause-uc", 0.97),
+    (r"this product includes software developed by the openssl project", "openssl", 0.97),
+    (r"this product includes software developed by the apache software foundation", "apache-1.1", 0.95),
+    (r"licensed to the apache software foundation asf under one or more contributor license agreements", "apache-2.0", 0.97),
+    (r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2.0", 0.95),
+    (r"terms and conditions for use reproduction and distribution", "apache-2.0", 0.9),
+    (r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "apache-2.0", 0.9),
+    (r"everyone is permitted to copy and distribute verbatim copies of this license document", "gnu-license-text", 0.9),
+    (r"the gnu general public license is a free copyleft license for software", "gpl-3.0", 0.98),
+    (r"the licenses for most software are designed to take away your freedom to share and change it", "gpl-2.0", 0.95),
+    (r"this license sometimes called the lesser general public license", "lgpl-2.1", 0.97),
+    (r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3", "lgpl-3.0", 0.98),
+    (r"remote network interaction use with the gnu general public license", "agpl-3.0", 0.98),
+    (r"this program is free software you can redistribute it and or modify it", "gpl", 0.85),
+    (r"this library is free software you can redistribute it and or modify it", "lgpl", 0.85),
+    (r"under the terms of the gnu library general public license", "lgpl-2.0", 0.95),
+    (r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu", "gpl", 0.85),
+    (r"as a special exception the free software foundation gives unlimited permission", "gpl-exception", 0.9),
+    (r"linking this library statically or dynamically with other modules is making a combined work", "gpl-classpath-exception", 0.97),
+    (r"classpath exception", "gpl-classpath-exception", 0.8),
+    (r"gcc runtime library exception", "gpl-gcc-exception", 0.95),
+    (r"autoconf configure script exception", "gpl-autoconf-exception", 0.95),
+    (r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl", 0.98),
+    (r"with no invariant sections no front cover texts and no back cover texts", "gfdl", 0.95),
+    (r"if a copy of the mpl was not distributed with this file", "mpl-2.0", 0.99),
+    (r"the contents of this file are subject to the mozilla public license version 1 1", "mpl-1.1", 0.99),
+    (r"the contents of this file are subject to the netscape public license", "npl", 0.98),
+    (r"alternatively the contents of this file may be used under the terms of", "multi-license", 0.7),
+    (r"this file is part of .{1,60}? subject to the common development and distribution license", "cddl-1.0", 0.97),
+    (r"you can obtain a copy of the license at usr src opensolaris license", "cddl-1.0", 0.98),
+    (r"eclipse public license v 1 0 which accompanies this distribution", "epl-1.0", 0.98),
+    (r"spdx license identifier epl 2 0 or", "epl-2.0", 0.98),
+    (r"eclipse org org documents edl v10", "edl-1.0", 0.98),
+    (r"licensed under the eupl version 1 [12]", "eupl", 0.97),
+    (r"this software is governed by the cecill license under french law", "cecill", 0.98),
+    (r"anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", 0.98),
+    (r"has waived all copyright and related or neighboring rights", "cc0-1.0", 0.97),
+    (r"this work is licensed under a creative commons attribution", "cc-by", 0.9),
+    (r"to view a copy of this license visit http[s]? creativecommons org", "creative-commons", 0.9),
+    (r"you are free to share copy and redistribute the material in any medium or format", "creative-commons", 0.9),
+    (r"you must give appropriate credit provide a link to the license and indicate if changes were made", "creative-commons", 0.9),
+    (r"if you remix transform or build upon the material you must distribute your contributions under the same license", "cc-by-sa", 0.95),
+    (r"you may not use the material for commercial purposes", "cc-by-nc", 0.9),
+    (r"if you remix transform or build upon the material you may not distribute the modified material", "cc-by-nd", 0.95),
+    (r"opendatacommons org licenses odbl", "odbl-1.0", 0.98),
+    (r"opendatacommons org licenses by", "odc-by-1.0", 0.98),
+    (r"opendatacommons org licenses pddl", "pddl-1.0", 0.98),
+    (r"community data license agreement permissive", "cdla-permissive", 0.97),
+    (r"community data license agreement sharing", "cdla-sharing", 0.97),
+    (r"this font software is licensed under the sil open font license", "ofl-1.1", 0.99),
+    (r"reserved font name", "ofl-1.1", 0.8),
+    (r"the origin of this software must not be misrepresented", "zlib", 0.97),
+    (r"this notice may not be removed or altered from any source distribution", "zlib", 0.95),
+    (r"permission is hereby granted to use copy modify and distribute this software .{1,60}? libpng", "libpng", 0.9),
+    (r"this software is based in part on the work of the independent jpeg group", "ijg", 0.97),
+    (r"developed by .{1,60}? university of illinois", "ncsa", 0.8),
+    (r"neither the names of .{1,120}? nor the names of its contributors may be used to endorse or promote", "ncsa", 0.9),
+    (r"redistribution and use in source and binary forms of php", "php-3.01", 0.9),
+    (r"this product includes php software freely available", "php-3.01", 0.97),
+    (r"in no event shall .{1,60}? be liable to any party for direct indirect special incidental or consequential damages", "postgresql", 0.8),
+    (r"python software foundation all rights reserved", "psf-2.0", 0.9),
+    (r"you may make and give away verbatim copies of the source form of the software without restriction", "ruby", 0.8),
+    (r"the intent of this document is to state the conditions under which a package may be copied", "artistic-1.0", 0.98),
+    (r"vim is charityware", "vim", 0.98),
+    (r"w3c software notice and license", "w3c", 0.98),
+    (r"by obtaining and or copying this work you the licensee agree", "w3c", 0.9),
+    (r"as long as you retain this notice you can do whatever you want with this stuff", "beerware", 0.99),
+    (r"the software shall be used for good not evil", "json", 0.99),
+    (r"copying and distribution of this file with or without modification are permitted in any medium without royalty", "fsf-all-permissive", 0.98),
+    (r"this file may be distributed and or modified under the conditions of the latex project public license", "lppl", 0.98),
+    (r"you are licensed to use this software for your internal business purposes only", "commercial", 0.8),
+    (r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "busl-1.1", 0.98),
+    (r"on the change date .{1,80}? the licensor hereby grants you rights under the terms of the change license", "busl-1.1", 0.98),
+    (r"you may not provide the software to third parties as a hosted or managed service", "elastic-2.0", 0.98),
+    (r"offering the program as a service .{1,120}? service source code", "sspl-1.0", 0.97),
+    (r"the commons clause", "commons-clause", 0.9),
+    (r"does not grant to you the right to sell the software", "commons-clause", 0.95),
+    (r"the polyform .{1,30}? license", "polyform", 0.95),
+    (r"use based restrictions as referenced in paragraph 5", "openrail", 0.97),
+    (r"bigscience rail license", "bigscience-rail", 0.98),
+    (r"llama materials", "llama", 0.8),
+    (r"gemma terms of use", "gemma", 0.95),
+    (r"for research purposes only", "research-only", 0.6),
+    (r"for academic (?:and|or) non ?commercial use only", "research-only", 0.8),
+    (r"for evaluation purposes only", "evaluation", 0.6),
+    (r"free for personal use", "personal-use", 0.6),
+    (r"no part of this (?:publication|book|work) may be reproduced", "all-rights-reserved", 0.9),
+    (r"may not be reproduced (?:or distributed )?without (?:the )?(?:prior )?(?:written )?permission", "all-rights-reserved", 0.8),
+    (r"reproduction (?:is )?prohibited without", "all-rights-reserved", 0.7),
+    (r"used with permission of the copyright (?:holder|owner)", "permission", 0.6),
+    (r"this software is confidential and proprietary information", "proprietary", 0.9),
+    (r"end user license agreement", "eula", 0.7),
+    (r"by installing (?:or using )?this software you agree", "eula", 0.8),
+    (r"this work has been dedicated to the public domain", "public-domain", 0.9),
+    (r"to the extent possible under law", "cc0-1.0", 0.7),
+    (r"open government licen[cs]e", "ogl", 0.9),
+    (r"contains public sector information licensed under", "ogl", 0.95),
+    (r"openstreetmap contributors", "odbl-1.0", 0.6),
     (r"all rights reserved", "all-rights-reserved", 0.4),
     (r"copyright (?:\(?c\)? )?(?:19|20)\d\d", "copyright-notice", 0.3),
     (r"proprietary and confidential", "proprietary", 0.8),
@@ -154,7 +260,7 @@ NAMES = [
 ]
 
 # Keywords of rules of whose pattern little stands fast, by the start of the label.
-COMMON = {"cc": ["cc"], "gpl": ["gpl"], "public": ["public"], "non": ["commercial"]}
+COMMON = {"cc": ["cc"], "gpl": ["gpl"], "public": ["public"], "non": ["commercial"], "all": ["reproduc"]}
 
 # The elements of Creative Commons licenses, as their identifiers and as their titles have them.
 CC_PARTS = {"by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s", "by-sa": "attribution share ?alike", "by": "attribution"}

@@ -1,16 +1,20 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
 Each text that may hold a license (it has a word that some rule needs) meets the rules whose own keyword it has. Overlapping
-detections are resolved: one inside another goes, and of two that overlap the one of the earlier rule stays. Every step
-works on one row at a time, so nothing is shuffled and a source of any size is no hot spot.
-
-A null text counts as empty; empty texts and texts without words give no detections and score 0. Repeated rows give
-repeated results. Columns of the input stay; result columns replace those of the same name.
+detections are resolved: one inside a longer one goes (of two with the same span the later rule's), and of two that overlap
+otherwise the one of the earlier rule stays. Two sweeps over a text's detections, by start and by end, find these: each
+detection meets those that are still open only, so the work grows with the text. Every step works on one row at a time, so
+nothing is shuffled and a source of any size is no hot spot.
+
+A null text counts as empty; empty texts and texts without words give no detections and score 0; texts of any length are
+scanned whole; an empty table gives an empty one. Repeated rows give repeated results. Columns of the input stay; result
+columns replace those of the same name.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,9 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 #: What a base detection is worth to the score.
 BASE_WEIGHT = 0.9
 
+DETECTIONS = "array<struct<s:int,e:int,o:int,l:string,w:double>>"
+MARKED = "array<struct<k:int,s:int,e:int,o:int,l:string,w:double,lost:boolean>>"
+
 
 def compiled(pattern: str) -> str:
     return rf"(?<!{WORD})(?:{pattern.replace(',?', '').replace(' ?', '~').replace(' ', BETWEEN).replace('~', f'(?:{BETWEEN})?')})(?!{WORD})"
@@ -58,12 +65,11 @@ def spans(text: Column, rule: Column) -> Column:
     hits = F.regexp_extract_all(text, rule["r"], F.lit(0))
     gaps = F.split(text, rule["r"], -1)
     lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,o:int,l:string,w:double>>").alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["g"] + x["h"]).alias("at"),
-        F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["h"]).alias("e"), rule["o"].alias("o"), rule["l"].alias("l"), rule["w"].alias("w"))).alias("out"),
-    )
-    return F.when(F.size(hits) > 0, F.aggregate(lengths, start, step, lambda a: a["out"])).otherwise(start["out"])
+    # places are collected in a string: to append to it costs less than to copy an array
+    step = lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], (a["at"] + x["g"]).cast("string"), F.lit(",")).alias("out"))
+    starts = F.split(F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: a["out"]), ",", -1)
+    found = F.zip_with(F.slice(starts, 1, F.size(hits)).cast("array<int>"), hits, lambda s, h: F.struct(s.alias("s"), (s + F.length(h)).alias("e"), rule["o"].alias("o"), rule["l"].alias("l"), rule["w"].alias("w")))
+    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(DETECTIONS))
 
 
 def phrase_places(words: Column) -> Column:
@@ -87,6 +93,44 @@ def word_count(text: Column) -> Column:
     return F.size(parts).cast("long") - blank(F.get(parts, F.lit(0))) - F.when(F.size(parts) > 1, blank(F.get(parts, F.size(parts) - 1))).otherwise(F.lit(0))
 
 
+def sweep(sorted_: Column, open_: Callable[[Column, Column], Column]) -> Column:
+    """Sorted detections, marked as lost if an earlier one beats them; open_(e, d): whether e, before d, may reach d or a later one.
+
+    What is lost stays in the sequence, as it beats others still.
+    """
+
+    def step(state: Column, d: Column) -> Column:
+        near = F.filter(state["near"], lambda e: open_(e, d))
+        lost = d["lost"] | F.exists(near, lambda e: beats(e, d))
+        return F.struct(F.array_append(near, d).alias("near"), F.concat(state["marks"], F.when(lost, F.lit("1")).otherwise(F.lit("0"))).alias("marks"))
+
+    start = F.struct(F.array().cast(MARKED).alias("near"), F.lit("").alias("marks"))
+    marks = F.regexp_extract_all(F.aggregate(sorted_, start, step, lambda state: state["marks"]), F.lit("."), F.lit(0))
+    return F.zip_with(sorted_, marks, lambda d, m: F.struct(*[d[c].alias(c) for c in "kseolw"], (m == "1").alias("lost")))
+
+
+def beats(e: Column, d: Column) -> Column:
+    """Whether detection e removes d, where the two overlap."""
+    long_e, long_d = e["e"] - e["s"], d["e"] - d["s"]
+    inside = (e["s"] <= d["s"]) & (e["e"] >= d["e"]) & ((long_e > long_d) | (e["o"] < d["o"]))
+    covers = (d["s"] <= e["s"]) & (d["e"] >= e["e"]) & (long_d > long_e)
+    return inside | ((e["o"] < d["o"]) & ~covers)
+
+
+def resolved(found: Column) -> Column:
+    """The detections that stay, by place.
+
+    One that starts after d and ends before it is inside d and can't beat it. So whatever beats d starts no later, and is met
+    in the sweep by start, or ends no earlier, and is met in the sweep by end.
+    """
+    def keyed(rows: Column, key: Callable[[Column], Column], lost: Callable[[Column], Column]) -> Column:
+        return F.array_sort(F.transform(rows, lambda d: F.struct(key(d).alias("k"), *[d[c].alias(c) for c in "seolw"], lost(d).alias("lost"))))
+
+    starts = sweep(keyed(found, lambda d: d["s"], lambda _: F.lit(False)), lambda e, d: e["e"] > d["s"])
+    ends = sweep(keyed(starts, lambda d: -d["e"], lambda d: d["lost"]), lambda e, d: e["s"] < d["e"])
+    return F.array_sort(F.transform(F.filter(ends, lambda d: ~d["lost"]), lambda d: F.struct(*[d[c].alias(c) for c in "seolw"])))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, base (places of phrases), detections (those that stay), base_labels, labels, score."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -99,17 +143,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     third = second.withColumn("base", F.when(F.col("_tm_words").isNotNull(), base)).withColumn("_tm_found", F.when(low.isNotNull(), found))
     all_of = F.col("_tm_found")
 
-    def beaten(d: Column) -> Column:
-        def by(e: Column) -> Column:
-            longer, same = (e["e"] - e["s"]) > (d["e"] - d["s"]), (e["e"] == d["e"]) & (e["s"] == d["s"])
-            inside = (e["s"] <= d["s"]) & (e["e"] >= d["e"]) & (longer | same & (e["o"] < d["o"]))
-            overlap = (e["s"] < d["e"]) & (d["s"] < e["e"]) & (e["o"] < d["o"])
-            covers = (d["s"] <= e["s"]) & (d["e"] >= e["e"]) & ((d["e"] - d["s"]) > (e["e"] - e["s"]))
-            return inside | overlap & ~covers
-
-        return F.exists(all_of, by)
-
-    fourth = third.withColumn("detections", F.coalesce(F.filter(all_of, lambda d: ~beaten(d)), F.array().cast("array<struct<s:int,e:int,o:int,l:string,w:double>>")))
+    fourth = third.withColumn("detections", F.when(F.size(all_of) < 2, all_of).otherwise(resolved(all_of)))
+    fourth = fourth.withColumn("detections", F.coalesce("detections", F.array().cast(DETECTIONS)))
     base_labels = F.coalesce(F.array_distinct(F.transform(F.col("base"), lambda b: b["l"])), F.array().cast("array<string>"))
     own = F.transform(F.col("detections"), lambda d: d["l"])
     best = F.coalesce(F.array_max(F.transform(F.col("detections"), lambda d: d["w"])), F.lit(0.0))
