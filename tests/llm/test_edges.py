@@ -20,21 +20,35 @@ def test_every_operator_takes_odd_rows(spark, empty):
     n = docs.count()
     bench = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "run1 run2 run3 run4 run5 run6 run7 run8", "x"), (None, "one", "x")], BENCH)
     labels = spark.createDataFrame([(5, 1, 0, "x"), (None, 1, 0, "x"), (7, None, 0, "x"), (4, 0, 0, "x"), (4, 0, 1, "x")], LABELS)
-    assert licenses.scan(docs).count() == n
-    assert byte_bpe.decode(byte_bpe.encode(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN), public.path("byte_bpe_50k.tiktoken")).count() == n
-    assert quality.classify(docs, labels).count() == n
+    text = lambda df, *more: by_row(df, "doc_id", *more)
+    own = [(r.doc_id, r.text or "") for r in docs.collect()]
+    each = lambda f: sorted(((i, *f(t)) for i, t in own), key=str)
+    scanned = licenses.scan(docs)
+    assert scanned.count() == n
+    assert scanned.filter("doc_id <> 8 or doc_id is null").filter("labels <> '' or score <> 0.0 or size(detections) <> 0").count() == 0
+    ids = byte_bpe.encode(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    assert text(byte_bpe.decode(ids, public.path("byte_bpe_50k.tiktoken")), "decoded") == sorted(((i, bytearray(t.encode())) for i, t in own), key=str)
+    judged = quality.classify(docs, labels)
+    assert judged.count() == n and judged.filter("score < 0 or score > 1 or predicted <> int(score >= 0.7)").count() == 0
     assert quality.classify(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
-    assert substring_dedup.dedup(docs).count() == n
-    assert line_dedup.dedup(docs).count() == n
-    assert near_dup.classes(docs).count() == n
-    assert lm_score.score(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))).count() == n
-    assert lm_score.score(docs, F.lit(False)).count() == n
+    assert text(substring_dedup.dedup(docs), "n_words") == each(lambda t: (len(t.encode().split()),))
+    assert text(line_dedup.dedup(docs), "n_lines") == each(lambda t: (sum(1 for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")),))
+    classes = near_dup.classes(docs)
+    assert classes.count() == n and classes.filter("kept").count() == (0 if empty else 7)
+    assert near_dup.keep_one(docs).columns == docs.columns and near_dup.keep_one(docs).count() == (0 if empty else 7)
+    scored = lm_score.score(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
+    assert text(scored, "n_tokens") == each(lambda t: (len(t.encode().split()) + 1,))
+    assert lm_score.score(docs, F.lit(False)).filter("train_tokens <> 0 or n_known <> 0 or base_score <> 0.0").count() == 0
+    cleaned = decontaminate.clean(docs, bench)
+    assert cleaned.columns == docs.columns and by_row(cleaned, "doc_id") == ([] if empty else sorted([(1,), (2,), (3,), (4,), (None,), (8,), (9,)], key=str))
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
     found = by_row(decontaminate.find(docs, bench), "doc_id", "item_id")
     assert found == ([] if empty else sorted([(5, 3), (5, 3), (6, 3), (None, 3), (7, None)], key=str))
     folder = scratch(spark, "edge")
     token_shards.write(docs, folder, public.path("word_bpe_49k.json"), 2)
     assert token_shards.fetch(docs, folder, public.path("word_bpe_49k.json")).count() == n
+    strangers = spark.createDataFrame([(77,), (10**12,), (-5,)], "doc_id long")
+    assert token_shards.fetch(strangers, folder, public.path("word_bpe_49k.json")).count() == 0
 
 
 def test_repeats_are_found_and_named(spark):
@@ -75,3 +89,34 @@ def test_license_detections(spark):
     assert [(b.i, b.l) for b in sorted(r.base, key=lambda b: b.i)] == [(8, "mit"), (10, "mit"), (33, "gpl")]
     spans = sorted((d.s, d.e) for d in r.detections)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_stages_of_the_pipeline_take_odd_rows(spark):
+    import corpus_pipeline
+
+    path = scratch(spark, "edge-tables")
+    spark.createDataFrame([(3, "run1 run2 run3 run4 run5 run6 run7 run8"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    for empty in (False, True):
+        docs = documents(spark, empty)
+        docs.write.parquet(f"{path}/{empty}")
+        docs = spark.read.parquet(f"{path}/{empty}")
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, path)
+            out.write.parquet(f"{path}/{empty}-{k}")
+            out = spark.read.parquet(f"{path}/{empty}-{k}")
+            assert out.count() <= docs.count() and (name == "byte-level BPE" or out.columns == docs.columns)
+            if k:
+                docs = out
+        assert (out.count() == 0) if empty else by_row(out, "doc_id") == sorted([(1,), (2,), (3,), (4,), (8,), (9,)], key=str) or out.count() >= 5
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from tidemark.llm import common
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Elsewhere())

@@ -6,9 +6,13 @@ where at least two different seeds of one item (one, for items of fewer than six
 common could give the score, Smith-Waterman alignment of item and surroundings gives it: 2 for equal words, -1 for different
 or missing ones, divided by what the whole item would get. A document is contaminated by an item if that is at least ``least``.
 
-The items go to the workers in blocks of a fixed number of words, each block meeting all documents; nothing of the
-documents is shuffled. Null texts count as empty; items without words match nothing; repeated
-documents and repeated items each give their own rows; an item of fewer than three words must occur as a whole.
+The items are broadcast in blocks of a fixed number of words, each block meeting all documents: benchmarks of any size are
+searched whole, at one pass over the documents for each block. Nothing of the documents is shuffled.
+
+Null texts count as empty; items without words match nothing; an item of fewer than three words must occur as a whole. Repeated
+documents and repeated items each give their own rows; of several places with the best score in one document the first counts.
+Texts of any length are read whole. Without items or documents there are no rows. Other columns are left out by ``find``,
+whatever their names, and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -33,8 +37,11 @@ _INSIDE = ~SPACES
 _INSIDE[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 
 
-def plain_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return common.words(data, offsets, lower=True, inside=_INSIDE)
+def plain_words(texts: pa.Array, most: int = common.CHUNK_BYTES) -> Iterator[tuple[int, Words]]:
+    """Pieces of a column of texts: the first row, and the words to compare. Documents and items both come this way."""
+    lower = pc.replace_substring(pc.utf8_lower(texts), "ς", "σ")  # a sigma at a word's end is one like others
+    for lo, _, data, offsets in common.text_chunks(lower, most):
+        yield lo, common.words(data, offsets, inside=_INSIDE)
 
 
 @dataclass
@@ -61,9 +68,7 @@ def blocks(benchmark: DataFrame, key: str, text: str, most: int = BLOCK_WORDS) -
 
 
 def block(ids: list, texts: list[str]) -> Block:
-    raw = [t.lower().encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([*map(len, raw)])]).astype(np.int64)
-    w = plain_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    ((_, w),) = plain_words(pa.array(texts, pa.large_string()), 1 << 62)
     each = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
     starts, grams = w.grams(N)
     items = w.doc[starts]
@@ -130,17 +135,18 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     found = docs.sparkSession.createDataFrame([], schema)
     for one in blocks(benchmark, item_key, item_text, most):
         if len(one.hashes):
-            found = found.unionByName(parts.mapInArrow(_finder(one, least, schema, (key, item_key)), schema))
+            shared = docs.sparkSession.sparkContext.broadcast(one)  # of about `most` words
+            found = found.unionByName(parts.mapInArrow(_finder(shared, least, (key, item_key)), schema))
     return found
 
 
-def _finder(one: Block, least: float, schema: str, names: tuple[str, str]):
+def _finder(shared, least: float, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = shared.value
         short = {len(x) for x in one.words if 0 < len(x) < N}
         for b in batches:
             rows, out = [], []
-            for lo, _, data, offsets in common.text_chunks(pc.utf8_lower(b.column(1))):
-                w = plain_words(data, offsets)
+            for lo, w in plain_words(b.column(1)):
                 for doc, hit in matches(w, one, short, least):
                     rows.append(lo + doc)
                     out.append(hit)
@@ -186,11 +192,11 @@ def matches(w: Words, one: Block, short: set[int], least: float) -> Iterator[tup
         yield d, hit
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that hold no item. Rows are told apart by their place in the input, which must be repeatable."""
-    rows = docs.withColumn("_tm_uid", F.monotonically_increasing_id())
-    found = find(rows.drop(key).withColumnRenamed("_tm_uid", key), benchmark, key, text, **how).select(F.col(key).alias("_tm_bad")).distinct()
-    return rows.join(found, rows["_tm_uid"] == found["_tm_bad"], "left_anti").drop("_tm_uid")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", repeatable: bool = False, **how) -> DataFrame:
+    """The rows of docs that hold no item. repeatable: as in common.numbered."""
+    rows = common.numbered(docs, "_tm_uid", repeatable)
+    found = find(rows.select("_tm_uid", text), benchmark, "_tm_uid", text, **how).select("_tm_uid").distinct()
+    return rows.join(found, "_tm_uid", "left_anti").drop("_tm_uid")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,11 @@ shingles, so nodes meet at these, first one central node of each, then all that
 sizes, places and parity bitmaps (each an exact bound) allow ``least``. So no pair that shares a band is left out, in buckets
 of any size; a pair of similarity 0.8 shares one with probability 0.9998.
 
-Result: a row per document with class_id (the smallest id in the class), class_size, n_links (verified links of its text)
-and kept (true for one row of each class, that of the smallest id). A null text counts as empty; empty texts equal each
-other and nothing else; rows without an id come after those with one. Input rows must come in a repeatable order, as from files.
+Result: a row per document with class_id (the smallest id in the class), class_size, n_verified (links of its text that were
+verified: enough to tell its class, in large classes not all there are) and kept (true for one row of each class, that of the
+smallest id). A null text counts as empty; empty texts equal each other and nothing else; rows without an id come after those
+with one; repeated rows are each other's copies. Texts of any length are read whole; an empty table gives an empty one. Other
+columns are left out by ``classes``, whatever their names, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -266,10 +268,15 @@ def components(edges: DataFrame) -> DataFrame:
             return root
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """A row per document: uid (its place in the input), key, class_id, class_size, n_links, kept."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = rows.select("uid", "id", F.sha2("text", 256).alias("same"), "text").mapInArrow(_signed, "uid long, id long, same string, bands array<long>")
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, repeatable: bool = False) -> DataFrame:
+    """A row per document: key, class_id, class_size, n_verified, kept. repeatable: as in common.numbered."""
+    return _classes(common.numbered(docs.select(F.col(key), F.col(text)), "uid", repeatable), key, text, least).drop("uid")
+
+
+def _classes(numbered: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    rows = numbered.select("uid", F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = rows.select("uid", "id", F.sha2("text", 256).alias("same"), "text").mapInArrow(_signed, f"uid long, id {kind}, same string, bands array<long>")
     signed = common.cut(signed)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     nodes = common.cut(signed.groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")).select("same", "first", "first.uid", "n", "bands"))
@@ -280,18 +287,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     sets = common.cut(rows.select("uid", "text").join(wanted, "uid").mapInArrow(_sets, "uid long, shingles binary"))
     links, root = finished(met, nodes, verified(found, sets, least), sets, least)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
-    known = nodes.join(root, "uid").join(degree, "uid", "left").select("same", "first", "n", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_verified"))
+    known = nodes.join(root, "uid").join(degree, "uid", "left").select("same", "first", "n", "root", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     whole = known.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
-    texts = known.join(whole, "root").select("same", "head", "class_size", "n_links")
-    return signed.select("uid", "id", "same").join(texts, "same").select("uid", F.col("id").alias(key), F.col("head.id").alias("class_id"), "class_size", "n_links", (F.col("uid") == F.col("head.uid")).alias("kept"))
+    texts = known.join(whole, "root").select("same", "head", "class_size", "n_verified")
+    return signed.select("uid", "id", "same").join(texts, "same").select("uid", F.col("id").alias(key), F.col("head.id").alias("class_id"), "class_size", "n_verified", (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, repeatable: bool = False) -> DataFrame:
     """The rows of docs that stay: one of each class."""
-    stay = classes(docs, key, text).filter("kept").select(F.col("uid").alias("_tm_uid"))
-    return docs.withColumn("_tm_uid", F.monotonically_increasing_id()).join(stay, "_tm_uid", "left_semi").drop("_tm_uid")
+    rows = common.numbered(docs, "_tm_uid", repeatable)
+    stay = _classes(rows.select(F.col("_tm_uid").alias("uid"), key, text), key, text, least).filter("kept").select(F.col("uid").alias("_tm_uid"))
+    return rows.join(stay, "_tm_uid", "left_semi").drop("_tm_uid")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.read(spark, sf_dir, "documents")).drop("uid")
+    return classes(common.read(spark, sf_dir, "documents").select("doc_id", "text"), repeatable=True)

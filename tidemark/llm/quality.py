@@ -6,10 +6,12 @@ scaled by the log ratio of the column's smoothed class frequencies; rows are sca
 model with hinge loss is fitted by dual coordinate descent, and a logistic curve, fitted on rows that the model hasn't
 seen, turns margins into scores.
 
-The model is fitted on a bounded sample of labelled rows (at most ``most``, taken evenly by a hash of the id); scoring
-covers every row, looks at whole texts only, and shuffles nothing. A null text counts as empty; an empty text has no
-features and gets the curve's value at the intercept. Labels that are null are left out; of several for one id the highest
-counts. With fewer than two classes among the labels every score is the share of good labels, or 0.5 without labels.
+The model is fitted on a bounded sample of labelled documents (at most ``most`` different ones, taken evenly by a hash of the
+id), in the driver; scoring covers every row, looks at whole texts only, and shuffles nothing. A null text counts as empty; an
+empty text has no features and gets the curve's value at the intercept. Labels that are null or of no document are left out; of
+several for one id the highest counts; a document that is repeated with its id counts once. With fewer than two classes among the labels
+every score is the share of good labels, or 0.5 without labels. An empty table gives an empty one. Columns of the input stay;
+result columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
         counts[labels[i]][rows[i]] += 1
     size = np.bincount(labels[kept], minlength=2)
     ratios = np.log((counts[1] / (size[1] + 2)) / (counts[0] / (size[0] + 2)))
-    x = {i: ratios[rows[i]] / max(1e-12, np.sqrt((ratios[rows[i]] ** 2).sum())) for i in order}
+    norm = np.array([max(1e-12, np.sqrt((ratios[r] ** 2).sum())) for r in rows])
     w, bias, alpha = np.zeros(width), 0.0, np.zeros(n)
     most = cost * len(kept) / (2 * np.maximum(size, 1))
     sign = labels * 2 - 1
@@ -100,18 +102,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     for _ in range(epochs):
         moved = 0.0
         for i in turns.permutation(kept):
-            at, v, y = rows[i], x[i], sign[i]
-            slope = y * (w[at] @ v + bias) - 1
+            at, v, y = rows[i], ratios[rows[i]], sign[i]
+            slope = y * (w[at] @ v / norm[i] + bias) - 1
             new = min(max(alpha[i] - slope / 2, 0.0), most[labels[i]])  # a row and the constant have length 1 each
             if new != alpha[i]:
                 step = (new - alpha[i]) * y
-                w[at] += step * v
+                w[at] += step / norm[i] * v
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    margins = np.array([w[rows[i]] @ x[i] + bias for i in order])
+    margins = np.array([w[rows[i]] @ ratios[rows[i]] / norm[i] + bias for i in order])
     unseen = margins[: n // 4], labels[order[: n // 4]]
     slope, shift = curve(*(unseen if n >= 40 and len(set(unseen[1])) == 2 else (margins, labels[order])))
     return Model((w * ratios).astype(np.float32), ratios.astype(np.float32), float(bias), slope, shift)
@@ -133,20 +135,23 @@ def curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Model:
     one = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_tm_key")).agg(F.max(label).alias("_tm_label"))
-    some = one.orderBy(F.xxhash64("_tm_key"), "_tm_key").limit(most)
-    taken = docs.select(F.col(key).alias("_tm_key"), F.col(text).alias("text")).join(F.broadcast(some), "_tm_key")  # at most `most` rows
+    texts = docs.select(F.col(key).alias("_tm_key"), F.xxhash64(text).alias("_tm_digest"), F.col(text).alias("text"))
+    some = texts.select("_tm_key", "_tm_digest").distinct().join(one, "_tm_key").orderBy(F.xxhash64("_tm_key"), "_tm_key", "_tm_digest").limit(most)
+    taken = texts.join(F.broadcast(some), ["_tm_key", "_tm_digest"])  # at most `most` rows are broadcast
+    once = taken.groupBy("_tm_key", "_tm_digest").agg(F.first("text").alias("text"), F.first("_tm_label").alias("_tm_label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, marks = b.column(b.schema.names.index("text")), b.column(b.schema.names.index("_tm_label"))
+            t, marks, order = (b.column(i) for i in range(3))
             for lo, rows, columns in features(t):
                 ends = np.searchsorted(rows, np.arange(int(rows.max(initial=-1)) + 2))
                 cut = [columns[s:e].astype("<i4").tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([marks.slice(lo, len(cut)).cast(pa.int32()), pa.array(cut, pa.binary())], ["label", "columns"])
+                yield pa.RecordBatch.from_arrays([order.slice(lo, len(cut)), marks.slice(lo, len(cut)).cast(pa.int32()), pa.array(cut, pa.binary())], ["order", "label", "columns"])
 
-    found = taken.mapInArrow(run, "label int, columns binary").limit(2 * most).toArrow()
-    order = sorted(zip(found["columns"].to_pylist(), found["label"].to_pylist(), strict=True))
-    return fit([np.frombuffer(c, "<i4") for c, _ in order], np.array([int(y > 0) for _, y in order], np.int64))
+    found = once.select("text", "_tm_label", F.xxhash64("_tm_key", "_tm_digest").alias("order")).mapInArrow(run, "order long, label int, columns binary").toArrow()
+    order = np.argsort(found["order"].to_numpy(), kind="stable")
+    columns = [np.frombuffer(x.as_buffer(), "<i4") for x in found["columns"]]
+    return fit([columns[i] for i in order], (found["label"].to_numpy() > 0).astype(np.int64)[order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -180,7 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with held_out, score and predicted; learns from the labels of rows that aren't held out."""
     held = common.doc_bucket("doc_id", 4) == 2
     model = train(docs.filter(~held), labels.filter(~held))
-    return score(docs, model).withColumn("held_out", held).withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0))
+    return score(docs.drop("held_out", "predicted"), model).withColumn("held_out", held).withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
