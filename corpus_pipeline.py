@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what a stage returns is written as Parquet and read again as the
 next one's documents. All but the last return the columns of documents. Benchmark and labels come from sf_dir.
+
+In every stage a null text counts as empty (and stays null where it isn't changed), repeated rows are documents of their own, texts
+of any length are read whole, other columns stay (but in the last stage), whatever their names, and an empty table gives an
+empty one. Ties: of documents in one class of near-duplicates that of the smallest id stays, of those without an id or with
+equal ones the first in the files; of equal line runs the first occurrence by id stays.
 """
 
 from __future__ import annotations
@@ -19,18 +24,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of line runs; one of which nothing is left is dropped."""
-    found = line_dedup.dedup(docs).filter("n_removed = 0 or n_removed < n_lines")
+    found = line_dedup.dedup(docs, repeatable=True).filter("n_removed = 0 or n_removed < n_lines")
     return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
-    return near_dup.keep_one(docs).select(*docs.columns)
+    return near_dup.keep_one(docs, repeatable=True).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
-    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"), repeatable=True).select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.drop(spark, f"{folder}/{k - 1}")
     return docs
