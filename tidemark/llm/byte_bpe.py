@@ -232,6 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             out = _with(batch, ids, found, pa.binary())
             yield out if decoded is None else _with(out, decoded, [decode_ids(x, one.vocabulary.bytes) for x in found], pa.binary())
 
+    common.small_batches(docs.sparkSession)
     new = {ids: "binary"} | ({decoded: "binary"} if decoded else {})
     kept = docs.drop(*new)
     return kept.mapInArrow(run, common.plus(kept, **new))

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is hashed in pieces of about this many bytes (one document at least), which bounds a task's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Rows that go to a Python worker at a time, at most: Spark's own number makes batches of texts large.
+BATCH_ROWS = 2000
 
 U64 = np.uint64
 BYTE_BASE = U64(0x9E3779B97F4A7C15)
@@ -26,7 +28,15 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send rows to Python workers in batches of at most BATCH_ROWS; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +76,7 @@ def numbered(docs: DataFrame, name: str, repeatable: bool) -> DataFrame:
     repeatable: whether the rows come in the same order each time, as they do when they are read from files without a
     shuffle. Others are stored once in the shared folder and read from there.
     """
+    small_batches(docs.sparkSession)
     if not repeatable:
         path = scratch(docs.sparkSession, "numbered")
         docs.write.parquet(path)

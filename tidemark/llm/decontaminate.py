@@ -129,6 +129,7 @@ def _best(item: np.ndarray, words: np.ndarray, stop: int | None = None) -> tuple
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST, most: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and item that it holds: key, item_key, score, n_seeds, first_word, last_word."""
+    common.small_batches(docs.sparkSession)
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, score double, n_seeds int, first_word long, last_word long"
     parts = docs.select(F.col(key), F.col(text).alias("text"))

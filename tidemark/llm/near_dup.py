@@ -45,8 +45,8 @@ SMALL = 16
 BITMAP = 8
 #: Nodes of one shingle that a row of the prefix join meets in one task.
 SALTED = 512
-#: Shingles that are unpacked at a time.
-UNPACKED = 1 << 18
+#: Sets that are packed together, as a power of two, and bytes of sets that a bucket of shingles answers for, on average.
+GROUP_BITS, BUCKET_BYTES = 8, 8 << 20
 
 
 def shingles(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -171,38 +171,94 @@ def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return common.cut(found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each run of equal values of the column group."""
+    held, now = [], None
     for b in batches:
-        sizes = np.array([len(x.as_buffer()) // 8 for x in b.column(1)], np.int64)
-        piece = (np.cumsum(sizes) - sizes) // UNPACKED
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(sizes)]])
+        group = b.column(b.schema.names.index("group")).to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi > lo:
-                grams = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in b.column(1).slice(lo, hi - lo)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(lo, hi - lo).to_numpy(), sizes[lo:hi])), pa.array(grams.view(np.int64))], ["uid", "shingle"])
+            if group[lo] != now and held:
+                yield now, held
+                held = []
+            now = int(group[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield now, held
 
 
-def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        maps, sizes = np.zeros((b.num_rows, BITMAP * 64), np.uint8), np.zeros(b.num_rows, np.int64)
-        for i, x in enumerate(b.column(1)):
-            grams = np.frombuffer(x.as_buffer(), U64)
-            maps[i], sizes[i] = np.bincount((grams % U64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1, len(grams)
-        packed = pa.array(np.packbits(maps, axis=1).reshape(-1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * BITMAP, BITMAP), pa.int32()), packed)], ["uid", "size", "map"])
+def _dealt(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order of their buckets, their buckets, how often each is there, and the place of each given one."""
+    kind, of, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    bucket = (kind % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return kind[order], bucket[order], counts[order], place[of]
+
+
+def _grams(rows: list[pa.RecordBatch], column: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for b in rows for x in b.column(column)]
+
+
+def _asked(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _groups(batches):
+            kind, bucket, counts, _ = _dealt(np.concatenate(_grams(rows, 1)), buckets)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            parts = np.flatnonzero(np.diff(edges)).tolist()
+            packed = [pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in parts], pa.binary()) for x in (kind, counts.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([group] * len(parts), pa.int64()), *packed], ["bucket", "group", "grams", "counts"])
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """One bucket: answers each group with the number of sets, of all groups, that have its shingles."""
+    grams = [np.frombuffer(x.as_buffer(), U64) for x in table["grams"]]
+    kind, of = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(of, np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["counts"]]), len(kind)).astype("<i8")[of]
+    ends = np.cumsum([0, *map(len, grams)])
+    return pa.table({"group": table["group"], "bucket": table["bucket"], "counts": pa.array([total[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+
+def _posted(least: float, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches):  # sorted: answers first
+            told = {i: np.frombuffer(c.as_buffer(), "<i8") for b in rows for i, c in zip(b.column(2).to_pylist(), b.column(3), strict=True) if c.is_valid}
+            sets = [b.filter(b.column(1).is_valid()) for b in rows]
+            uids, grams = np.concatenate([b.column(0).to_numpy() for b in sets]), _grams(sets, 1)
+            _, bucket, _, place = _dealt(np.concatenate(grams), buckets)
+            often = np.concatenate([told[i] for i in np.unique(bucket).tolist()])[place]
+            at, out = 0, []
+            for uid, own in zip(uids.tolist(), grams, strict=True):
+                n, c = len(own), often[at : at + len(own)]
+                at += n
+                prefix = np.arange(int((c == 1).sum()), n - int(np.ceil(n * least - 1e-9)) + 1)  # what is nowhere else comes first
+                if len(prefix):
+                    bits = np.packbits(np.bincount((own % U64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64).astype(np.uint8) & 1).view(np.int64)
+                    out.append((own[np.lexsort((own, c))[prefix]].view(np.int64), np.full(len(prefix), uid), np.full(len(prefix), n), prefix, np.tile(bits, len(prefix))))
+            if out:
+                shingle, uid, n, prefix, bits = (np.concatenate(x) for x in zip(*out, strict=True))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, BITMAP), pa.int32()), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(uid), pa.array(n), pa.array(prefix), maps], ["shingle", "uid", "size", "place", "map"])
+
+    return run
 
 
 def postings(sets: DataFrame, least: float) -> DataFrame:
     """(shingle, uid, size, place, map) of those shingles of each set's prefix that other sets (uid, shingles) have too.
 
-    In the order of their number of sets, a set of n shingles has a prefix of n - ceil(least n) + 1; place counts from 0."""
-    flat = common.cut(sets.mapInArrow(_unpacked, "uid long, shingle long"))
-    often = flat.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    own = flat.join(often, "shingle").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("all"))
-    known = own.join(sets.mapInArrow(_mapped, "uid long, size long, map array<long>"), "uid").withColumn("alone", F.col("size") - F.size("all"))
-    prefix = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - F.col("alone")
-    cut = known.select("uid", "size", "map", "alone", F.slice("all", 1, F.greatest(prefix, F.lit(0)).cast("int")).alias("all"))
-    return common.cut(cut.select("uid", "size", "map", "alone", F.posexplode("all").alias("i", "s")).select("s.shingle", "uid", "size", (F.col("alone") + F.col("i")).alias("place"), "map"))
+    In the order of their number of sets, a set of n shingles has a prefix of n - ceil(least n) + 1; place counts from 0.
+    The numbers come from buckets of shingles, each of which gets a shingle once from a group of sets, however many have it.
+    """
+    rows = common.cut(sets.select("uid", "shingles")).withColumn("group", F.shiftright(F.monotonically_increasing_id(), GROUP_BITS))
+    buckets = max(1, -(-common.text_bytes(rows, "shingles") // BUCKET_BYTES))
+    asked = rows.mapInArrow(_asked(buckets), "bucket int, group long, grams binary, counts binary")
+    told = asked.groupBy("bucket").applyInArrow(_counted, "group long, bucket int, counts binary")
+    both = rows.unionByName(told, allowMissingColumns=True).select("uid", "shingles", "bucket", "counts", "group")
+    met = both.repartition("group").sortWithinPartitions("group", F.col("uid").isNotNull(), "uid")
+    return common.cut(met.mapInArrow(_posted(least, buckets), "shingle long, uid long, size long, place long, map array<long>"))
 
 
 def can_be(x: str, y: str, least: float) -> F.Column:

@@ -242,6 +242,7 @@ def walk(queries: DataFrame, points: DataFrame, links: DataFrame, beam: int = BE
 
 def search(vectors: DataFrame, wanted: F.Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row that wanted holds for: its k nearest other rows. query_id, rank, vec_id, score."""
+    common.small_batches(vectors.sparkSession)
     rows = sound(vectors, key, vector)
     largest, dims = rows.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
     if not dims:

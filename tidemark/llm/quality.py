@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with the score of each text."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS numbers of 4 bytes, at any size of input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

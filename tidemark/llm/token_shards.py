@@ -186,6 +186,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Writes data, manifest and index below folder; returns the manifest."""
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, root = files(folder)
