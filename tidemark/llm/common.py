@@ -70,6 +70,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and stored as a table in the shared folder; the files of its shuffles are freed as soon as it is written."""
+    spark, path, freed = df.sparkSession, scratch(df.sparkSession, "stored"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(freed, "false")
+    spark.conf.set(freed, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(freed, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def numbered(docs: DataFrame, name: str, repeatable: bool) -> DataFrame:
     """docs with a number for each row, the same whenever it is computed again, after the loss of an executor too.
 

@@ -313,7 +313,7 @@ def score(docs: DataFrame, training: F.Column, key: str = "doc_id", text: str =
     slices = max(1, -(-common.text_bytes(rows, "text") // SLICE_BYTES))
     kind = rows.schema["id"].dataType.simpleString()
     asked = rows.select("uid", "training", "text").mapInArrow(_ask(slices), ASKED)
-    told = common.cut(asked.groupBy("slice").applyInArrow(_answer, TOLD))
+    told = common.stored(asked.groupBy("slice").applyInArrow(_answer, TOLD))
     n, kinds = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     answers = told.select(F.col("block").alias("uid"), F.lit(False).alias("is_doc"), "slice", "words", "grams")
     both = answers.unionByName(rows.withColumn("is_doc", F.lit(True)), allowMissingColumns=True).withColumn("group", F.shiftright("uid", GROUP_BITS))
