@@ -71,3 +71,70 @@ def test_config_is_checked(tmp_path):
         (tmp_path / "c.toml").write_text(bad)
         with pytest.raises(ValueError):
             config.load(str(tmp_path / "c.toml"))
+
+
+def put(site, url, body=None, **how):
+    manifest = json.loads((site / "manifest.json").read_text())
+    if body is not None:
+        how["file"] = url.replace("/", "_").replace(":", "_").replace("?", "_")
+        (site / how["file"]).write_text(body)
+    manifest[url] = how
+    (site / "manifest.json").write_text(json.dumps(manifest))
+
+
+def test_detail_pages_lead_to_calendars_or_to_the_model(spark, site):
+    page = "https://town.example/veranstaltungen/veranstaltung/"
+    put(site, "https://town.example/list", f'<a href="{page}umzug">x</a> <a href="{page}stumm">y</a> <a href="{page}fort">z</a>')
+    put(site, page + "umzug", '<p>Umzug</p><a href="/dl/umzug.ICAL">ics</a>')
+    put(site, page + "stumm", "<p>Sommerabend am See, 5. Juni 2026</p>")
+    put(site, page + "fort", '<a href="/dl/fort.ical">ics</a>')
+    put(site, "https://town.example/dl/umzug.ICAL", (site / "fest.ics").read_text().replace("Fest", "Umzug"))
+    settings = config.load(str(site / "config.toml"))
+    state, provider = State(spark, settings.state), fetch.canned(spark, str(site))
+
+    def backend(messages, how):
+        return json.dumps({"found": True, "title": "Sommerabend", "start": "2026-06-05T19:00:00"}) if "See" in messages[1]["content"] else json.dumps({"found": False})
+
+    first = {r.source_id: r for r in harvest.run(spark, settings, provider, state, START, ["town"], backend).runs}
+    assert {r.title for r in state.read("events").collect()} == {"Umzug, gross", "Sommerabend"}
+    assert first["town"].events_seen == 2 and first["town"].coverage == "PARTIAL" and "host=town.example path=" in first["town"].notes
+    assert state.read("model_cache").count() == 1
+    silent = lambda *_: (_ for _ in ()).throw(AssertionError("the answer is cached"))
+    assert harvest.run(spark, settings, provider, state, START + timedelta(days=1), ["town"], silent).runs[0].events_seen == 2
+
+
+def test_lists_go_on_and_changed_markup_is_no_empty_list(spark, site):
+    page = (site / "dated.html").read_text()
+    put(site, "https://club.example/termine", page.replace("</body>", "").replace("</html>", "") + '<a href="?page=2">2</a><a href="/termine?page=2">weiter</a><a href="?page=1">1</a>')
+    put(site, "https://club.example/termine?page=2", page.replace("Tanz", "Ball").replace("Messe", "Schau").replace("vDetail=", "vDetail=9"))
+    put(site, "https://club.example/karten", "<p>Neu gestaltet</p>")
+    _, runs, events = go(spark, site, 0)
+    assert {"Ball", "Tanz"} <= set(events) and runs["club"].coverage == "COMPLETE"
+    assert (runs["cards"].coverage, runs["cards"].events_seen) == ("PARTIAL", 0)
+    put(site, "https://club.example/karten", "<p>Zurzeit keine Termine</p>")
+    assert go(spark, site, 1)[1]["cards"].coverage == "COMPLETE"
+
+
+def test_robots_hold_for_redirects_and_queries(spark, site):
+    hosts = '["town.example", "files.example"]'
+    (site / "config.toml").write_text((site / "config.toml").read_text().replace('allowed_hosts = ["town.example"]', f"allowed_hosts = {hosts}"))
+    put(site, "https://town.example/robots.txt", redirect_to="/r.txt")
+    put(site, "https://town.example/r.txt", "User-agent: *\nDisallow: /*?print")
+    put(site, "https://files.example/robots.txt", "User-agent: *\nDisallow: /private")
+    put(site, "https://town.example/list", '<a href="/a.ical">a</a> <a href="/b.ical">b</a> <a href="/veranstaltungen/veranstaltung/c?%70rint=1">c</a>')
+    put(site, "https://town.example/a.ical", redirect_to="https://files.example/private/a.ical")
+    put(site, "https://town.example/b.ical", redirect_to="https://files.example/open/b.ical")
+    for u in ("https://files.example/private/a.ical", "https://files.example/open/b.ical", "https://town.example/veranstaltungen/veranstaltung/c?%70rint=1"):
+        put(site, u, (site / "fest.ics").read_text())
+    _, runs, _ = go(spark, site, 0)
+    assert runs["town"].events_seen == 1 and runs["town"].coverage == "PARTIAL"
+
+
+def test_validators_by_date_and_waits(spark, site):
+    put(site, "https://town.example/fest-12-1.ical", (site / "fest.ics").read_text(), headers={"last-modified": "Thu, 01 Jan 2026 00:00:00 GMT"})
+    go(spark, site, 0)
+    put(site, "https://town.example/fest-12-1.ical", "not a calendar", headers={"last-modified": "Thu, 01 Jan 2026 00:00:00 GMT"})
+    _, _, events = go(spark, site, 1)
+    assert events["Fest, gross"].missing_count == 0
+    now = datetime(2026, 3, 29, 0, 30, tzinfo=UTC)
+    assert [fetch.asked_wait(h, now) for h in ("7", "Sun, 29 Mar 2026 00:31:00 GMT", "Sun, 29 Mar 2026 00:29:00 GMT", "soon", "")] == [7.0, 60.0, 0.0, None, None]

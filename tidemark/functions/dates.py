@@ -11,7 +11,7 @@ ZONE = "Europe/Berlin"
 MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"]
 EXTRA_MONTHS = {"maerz": 3}
 
-_NAME = r"([A-Za-zÄÖÜäöü]+)"
+_NAME = r"([A-Za-zÄÖÜäöüß]+)"
 
 
 def month_number(name: Column) -> Column:
@@ -30,11 +30,11 @@ def german_range(text: Column) -> Column:
     """
     t = F.regexp_replace(F.regexp_replace(text, " ", " "), r"\s+", " ")
     forms = {
-        "numeric": rf"(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)\s*[+\-]\s*(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)?",
-        "months": rf"(\d{{1,2}})\. {_NAME}\s*[+\-]\s*(\d{{1,2}})\. {_NAME} (20\d\d)",
-        "days": rf"(\d{{1,2}})\.\s*[+\-]\s*(\d{{1,2}})\. {_NAME} (20\d\d)",
-        "one": r"(\d{1,2})\.(\d{1,2})\.(20\d\d)",
-        "named": rf"(\d{{1,2}})\. {_NAME} (20\d\d)",
+        "numeric": rf"(?<!\d)(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)\s*[+\-]\s*(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)?",
+        "months": rf"(\d{{1,2}})\.\s*{_NAME}\s*[+\-]\s*(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)",
+        "days": rf"(\d{{1,2}})\.\s*[+\-]\s*(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)",
+        "one": r"(?<!\d)(\d{1,2})\.(\d{1,2})\.(20\d\d)(?!\d)",
+        "named": rf"(?<!\d)(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)(?!\d)",
     }
     g = lambda f, i: F.regexp_extract(t, forms[f], i)
     n = lambda f, i: g(f, i).try_cast("int")

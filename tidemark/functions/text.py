@@ -64,22 +64,32 @@ def bounded(items: Column, most_items: int = 8, most_chars: int = 320, most_tota
     return F.aggregate(cut, start, step, done)
 
 
-# Words that mark a path segment as secret.
-SECRETS = ["token", "secret", "password", "passwd", "apikey", "api-key", "api_key", "auth", "key", "signature", "session"]
+# Words that mark a path segment as secret, as patterns.
+SECRETS = ["api[-_]?key", "auth", "bearer", "key", "password", "secret", "signature", "token"]
 
 
 def redacted_path(path: Column, most: int = 180) -> Column:
-    """A URL path in which secret segments, what follows them, and overlong or token-like segments are masked."""
+    """A URL path in which secret segments, what follows them, and overlong or token-like segments are masked, as they read unquoted."""
     parts = F.split(path, "/")
-    secret = lambda s: F.lower(s).rlike(rf"(^|[._~-])({'|'.join(SECRETS)})([._~=-]|$)")
+    plain = lambda s: F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+    secret = lambda s: F.lower(plain(s)).rlike(rf"(^|[-_.])({'|'.join(SECRETS)})($|[-_.])")
     dots = lambda s: F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
 
     def mask(s: Column, i: Column) -> Column:
         after = (i > 0) & secret(F.get(parts, F.greatest(i - 1, F.lit(0))))
-        odd = (F.length(s) > 80) | ((dots(s) == 2) & (F.length(s) > 40))
+        odd = (F.length(plain(s)) > 80) | ((dots(plain(s)) == 2) & (F.length(plain(s)) > 40))
         return F.when((s != "") & (secret(s) | after | odd), F.lit("<redacted>")).otherwise(s)
 
-    return F.substring(F.array_join(F.transform(parts, mask), "/"), 1, most)
+    whole = F.array_join(F.transform(parts, mask), "/")
+    return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most - 3), F.lit("..."))).otherwise(whole)
+
+
+def endpoint(url: Column) -> Column:
+    """Host, port and masked path of a URL, for diagnostics."""
+    at = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    host = F.when(at == "", F.lit("<unknown-host>")).when(at.rlike(r":.*[^0-9]"), F.lit("<invalid-host>")).otherwise(at)
+    return F.concat(F.lit("host="), host, F.lit(" path="), redacted_path(F.when(path == "", F.lit("/")).otherwise(path)))
 
 
 def escaped(c: Column) -> Column:

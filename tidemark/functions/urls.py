@@ -14,6 +14,12 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def robots_path(url: Column) -> Column:
+    """What robots rules are tested against: the path, / where there is none, and the query, both unquoted."""
+    raw = F.concat(F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/")), F.coalesce(F.concat(F.lit("?"), query(url)), F.lit("")))
+    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+
+
 def query(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
 

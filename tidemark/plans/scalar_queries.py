@@ -124,16 +124,16 @@ def status_domain(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(tail == "EventCancelled", "CANCELLED").when(tail == "EventTentative", "TENTATIVE").otherwise("CONFIRMED").alias("status"))
 
 
-@query(r"""select page_id, 'x/' || case when page_id % 2 = 0 then 'token/<redacted>' else 'shop/' || page_id end as endpoint from pages""")
+@query(r"""select page_id, 'host=shop.example:81 path=' || case page_id % 4 when 0 then '/x/<redacted>/<redacted>' when 1 then '/api/<redacted>/<redacted>/y' when 2 then '/x/<redacted>/<redacted>' else '/x/tokens/' || page_id end as endpoint from pages""")
 def redact_endpoint(spark, sf_dir):
-    path = F.concat(F.lit("x/"), F.when(F.col("page_id") % 2 == 0, F.lit("token/")).otherwise(F.lit("shop/")), F.col("page_id"))
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(text.redacted_path(path), F.lit("<redacted>/<redacted>"), F.lit("token/<redacted>")).alias("endpoint"))
+    kind = F.col("page_id") % 4
+    path = F.when(kind == 0, F.concat(F.lit("x/token/"), "page_id")).when(kind == 1, F.concat(F.lit("api/Bearer/"), "page_id", F.lit("/y"))).when(kind == 2, F.concat(F.lit("x/my-%74oken/"), "page_id")).otherwise(F.concat(F.lit("x/tokens/"), "page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", text.endpoint(F.concat(F.lit("https://user:pw@Shop.example:81/"), path, F.lit("?key=1"))).alias("endpoint"))
 
 
-@query(r"""with s as (select doc_id, lower(replace(replace(lower(text), 'ß', 'ss'), 'ẞ', 'ss')) as t from documents where not regexp_matches(text, '[^\x00-\x7FÄÖÜäöüßéèêàçñíóúáâîôûÉÈÊÀÇÑÍÓÚÁ¿¡]')) select doc_id, left(regexp_replace(regexp_replace(t, '[^a-z0-9äöü]+', '-', 'g'), '^-+|-+$', '', 'g'), 100) as slug from s""")
+@query(r"""select doc_id, left(regexp_replace(regexp_replace(lower(replace(replace(text, 'ß', 'ss'), 'ẞ', 'ss')), '[^a-z0-9äöü]+', '-', 'g'), '^-+|-+$', '', 'g'), 100) as slug from documents""")
 def slugs(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7FÄÖÜäöüßéèêàçñíóúáâîôûÉÈÊÀÇÑÍÓÚÁ¿¡]"))
-    return plain.select("doc_id", text.slug(F.col("text")).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("""select p.doc_id, p.k from (select doc_id, sha256(coalesce(lang, '') || chr(31) || coalesce(source, '') || chr(31) || doc_id) as k from documents) p where not exists (select 1 from (select sha256(coalesce(d.lang, '') || chr(31) || coalesce(d.source, '') || chr(31) || d.doc_id) as k from documents d join labels l on d.doc_id = l.doc_id) c where c.k = p.k)""")

@@ -10,6 +10,8 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,7 @@ RESPONSE = "url string, status int, headers map<string,string>, redirect_to stri
 MOVED = [301, 302, 303, 307, 308]
 RETRIED = [429, 500, 502, 503, 504]
 MOST_HOPS = 5
+ROBOTS_HOPS, ROBOTS_BYTES = 3, 512_000
 #: Attempts for one request, and seconds that they may wait in all.
 ATTEMPTS, MOST_WAIT = 3, 30.0
 
@@ -36,8 +39,8 @@ def canned(spark: SparkSession, folder: str) -> Provider:
     rows = manifest.select("known", "r.*").join(files, "file", "left")
 
     def get(requests: DataFrame) -> DataFrame:
-        met = requests.select("url", "etag").distinct().join(rows, F.col("url") == F.col("known"), "left")
-        same = F.element_at("headers", "etag") == F.col("etag")
+        met = requests.select("url", "etag", "last_modified").distinct().join(rows, F.col("url") == F.col("known"), "left")
+        same = F.coalesce(F.element_at("headers", "etag") == F.col("etag"), F.element_at("headers", "last-modified") == F.col("last_modified"))
         status = F.when(F.col("known").isNull(), 404).when(F.col("redirect_to").isNotNull(), F.coalesce("status", F.lit(302))).when(same, 304).otherwise(F.coalesce("status", F.lit(200)))
         return met.select("url", status.cast("int").alias("status"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "redirect_to", F.coalesce("body", F.lit("")).alias("body"))
 
@@ -56,12 +59,12 @@ def live(agent: str, timeout: float, most_bytes: int, delays: dict[str, float] |
         opener = urllib.request.build_opener(_NoRedirect)
         ready: dict[str, float] = {}
         for b in batches:
-            for url, etag, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for url, etag, modified, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 delay, waited = (delays or {}).get(host, 0.0), 0.0
                 for attempt in range(1, ATTEMPTS + 1):
                     sleep(max(0.0, ready.get(host, 0.0) - time.monotonic()))
                     ready[host] = time.monotonic() + delay
-                    headers = {"User-Agent": agent} | ({"If-None-Match": etag} if etag else {})
+                    headers = {"User-Agent": agent} | ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
                     try:
                         with opener.open(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
                             status, got, body = r.status, r.headers, r.read(most_bytes + 1)
@@ -69,8 +72,8 @@ def live(agent: str, timeout: float, most_bytes: int, delays: dict[str, float] |
                         status, got, body = e.code, e.headers, b""
                     except OSError:
                         status, got, body = 599, {}, b""
-                    asked = got.get("Retry-After", "") if status == 429 else ""
-                    wait = float(asked) if asked.isdigit() else min(2.0 ** (attempt - 1), 2.0)
+                    asked = asked_wait(got.get("Retry-After", "")) if status == 429 else None
+                    wait = min(2.0 ** (attempt - 1), 2.0) if asked is None else asked
                     if status not in RETRIED or attempt == ATTEMPTS or waited + wait > MOST_WAIT:
                         break
                     waited += wait
@@ -81,12 +84,22 @@ def live(agent: str, timeout: float, most_bytes: int, delays: dict[str, float] |
                 yield pa.RecordBatch.from_pylist([{"url": url, "status": status, "headers": list(low.items()), "redirect_to": low.get("location"), "body": body.decode("utf-8", "replace")}], schema=ARROW)
 
     def get(requests: DataFrame) -> DataFrame:
-        wanted = requests.select("url", "etag", urls.host(F.col("url")).alias("host")).distinct()
+        wanted = requests.select("url", "etag", "last_modified", urls.host(F.col("url")).alias("host")).distinct()
         return wanted.repartition("host").sortWithinPartitions("host", "url").mapInArrow(run, RESPONSE)
 
     return get
 
 
+def asked_wait(header: str, now: datetime | None = None) -> float | None:
+    """Seconds that a Retry-After header asks for, as a number or as a date; None if it says neither."""
+    if header.strip().isdigit():
+        return float(header)
+    try:
+        return max(0.0, (parsedate_to_datetime(header) - (now or datetime.now(UTC))).total_seconds())
+    except (TypeError, ValueError):
+        return None
+
+
 ARROW = pa.schema([("url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("redirect_to", pa.string()), ("body", pa.string())])
 
 
@@ -94,7 +107,26 @@ def refusal(url: Column, hosts: Column) -> Column:
     return F.when(~urls.is_web(url), "scheme").when(~F.array_contains(hosts, urls.host(url)), "host")
 
 
-def get(requests: DataFrame, provider: Provider, rules: DataFrame | None, most_bytes: int = 5_000_000, store: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+class Robots:
+    """The rules of all origins met so far; those of a new one are fetched before its first page, on redirects too."""
+
+    def __init__(self, provider: Provider, agent: str):
+        self.provider, self.agent = provider, agent
+        self.rules: DataFrame | None = None
+        self.origins: DataFrame | None = None
+
+    def of(self, pages: DataFrame) -> DataFrame:
+        """Rules for at least the origins of some pages (url, hosts)."""
+        new = pages.select(origin(F.col("url")).alias("origin"), "hosts").groupBy("origin").agg(F.array_distinct(F.flatten(F.collect_set("hosts"))).alias("hosts"))
+        new = (new if self.origins is None else new.join(self.origins, "origin", "left_anti")).checkpoint()
+        if self.rules is None or not new.isEmpty():
+            found, known = robots_rules(new, self.provider, self.agent).checkpoint(), new.select("origin")
+            self.rules = found if self.rules is None else self.rules.unionByName(found)
+            self.origins = known if self.origins is None else self.origins.unionByName(known)
+        return self.rules
+
+
+def get(requests: DataFrame, provider: Provider, robots_of: Robots | None, most_bytes: int = 5_000_000, store: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """requests: source_id, url, hosts, etag. With at (the last address), status, headers, body, error, not_modified.
 
     Each hop is checked against scheme, allowed hosts and robots rules; validators go with the first hop only.
@@ -103,11 +135,12 @@ def get(requests: DataFrame, provider: Provider, rules: DataFrame | None, most_b
     keys, done = requests.columns, None
     for hop in range(MOST_HOPS + 1):
         checked = open_.withColumn("error", refusal(F.col("at"), F.col("hosts")))
-        if rules is not None:
-            asked = checked.select(F.col("at").alias("url_at"), origin(F.col("at")).alias("origin"), urls.path(F.col("at")).alias("path")).distinct()
+        if robots_of is not None:
+            rules = robots_of.of(checked.filter("error is null").select(F.col("at").alias("url"), "hosts"))
+            asked = checked.select(F.col("at").alias("url_at"), origin(F.col("at")).alias("origin"), urls.robots_path(F.col("at")).alias("path")).distinct()
             allowed = robots.decide(asked, rules, ["url_at"])
             checked = checked.join(allowed, F.col("at") == F.col("url_at"), "left").withColumn("error", F.coalesce("error", F.when(~F.col("allowed"), "robots"))).drop("url_at", "allowed")
-        answers = store(provider(checked.filter("error is null").select(F.col("at").alias("url"), (F.col("etag") if hop == 0 else F.lit(None).cast("string")).alias("etag"))))
+        answers = store(provider(checked.filter("error is null").select(F.col("at").alias("url"), *[(F.col(c) if hop == 0 and c in keys else F.lit(None).cast("string")).alias(c) for c in ("etag", "last_modified")])))
         met = checked.join(answers.withColumnRenamed("url", "answered"), F.col("at") == F.col("answered"), "left")
         moves = F.col("status").isin(MOVED) & F.col("redirect_to").isNotNull() & F.col("error").isNull()
         said = F.when(moves, "too many redirects").when(F.col("status") == 304, None).when(F.length("body") > most_bytes, "too large").when(F.col("status") != 200, F.concat(F.lit("status "), "status"))
@@ -126,11 +159,25 @@ def origin(url: Column) -> Column:
     return F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]*)", 1)
 
 
-def robots_rules(pages: DataFrame, provider: Provider, agent: str) -> DataFrame:
-    """(origin, pattern, is_allow, crawl_delay) for all origins of some URLs: 404 and 410 allow all, other failures nothing."""
-    origins = pages.select(origin(F.col("url")).alias("origin")).distinct()
-    answers = provider(origins.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), F.lit(None).cast("string").alias("etag")))
-    told = answers.select(origin(F.col("url")).alias("origin"), "status", "body")
+def robots_rules(origins: DataFrame, provider: Provider, agent: str) -> DataFrame:
+    """(origin, pattern, is_allow, crawl_delay) for some (origin, hosts): 404 and 410 allow all, other failures nothing.
+
+    Up to ROBOTS_HOPS redirects are followed, to allowed hosts only; more than ROBOTS_BYTES count as a failure.
+    """
+    from .profiles import absolute
+
+    none = F.lit(None).cast("string")
+    open_, told = origins.select("origin", "hosts", F.concat("origin", F.lit("/robots.txt")).alias("at")), None
+    for hop in range(ROBOTS_HOPS + 1):
+        checked = open_.withColumn("error", refusal(F.col("at"), F.col("hosts")))
+        answers = provider(checked.filter("error is null").select(F.col("at").alias("url"), none.alias("etag"), none.alias("last_modified"))).checkpoint()
+        met = checked.join(answers, F.col("at") == F.col("url"), "left")
+        moves = F.coalesce(F.col("status").isin(MOVED) & F.col("redirect_to").isNotNull(), F.lit(False))
+        final = met.filter(~moves | F.lit(hop == ROBOTS_HOPS)).select("origin", F.when(F.octet_length("body") > ROBOTS_BYTES, 413).otherwise(F.coalesce("status", F.lit(599))).alias("status"), "body")
+        told = final if told is None else told.unionByName(final)
+        open_ = met.filter(moves).select("origin", "hosts", absolute(F.col("at"), F.col("redirect_to")).alias("at")).checkpoint()
+        if open_.isEmpty():
+            break
     rules = robots.parse(told.filter("status = 200"), agent, text="body")
     closed = told.filter(~F.col("status").isin(200, 404, 410)).select("origin", F.lit("/").alias("pattern"), F.lit(False).alias("is_allow"), F.lit(None).cast("double").alias("crawl_delay"))
     return rules.unionByName(closed)
