@@ -28,7 +28,7 @@ def german_range(text: Column) -> Column:
 
     In order: d.m.20yy +|- d.m.[20yy]; d. month +|- d. month 20yy; d. +|- d. month 20yy; d.m.20yy; d. month 20yy.
     """
-    t = F.regexp_replace(F.regexp_replace(text, " ", " "), r"\s+", " ")
+    whole = F.regexp_replace(F.regexp_replace(text, " ", " "), r"\s+", " ")
     forms = {
         "numeric": rf"(?<!\d)(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)\s*[+\-]\s*(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)?",
         "months": rf"(\d{{1,2}})\.\s*{_NAME}\s*[+\-]\s*(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)",
@@ -36,6 +36,12 @@ def german_range(text: Column) -> Column:
         "one": r"(?<!\d)(\d{1,2})\.(\d{1,2})\.(20\d\d)(?!\d)",
         "named": rf"(?<!\d)(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)(?!\d)",
     }
+    # each form is looked for once in the whole text; what is left to read is the piece that the first of them matched
+    piece = F.coalesce(*[F.regexp_substr(whole, F.lit(f)) for f in forms.values()])
+    return F.get(F.transform(F.array(piece), lambda t: _read(t, forms)), 0)
+
+
+def _read(t: Column, forms: dict[str, str]) -> Column:
     g = lambda f, i: F.regexp_extract(t, forms[f], i)
     n = lambda f, i: g(f, i).try_cast("int")
     span = lambda a, b: F.struct(a.alias("first"), F.date_add(b, 1).alias("end"))

@@ -38,6 +38,11 @@ def assign(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     keyed = observations.select("source_id", "obs_ord", "source_event_uid", "source_x_id", "source_url", text.weak_fingerprint(F.col("title"), F.date_format(dates.berlin_day(F.col("start")), "yyyy-MM-dd")).alias("fingerprint"), "run_id")
 
+    held = touched(aliases, candidate_aliases(observations.withColumn("event_id", F.lit(None).cast("string"))))
+
+    def barred(seen: set | None, strong: set, types: set) -> bool:
+        return bool(seen) and not seen & strong and any(t in types for t, _ in seen)
+
     def fold(obs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         known = {(t, v): e for t, v, e in zip(held.alias_type, held.alias_value, held.event_id, strict=True)}
         owned: dict[str, dict[str, set]] = {}
@@ -50,9 +55,8 @@ def assign(observations: DataFrame, aliases: DataFrame) -> DataFrame:
             tried = strong + ([("source_url", o.source_url)] if o.source_url else [])
             weak = ("fingerprint", o.fingerprint)
             types = {t for t, _ in strong}
-            barred = {e for e, s in met.items() if s and not s & set(strong) and types & {t for t, _ in s}}
-            hit = next((e for a in tried if (e := known.get(a)) and e not in barred), None)
-            if hit is None and (e := known.get(weak)) and e not in barred:
+            hit = next((e for a in tried if (e := known.get(a)) and not barred(met.get(e), set(strong), types)), None)
+            if hit is None and (e := known.get(weak)) and not barred(met.get(e), set(strong), types):
                 if not any(vs and v not in vs for t, v in strong if (vs := owned.get(e, {}).get(t))):
                     hit = e
             new = hit is None
@@ -64,7 +68,13 @@ def assign(observations: DataFrame, aliases: DataFrame) -> DataFrame:
             rows.append((o.source_id, o.obs_ord, hit, new))
         return pd.DataFrame(rows, columns=["source_id", "obs_ord", "event_id", "is_new"])
 
-    return keyed.groupBy("source_id").cogroup(aliases.groupBy("source_id")).applyInPandas(fold, "source_id string, obs_ord long, event_id string, is_new boolean")
+    return keyed.groupBy("source_id").cogroup(held.groupBy("source_id")).applyInPandas(fold, "source_id string, obs_ord long, event_id string, is_new boolean")
+
+
+def touched(aliases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All aliases of those events at which an alias in wanted points: the history that a batch can meet."""
+    events = aliases.join(wanted, ["source_id", "alias_type", "alias_value"], "left_semi").select("source_id", "event_id").distinct()
+    return aliases.join(events, ["source_id", "event_id"], "left_semi")
 
 
 def candidate_aliases(assigned: DataFrame) -> DataFrame:
@@ -124,3 +134,15 @@ def effects(events: DataFrame, assigned: DataFrame, coverage: DataFrame, run_ts:
         F.when(hit | cancels, run_ts).otherwise(c("dtstamp")).alias("dtstamp"), F.when(moved | cancels, run_ts).otherwise(c("last_modified")).alias("last_modified"), F.coalesce("created_at", run_ts).alias("created_at"),
         F.when(hit | misses, run_ts).otherwise(c("updated_at")).alias("updated_at"),
     )
+
+
+def run_counts(before: DataFrame, after: DataFrame, run_ts: Column) -> DataFrame:
+    """(source_id, created, updated, cancelled, observed) of a run, from its events before and after.
+
+    Cancelled are those cancelled for absence, which are neither observed nor updated."""
+    known = before.select("event_id", F.col("sequence").alias("_sequence"), F.col("status").alias("_status"))
+    c = F.col
+    seen = (c("updated_at") == run_ts) & (c("missing_count") == 0)
+    absent = (c("status") == "CANCELLED") & (c("_status") != "CANCELLED") & ~seen
+    rows = after.join(known, "event_id", "left")
+    return rows.groupBy("source_id").agg(F.count_if(c("_sequence").isNull()).alias("created"), F.count_if(seen & (c("sequence") > c("_sequence"))).alias("updated"), F.count_if(absent).alias("cancelled"), F.count_if(seen).alias("observed"))

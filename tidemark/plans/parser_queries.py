@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import reconcile
 from ..sources import html_nodes, ics, jsonld, model, profiles
 from .scalar_queries import table
 
@@ -34,7 +33,8 @@ def jsonld_roundtrip(spark, sf_dir):
     state = F.when(F.col("o_orderstatus") == "F", "https://schema.org/EventCancelled").when(F.col("o_orderstatus") == "P", "https://schema.org/EventPostponed").otherwise("https://schema.org/EventScheduled")
     place = F.struct(F.lit("Place").alias("@type"), F.concat(F.lit("Hall "), F.col("o_custkey") % 10).alias("name"), F.struct(F.lit("Town").alias("addressLocality")).alias("address"))
     event = F.struct(F.array(F.lit("Thing"), F.lit("Event")).alias("@type"), F.col("o_orderpriority").alias("name"), F.date_format(F.date_trunc("day", "o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startDate"), place.alias("location"), state.alias("eventStatus"), F.col("o_orderkey").cast("string").alias("identifier"))
-    page = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(F.struct(F.array(event).alias("@graph"))), F.lit("</script></html>"))
+    again = event.withField("location", place.withField("name", F.lit("Elsewhere")))  # told once more, so it is left out
+    page = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 == 0, F.array(event, again)).otherwise(F.array(event)).alias("@graph"))), F.lit("</script></html>"))
     said = table(spark, sf_dir, "orders").select(F.lit("o").alias("source_id"), F.concat(F.lit("https://x/"), "o_orderkey").alias("url"), page.alias("body"))
     return jsonld.parse(said).select(F.regexp_extract("source_x_id", r"^jsonld:(\d+):", 1).cast("long").alias("o_orderkey"), "title", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "location", "status")
 
@@ -53,11 +53,3 @@ def html_visible_text(spark, sf_dir):
     """What a reader sees of each page; Python's parser has no equal in SQL."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), "url", F.col("html").alias("body"))
     return model.visible_text(pages, 6000).select(F.col("source_id").cast("long").alias("page_id"), "page_text")
-
-
-@query("""select count(*) as n_observations, count(distinct o_custkey) as n_events from orders""")
-def identity_fold(spark, sf_dir):
-    """Orders as observations whose stable alias is the customer, in a source for each remainder by 50, folded into events."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("string").alias("source_id"), F.col("o_orderkey").cast("long").alias("obs_ord"), F.col("o_custkey").cast("string").alias("source_event_uid"), F.lit(None).cast("string").alias("source_x_id"), F.lit(None).cast("string").alias("source_url"), F.col("o_orderstatus").alias("title"), F.col("o_orderdate").cast("timestamp").alias("start"), F.lit("r").alias("run_id"))
-    folded = reconcile.assign(o, spark.createDataFrame([], reconcile.ALIASES))
-    return folded.agg(F.count("*").alias("n_observations"), F.countDistinct("event_id").alias("n_events"))

@@ -57,18 +57,6 @@ def candidate_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.is_candidate(u, "/article/").alias("is_candidate"), urls.is_safe_detail(u, "/", "/admin/", ["id=", "tx_solr"]).alias("is_safe"))
 
 
-@query("""select page_id, url from pages where regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) in (select regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) from pages where page_id % 7 = 0)""")
-def allowed_hosts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("host", urls.host(F.col("url")))
-    return p.join(p.filter("page_id % 7 = 0").select("host").distinct(), "host", "left_semi").select("page_id", "url")
-
-
-@query("""select page_id, url from pages where regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) not in (select regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) from pages where page_id % 7 = 0)""")
-def denied_hosts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("host", urls.host(F.col("url")))
-    return p.join(p.filter("page_id % 7 = 0").select("host").distinct(), "host", "left_anti").select("page_id", "url")
-
-
 @query("""with d as (select o_orderkey, cast(o_orderdate as date) + interval 28 year as d from orders) select o_orderkey, strftime(d, '%Y-%m-%d') as first_day, strftime(d + interval 1 day, '%Y-%m-%d') as end_day from d""")
 def german_numeric_roundtrip(spark, sf_dir):
     day = F.add_months(F.to_date("o_orderdate"), 12 * 28)
@@ -76,19 +64,25 @@ def german_numeric_roundtrip(spark, sf_dir):
     return said.select("o_orderkey", dates.german_range(F.col("t")).alias("r")).select("o_orderkey", F.date_format("r.first", "yyyy-MM-dd").alias("first_day"), F.date_format("r.end", "yyyy-MM-dd").alias("end_day"))
 
 
-@query("""with d as (select l_orderkey, l_linenumber, cast(l_shipdate as date) + interval 28 year as d, l_linenumber as n from lineitem) select l_orderkey, l_linenumber, strftime(d, '%Y-%m-%d') as first_day, strftime(d + to_days(cast(n + 1 as int)), '%Y-%m-%d') as end_day from d where year(d) = year(d + to_days(cast(n as int)))""")
+@query("""with d as (select l_orderkey, l_linenumber, cast(l_shipdate as date) + interval 28 year as d, cast(l_shipdate as date) + interval 28 year + to_days(cast(l_linenumber as int)) as z from lineitem)
+select l_orderkey, l_linenumber, strftime(make_date(year(z), month(d), day(d)), '%Y-%m-%d') as first_day, strftime(z + interval 1 day, '%Y-%m-%d') as end_day from d""")
 def german_text_roundtrip(spark, sf_dir):
+    """Ranges that name one year, at their end: of one across two years, both days are read in that year."""
     named = lambda d: F.element_at(F.array(*map(F.lit, dates.MONTHS)), F.month(d))
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.add_months(F.to_date("l_shipdate"), 12 * 28).alias("a")).withColumn("b", F.date_add("a", F.col("l_linenumber")))
     said = F.concat(F.dayofmonth("a").cast("string"), F.lit(". "), F.initcap(named(F.col("a"))), F.lit(" - "), F.dayofmonth("b").cast("string"), F.lit(". "), named(F.col("b")), F.lit(" "), F.year("b").cast("string"))
-    rows = l.filter(F.year("a") == F.year("b")).select("l_orderkey", "l_linenumber", dates.german_range(said).alias("r"))
+    rows = l.select("l_orderkey", "l_linenumber", dates.german_range(said).alias("r"))
     return rows.select("l_orderkey", "l_linenumber", F.date_format("r.first", "yyyy-MM-dd").alias("first_day"), F.date_format("r.end", "yyyy-MM-dd").alias("end_day"))
 
 
-@query("""select event_id, strftime(ts + interval 1 hour, '%Y-%m-%d') as berlin_day, strftime(date_trunc('day', ts + interval 1 hour) - interval 1 hour, '%Y-%m-%d %H:%M:%S') as starts_utc from events""")
+@query("""with t as (select event_id, ts + to_days((event_id % 366)::int) as ts from events), s as (select *, make_date(year(ts), 3, 31)::timestamp as m, make_date(year(ts), 10, 31)::timestamp as o from t),
+h as (select event_id, ts, m - to_days(dayofweek(m)::int) + interval 1 hour as a, o - to_days(dayofweek(o)::int) + interval 1 hour as z from s),
+d as (select *, date_trunc('day', ts + case when ts >= a and ts < z then interval 2 hour else interval 1 hour end) as day from h)
+select event_id, strftime(day, '%Y-%m-%d') as berlin_day, strftime(day - case when day - interval 1 hour >= a and day - interval 2 hour < z then interval 2 hour else interval 1 hour end, '%Y-%m-%d %H:%M:%S') as starts_utc from d""")
 def berlin_allday(spark, sf_dir):
-    """The events lie in winter, when Berlin is one hour ahead."""
-    day = dates.berlin_day(F.col("ts").cast("timestamp"))
+    """Moments of a whole year, so in winter and in summer time."""
+    moment = F.col("ts").cast("timestamp") + F.make_dt_interval((F.col("event_id") % 366).cast("int"))
+    day = dates.berlin_day(moment)
     return table(spark, sf_dir, "events").select("event_id", F.date_format(day, "yyyy-MM-dd").alias("berlin_day"), F.date_format(dates.berlin_midnight(day), "yyyy-MM-dd HH:mm:ss").alias("starts_utc"))
 
 
@@ -109,21 +103,6 @@ def names_join_distinct(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(text.distinct_join(F.array_sort(F.collect_set("p_type")), ", ").alias("types"))
 
 
-@query(r"""select o_orderkey, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'SUMMARY:' || replace(replace(replace(replace(o_orderpriority || ', x;y' || chr(10) || 'z', '\', '\\'), ';', '\;'), ',', '\,'), chr(10), '\n'), 'UID:' || o_orderkey || '@example.org', 'DTSTART;VALUE=DATE:' || strftime(o_orderdate, '%Y%m%d'), 'SEQUENCE:' || o_custkey % 3, 'STATUS:' || case when o_orderstatus = 'F' then 'CANCELLED' else 'CONFIRMED' end, 'END:VEVENT') as vevent from orders""")
-def vevent_text(spark, sf_dir):
-    title = text.escaped(F.concat("o_orderpriority", F.lit(", x;y\nz")))
-    status = F.when(F.col("o_orderstatus") == "F", "CANCELLED").otherwise("CONFIRMED")
-    lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("SUMMARY:"), title), F.concat(F.lit("UID:"), "o_orderkey", F.lit("@example.org")), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd")), F.concat(F.lit("SEQUENCE:"), F.col("o_custkey") % 3), F.concat(F.lit("STATUS:"), status), F.lit("END:VEVENT")]
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\r\n", *lines).alias("vevent"))
-
-
-@query("""select o_orderkey, case o_orderstatus when 'F' then 'CANCELLED' when 'P' then 'TENTATIVE' else 'CONFIRMED' end as status from orders""")
-def status_domain(spark, sf_dir):
-    said = F.element_at(F.create_map(F.lit("F"), F.lit("https://schema.org/EventCancelled"), F.lit("P"), F.lit("https://schema.org/EventTentative"), F.lit("O"), F.lit("https://schema.org/EventScheduled")), F.col("o_orderstatus"))
-    tail = F.element_at(F.split(said, "/"), -1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(tail == "EventCancelled", "CANCELLED").when(tail == "EventTentative", "TENTATIVE").otherwise("CONFIRMED").alias("status"))
-
-
 @query(r"""select page_id, 'host=shop.example:81 path=' || case page_id % 4 when 0 then '/x/<redacted>/<redacted>' when 1 then '/api/<redacted>/<redacted>/y' when 2 then '/x/<redacted>/<redacted>' else '/x/tokens/' || page_id end as endpoint from pages""")
 def redact_endpoint(spark, sf_dir):
     kind = F.col("page_id") % 4
@@ -134,11 +113,3 @@ def redact_endpoint(spark, sf_dir):
 @query(r"""select doc_id, left(regexp_replace(regexp_replace(lower(replace(replace(text, 'ß', 'ss'), 'ẞ', 'ss')), '[^a-z0-9äöü]+', '-', 'g'), '^-+|-+$', '', 'g'), 100) as slug from documents""")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
-
-
-@query("""select p.doc_id, p.k from (select doc_id, sha256(coalesce(lang, '') || chr(31) || coalesce(source, '') || chr(31) || doc_id) as k from documents) p where not exists (select 1 from (select sha256(coalesce(d.lang, '') || chr(31) || coalesce(d.source, '') || chr(31) || d.doc_id) as k from documents d join labels l on d.doc_id = l.doc_id) c where c.k = p.k)""")
-def cache_misses(spark, sf_dir):
-    """Documents whose cache key isn't among those of labelled ones: only these would go to a model."""
-    d = table(spark, sf_dir, "documents").select("doc_id", text.joined_hash(F.col("lang"), F.col("source"), F.col("doc_id")).alias("k"))
-    cache = d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("k")
-    return d.join(cache, "k", "left_anti").select("doc_id", "k")

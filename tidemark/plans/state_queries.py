@@ -45,49 +45,6 @@ def coverage_by_source(spark, sf_dir):
     return e.groupBy("event_type", "day").agg(*outs).select("event_type", "day", coverage.classify().alias("coverage"))
 
 
-@query("""select user_id, count(*) as observed, count(distinct event_type) as kinds, count(*) filter (value > 50) as created, count(*) filter (value <= 10) as cancelled from events group by user_id""")
-def run_log_counts(spark, sf_dir):
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("observed"), F.countDistinct("event_type").alias("kinds"), F.count_if(v > 50).alias("created"), F.count_if(v <= 10).alias("cancelled"))
-
-
-def _aliases(c):
-    alias = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    all_ = F.array(alias("ics_uid", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name"))), alias("x_id", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))), alias("fingerprint", F.sha2("c_name", 256)))
-    return c.select("c_custkey", "c_nationkey", F.posexplode(F.filter(all_, lambda a: a["value"].isNotNull())).alias("rank", "a")).select("c_custkey", "c_nationkey", F.col("a.kind").alias("kind"), F.col("a.value").alias("value"))
-
-
-_ALIAS_SQL = """select c_custkey, c_nationkey, 'ics_uid' as kind, c_name as value from customer where c_custkey % 3 = 0 union all select c_custkey, c_nationkey, 'x_id', c_mktsegment from customer where c_custkey % 2 = 0 union all select c_custkey, c_nationkey, 'fingerprint', sha256(c_name) from customer"""
-
-
-@query(f"select c_custkey, kind, value from ({_ALIAS_SQL})")
-def alias_explode(spark, sf_dir):
-    return _aliases(table(spark, sf_dir, "customer")).select("c_custkey", "kind", "value")
-
-
-@query(f"""with a as ({_ALIAS_SQL}), held as (select kind, value, c_nationkey, min(c_custkey) as owner from a where c_custkey % 5 <> 0 group by all)
-select a.c_custkey, arg_min(h.owner, case a.kind when 'ics_uid' then 1 when 'x_id' then 2 else 3 end) as event_id from a join held h on a.kind = h.kind and a.value = h.value and a.c_nationkey = h.c_nationkey group by a.c_custkey""")
-def alias_precedence(spark, sf_dir):
-    """The event that the strongest known alias of each row points at."""
-    a = _aliases(table(spark, sf_dir, "customer"))
-    held = a.filter("c_custkey % 5 <> 0").groupBy("kind", "value", "c_nationkey").agg(F.min("c_custkey").alias("owner"))
-    strength = F.when(F.col("kind") == "ics_uid", 1).when(F.col("kind") == "x_id", 2).otherwise(3)
-    return a.join(held, ["kind", "value", "c_nationkey"]).groupBy("c_custkey").agg(F.min_by("owner", strength).alias("event_id"))
-
-
-@query("""select c.c_custkey from customer c where not exists (select 1 from supplier s where s.s_nationkey = c.c_nationkey and s.s_name <> c.c_name and s.s_acctbal > c.c_acctbal)""")
-def alias_conflicts(spark, sf_dir):
-    """Rows without a conflict: an equal type with another, stronger value. A maximum per type stands in for all values."""
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    top = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.max("s_acctbal").alias("most"))
-    return c.join(top, "c_nationkey", "left").filter("most is null or most <= c_acctbal").select("c_custkey")
-
-
-@query("""select c_custkey from customer where c_acctbal > 0 and not exists (select 1 from orders where o_custkey = c_custkey)""")
-def absent_entities(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_acctbal > 0").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("""select event_id, cast(sum(changed) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as sequence from (select *, case when lag(event_type) over (partition by user_id order by ts, event_id) <> event_type then 1 else 0 end as changed from events)""")
 def sequence_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
@@ -170,16 +127,6 @@ def cap_with_partial(spark, sf_dir):
     return history.capped(e, "user_id", ["ts", "event_id"], F.floor("value").cast("long") % 7, 100).select("event_id", "taken")
 
 
-@query("""with old as (select c_custkey, c_acctbal, c_mktsegment from customer where c_custkey % 10 <> 0), new as (select c_custkey, c_acctbal + 1 as c_acctbal, upper(c_mktsegment) as c_mktsegment from customer where c_custkey % 3 = 0)
-select coalesce(o.c_custkey, n.c_custkey) as c_custkey, coalesce(n.c_acctbal, o.c_acctbal) as c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) as c_mktsegment, o.c_custkey is null as created from old o full outer join new n on o.c_custkey = n.c_custkey""")
-def state_upsert(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    old = c.filter("c_custkey % 10 <> 0").withColumn("known", F.lit(True))
-    new = c.filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("n_bal"), F.upper("c_mktsegment").alias("n_seg"))
-    both = old.join(new, "c_custkey", "full_outer")
-    return both.select("c_custkey", F.coalesce("n_bal", "c_acctbal").alias("c_acctbal"), F.coalesce("n_seg", "c_mktsegment").alias("c_mktsegment"), F.col("known").isNull().alias("created"))
-
-
 @query("""select regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) as host, page_id, max(page_id % 11) over (partition by regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) order by page_id rows unbounded preceding) as known_delay from pages""")
 def strictest_delay(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))

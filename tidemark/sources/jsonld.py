@@ -42,11 +42,11 @@ ADDRESS = ("name", "address", "streetAddress", "postalCode", "addressLocality")
 
 
 def objects(pages: DataFrame) -> DataFrame:
-    """(source_id, url, row, fields): each event object of a page, in document order, its fields as text."""
+    """(source_id, url, raw_content_hash, row, fields): each event object of a page, in document order, its fields as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source, url, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for source, url, digest, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows = []
                 for raw in SCRIPT.findall(body or ""):
                     try:
@@ -57,9 +57,9 @@ def objects(pages: DataFrame) -> DataFrame:
                         pick = (e.get("name"), e.get("startDate"), e.get("endDate"), e.get("description"))
                         rows.append([*(x if isinstance(x, str) else None for x in pick), _told(e.get("location"), ADDRESS, ", "), _told(e.get("organizer"), ("name",), ", "), _told(e.get("identifier"), ("value", "@value", "name"), ", "), _told(e.get("eventStatus"), ("@id",), ""), _told(e.get("url"), ("@id",), "")])
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(rows)), pa.array([url] * len(rows)), pa.array(range(len(rows)), pa.int32()), *(pa.array(list(c), pa.string()) for c in zip(*rows, strict=True))], ["source_id", "url", "row", *FIELDS])
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(rows), pa.string()) for x in (source, url, digest)] + [pa.array(range(len(rows)), pa.int32())] + [pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], ["source_id", "url", "raw_content_hash", "row", *FIELDS])
 
-    return pages.select("source_id", "url", "body").mapInArrow(run, "source_id string, url string, row int, " + ", ".join(f"{f} string" for f in FIELDS))
+    return pages.select("source_id", "url", F.sha2("body", 256).alias("raw_content_hash"), "body").mapInArrow(run, "source_id string, url string, raw_content_hash string, row int, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
 def moment(value: Column) -> Column:
@@ -69,21 +69,27 @@ def moment(value: Column) -> Column:
     return F.when(~F.contains(value, F.lit("T")), dates.berlin_midnight(F.try_to_date(value))).when(offset, F.try_to_timestamp(value)).otherwise(berlin)
 
 
+def status(said: Column) -> Column:
+    """The state of an event, by the last part of its schema.org address."""
+    tail = F.element_at(F.split(said, "/"), -1)
+    return F.when(tail == "EventCancelled", "CANCELLED").when(tail.isin("EventPostponed", "EventTentative"), "TENTATIVE").otherwise("CONFIRMED")
+
+
 def parse(pages: DataFrame) -> DataFrame:
     """A row per event object with a name and a start; of equal (identifier, name, start) the first."""
-    found = objects(pages).join(pages.select("source_id", "url", F.sha2("body", 256).alias("raw_content_hash")), ["source_id", "url"])
+    found = objects(pages)
     day = ~F.contains("start", F.lit("T"))
-    start, end, title = moment(F.col("start")), moment(F.col("end")), text.squeeze(F.col("name"))
+    found = found.withColumns({"_start": moment(F.col("start")), "_end": moment(F.col("end")), "_title": text.squeeze(F.col("name"))}).filter("_title is not null and _start is not null")
+    start, end, title = F.col("_start"), F.col("_end"), F.col("_title")
     last = F.when(F.to_date(F.try_to_timestamp("end")) >= F.to_date(F.try_to_timestamp("start")), F.try_to_date(F.substring("end", 1, 10))).when(F.col("end").isNull(), F.try_to_date("start"))
-    tail = F.element_at(F.split("status", "/"), -1)
     plain = text.squeeze(F.regexp_replace("description", "<[^>]*>", " "))
     rows = found.select(
         "source_id", "url", "row", F.lit(None).cast("string").alias("error"), "raw_content_hash", title.alias("title"), start.alias("start"),
         F.when(day, dates.berlin_midnight(F.date_add(last, 1))).otherwise(end).alias("end"), day.alias("all_day"), "location", plain.alias("description"), "organizer",
-        F.when(tail == "EventCancelled", "CANCELLED").when(tail.isin("EventPostponed", "EventTentative"), "TENTATIVE").otherwise("CONFIRMED").alias("status"),
+        status(F.col("status")).alias("status"),
         F.when(F.col("link").rlike("^https?://"), F.col("link")).otherwise(F.col("url")).alias("event_url"), F.lit(None).cast("string").alias("source_event_uid"),
         F.concat(F.lit("jsonld:"), "identifier", F.lit(":"), dates.iso_berlin(start)).alias("source_x_id"), F.lit(None).cast("int").alias("source_sequence"),
         F.lit(None).cast("timestamp").alias("source_last_modified"), F.lit("json-ld").alias("extraction_method"), F.lit(1.0).alias("extraction_confidence"),
-    ).filter("title is not null and start is not null")
+    )
     w = Window.partitionBy("source_id", "url", "source_x_id", text.casefold(F.col("title")), "start").orderBy("row")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -69,10 +69,15 @@ def cache_key(page: Column, model: str) -> Column:
     return text.joined_hash(page, F.lit(model), F.lit(json.dumps(sorted(FIELDS))), F.lit(PROMPT_VERSION))
 
 
+def unanswered(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """(cache_key, page_text): each text once whose answer isn't in the cache."""
+    return texts.groupBy("cache_key").agg(F.min("page_text").alias("page_text")).join(cache, "cache_key", "left_anti")
+
+
 def extract(pages: DataFrame, cache: DataFrame, backend: Backend | None, model: str, most: int = 6000) -> tuple[DataFrame, DataFrame]:
     """(observations, new cache rows: cache_key, result_json)."""
     texts = visible_text(pages, most).withColumn("cache_key", cache_key(F.col("page_text"), model)).checkpoint()
-    misses = texts.select("cache_key", "page_text").distinct().join(cache, "cache_key", "left_anti")
+    misses = unanswered(texts, cache)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
