@@ -124,7 +124,7 @@ def test_op12_bounds_hold_and_prune():
         mine = np.zeros(500, np.int64)
         mine[query] = weights[query]
         scores = total(mine[tree.terms] * tree.impacts, tree.first[:-1])
-        for node, (_, _, lo, hi, *_) in enumerate(tree.nodes):
+        for node, (*_, lo, hi, _, _) in enumerate(tree.nodes):
             assert tree.bound(node, query) >= scores[lo:hi].max()
         best = lexical.Best(3)
         scored += tree.search(query, mine, best, np.arange(len(sizes)), np.zeros(len(sizes), bool))

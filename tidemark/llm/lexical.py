@@ -6,8 +6,9 @@ The score is the sum of weight times impact, in 64-bit integers.
 
 Each task gathers its documents' vectors into ball trees: a node is a set of documents with the centroid of their vectors and the
 radius around it, halved along the line between two far members. In the tree an impact is multiplied by its term's weight, so that
-a query is a vector of ones. The centroid's product plus radius times the query's length bounds all scores below a node, with
-room for the rounding of floating-point numbers. A query opens the node with the largest bound first and ends once that is
+a query is a vector of ones. The centroid's product plus radius times the query's length bounds all scores below a node; so does
+the centroid's plus the radius in each of the query's own terms, which is less where vectors are long and queries short. The smaller
+of the two counts, with room for the rounding of floating-point numbers. A query opens the node with the largest bound first and ends once that is
 less than its k-th best score; documents in leaves are scored in integers. The best of a task go on to the next tree, then to the
 other tasks' best.
 
@@ -147,7 +148,9 @@ class Tree:
         # the products are exact to some 1e-10 of the lengths, whose sum times 1e-9 stays above that
         radius = math.sqrt(max(0.0, float((np.maximum(far, 0) + 1e-9 * (length + centroid @ centroid)).max())))
         number, lo = len(self.nodes), len(self.order)
-        self.nodes.append((centroid, radius, lo, lo + n, -1, -1))
+        peak = np.zeros(self.width)  # centroid plus the radius in each term's own direction
+        np.maximum.at(peak, terms, y)
+        self.nodes.append((centroid, radius, peak, lo, lo + n, -1, -1))
         if n <= leaf:
             self.order = np.concatenate([self.order, rows])
             return number
@@ -164,13 +167,13 @@ class Tree:
         for part in (side[: n // 2], side[n // 2 :]):
             at = _cells(first, part)
             below.append(self._split(rows[part], np.concatenate([[0], np.cumsum(np.diff(first)[part])]), terms[at], y[at], leaf))
-        self.nodes[number] = (centroid, radius, lo, lo + n, *below)
+        self.nodes[number] = (centroid, radius, peak, lo, lo + n, *below)
         return number
 
     def bound(self, node: int, query: np.ndarray) -> float:
         """What no document below a node scores more than."""
-        centroid, radius = self.nodes[node][:2]
-        return (float(centroid[query].sum()) + math.sqrt(len(query)) * radius) * (1 + 1e-9) + 1
+        centroid, radius, peak = self.nodes[node][:3]
+        return min(float(centroid[query].sum()) + math.sqrt(len(query)) * radius, float(peak[query].sum())) * (1 + 1e-9) + 1
 
     def search(self, query: np.ndarray, weights: np.ndarray, best: Best, ids: np.ndarray, null: np.ndarray) -> int:
         """Puts what is among the best of a query into best; the number of leaves that were scored. weights: those of the query's terms, 0 for others."""
@@ -179,7 +182,7 @@ class Tree:
             bound, node = heapq.heappop(heap)
             if -bound < best.least:
                 break
-            _, _, lo, hi, left, right = self.nodes[node]
+            lo, hi, left, right = self.nodes[node][3:]
             if left >= 0:
                 for child in (left, right):
                     if (b := self.bound(child, query)) >= best.least:
