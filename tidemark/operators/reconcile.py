@@ -1,7 +1,8 @@
 """Observations against stored state: identity, change sequences, absence, revival; one version of the state per run.
 
-Identity is an ordered fold per source (an alias set by one observation is seen by the next), so it is a grouped function
-over the source's bounded batch; everything after it is joins and windows.
+Identity is an ordered fold (an alias set by one observation is seen by the next). Observations that can't meet, directly or through
+others, don't see each other's, so the fold is a grouped function over connected components of observations, aliases and stored
+events; everything else is joins and windows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from . import components
 
 CONTENT = ["title", "start", "end", "all_day", "location", "description", "organizer", "status", "extraction_method", "extraction_confidence"]
 EVENTS = "event_id string, source_id string, title string, start timestamp, end timestamp, all_day boolean, location string, description string, organizer string, status string, extraction_method string, extraction_confidence double, source_url string, event_url string, cancelled_reason string, sequence long, semantic_hash string, missing_count long, first_missing timestamp, dtstamp timestamp, last_modified timestamp, created_at timestamp, updated_at timestamp"
@@ -37,38 +39,71 @@ def assign(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     digests of source, order-free aliases and place, so that a repeated task gives the same ones.
     """
     keyed = observations.select("source_id", "obs_ord", "source_event_uid", "source_x_id", "source_url", text.weak_fingerprint(F.col("title"), F.date_format(dates.berlin_day(F.col("start")), "yyyy-MM-dd")).alias("fingerprint"), "run_id")
+    candidates = candidate_aliases(observations.withColumn("event_id", F.lit(None).cast("string"))).select("source_id", "obs_ord", "alias_type", "alias_value").checkpoint()
+    held = touched(aliases, candidates).checkpoint()
+    labels = components.components(_bonds(candidates, held))
+    number = F.coalesce("component", "node").alias("component")
+    seen = keyed.withColumn("node", _node("o", "obs_ord")).join(labels, "node", "left").select(*keyed.columns, number)
+    known = held.withColumn("node", _node("e", "event_id")).join(labels, "node", "left").select(*held.columns, number)
+    return seen.groupBy("source_id", "component").cogroup(known.groupBy("source_id", "component")).applyInPandas(lambda obs, held: fold(obs, held), "source_id string, obs_ord long, event_id string, is_new boolean")
 
-    held = touched(aliases, candidate_aliases(observations.withColumn("event_id", F.lit(None).cast("string"))))
+
+def _node(kind: str, *columns: str) -> Column:
+    """A number for an observation, event or alias of a source; two that are equal by chance only put more into one group."""
+    return F.xxhash64(F.lit(kind), "source_id", *columns)
+
+
+def _bonds(candidates: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): what must be folded together, as observations that have an alias in common, or aliases of one stored event.
+
+    An address or a fingerprint binds nothing where it can never decide: all observations that have it carry a strong alias of
+    one type, and no stored event has it (or, of fingerprints, one that owns an alias of that type). Two of them that have
+    no strong alias in common then bar each other, and two that have one are bound by it.
+    """
+    strong = candidates.groupBy("source_id", "obs_ord").agg(*[F.bool_or(F.col("alias_type") == t).alias(f"has_{t}") for t in STRONG])
+    owns = held.groupBy("source_id", "event_id").agg(*[F.bool_or(F.col("alias_type") == t).alias(f"owns_{t}") for t in STRONG])
+    weak = F.col("alias_type").isin("source_url", "fingerprint")
+    shared = candidates.filter(weak).join(strong, ["source_id", "obs_ord"]).groupBy("source_id", "alias_type", "alias_value").agg(*[F.bool_and(f"has_{t}").alias(f"all_{t}") for t in STRONG])
+    stored = held.filter(weak).join(owns, ["source_id", "event_id"]).select("source_id", "alias_type", "alias_value", F.lit(True).alias("stored"), *[f"owns_{t}" for t in STRONG])
+    decides = shared.join(stored, ["source_id", "alias_type", "alias_value"], "left")
+    idle = F.lit(False)
+    for t in STRONG:
+        idle = idle | (F.col(f"all_{t}") & (F.col("stored").isNull() | ((F.col("alias_type") == "fingerprint") & F.col(f"owns_{t}"))))
+    binding = decides.filter(~idle).select("source_id", "alias_type", "alias_value")
+    bound = candidates.filter(~weak).unionByName(candidates.join(binding, ["source_id", "alias_type", "alias_value"], "left_semi").select(*candidates.columns))
+    alias = _node("a", "alias_type", "alias_value").alias("b")
+    return bound.select(_node("o", "obs_ord").alias("a"), alias).unionByName(held.select(_node("e", "event_id").alias("a"), alias))
+
+
+def fold(obs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Gives each observation its event, in order; held are the stored aliases that they can meet."""
 
     def barred(seen: set | None, strong: set, types: set) -> bool:
         return bool(seen) and not seen & strong and any(t in types for t, _ in seen)
 
-    def fold(obs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        known = {(t, v): e for t, v, e in zip(held.alias_type, held.alias_value, held.event_id, strict=True)}
-        owned: dict[str, dict[str, set]] = {}
-        for (t, v), e in known.items():
-            owned.setdefault(e, {}).setdefault(t, set()).add(v)
-        met: dict[str, set] = {}
-        rows = []
-        for o in obs.sort_values("obs_ord").itertuples():
-            strong = [(t, v) for t, v in (("ics_uid", o.source_event_uid), ("x_id", o.source_x_id)) if v]
-            tried = strong + ([("source_url", o.source_url)] if o.source_url else [])
-            weak = ("fingerprint", o.fingerprint)
-            types = {t for t, _ in strong}
-            hit = next((e for a in tried if (e := known.get(a)) and not barred(met.get(e), set(strong), types)), None)
-            if hit is None and (e := known.get(weak)) and not barred(met.get(e), set(strong), types):
-                if not any(vs and v not in vs for t, v in strong if (vs := owned.get(e, {}).get(t))):
-                    hit = e
-            new = hit is None
-            hit = hit or hashlib.sha256(f"{o.source_id}\x1f{o.run_id}\x1f{o.obs_ord}".encode()).hexdigest()[:32]
-            for t, v in [*tried, weak]:
-                known[t, v] = hit
-                owned.setdefault(hit, {}).setdefault(t, set()).add(v)
-            met.setdefault(hit, set()).update(strong)
-            rows.append((o.source_id, o.obs_ord, hit, new))
-        return pd.DataFrame(rows, columns=["source_id", "obs_ord", "event_id", "is_new"])
-
-    return keyed.groupBy("source_id").cogroup(held.groupBy("source_id")).applyInPandas(fold, "source_id string, obs_ord long, event_id string, is_new boolean")
+    known = {(t, v): e for t, v, e in zip(held.alias_type, held.alias_value, held.event_id, strict=True)}
+    owned: dict[str, dict[str, set]] = {}
+    for (t, v), e in known.items():
+        owned.setdefault(e, {}).setdefault(t, set()).add(v)
+    met: dict[str, set] = {}
+    rows = []
+    for o in obs.sort_values("obs_ord").itertuples():
+        strong = [(t, v) for t, v in (("ics_uid", o.source_event_uid), ("x_id", o.source_x_id)) if v]
+        tried = strong + ([("source_url", o.source_url)] if o.source_url else [])
+        weak = ("fingerprint", o.fingerprint)
+        types = {t for t, _ in strong}
+        hit = next((e for a in tried if (e := known.get(a)) and not barred(met.get(e), set(strong), types)), None)
+        if hit is None and (e := known.get(weak)) and not barred(met.get(e), set(strong), types):
+            if not any(vs and v not in vs for t, v in strong if (vs := owned.get(e, {}).get(t))):
+                hit = e
+        new = hit is None
+        hit = hit or hashlib.sha256(f"{o.source_id}\x1f{o.run_id}\x1f{o.obs_ord}".encode()).hexdigest()[:32]
+        for t, v in [*tried, weak]:
+            known[t, v] = hit
+            owned.setdefault(hit, {}).setdefault(t, set()).add(v)
+        met.setdefault(hit, set()).update(strong)
+        rows.append((o.source_id, o.obs_ord, hit, new))
+    return pd.DataFrame(rows, columns=["source_id", "obs_ord", "event_id", "is_new"])
 
 
 def touched(aliases: DataFrame, wanted: DataFrame) -> DataFrame:

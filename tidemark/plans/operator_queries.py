@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -81,14 +81,25 @@ def alias_conflicts(spark, sf_dir):
 
 
 @query("""with f as (select o_orderkey, o_custkey, min(o_orderkey) over (partition by o_custkey) as head from orders)
-select o_orderkey, left(sha256((o_custkey % 50) || chr(31) || 'r' || chr(31) || head), 32) as event_id, o_orderkey = head as is_new from f""")
+select o_orderkey, left(sha256('o' || chr(31) || 'r' || chr(31) || head), 32) as event_id, o_orderkey = head as is_new from f""")
 def identity_fold(spark, sf_dir):
-    """Orders as observations whose calendar id is the customer, in a source for each remainder by 50, folded into events."""
-    seen = _observed(table(spark, sf_dir, "orders"), "o_custkey % 50", "o_orderkey", source_event_uid="cast(o_custkey as string)", title="o_orderstatus", start="cast(o_orderdate as timestamp)")
+    """Orders as observations of one source whose calendar id is the customer, folded into events; days and titles repeat across customers."""
+    seen = _observed(table(spark, sf_dir, "orders"), "'o'", "o_orderkey", source_event_uid="cast(o_custkey as string)", title="o_orderstatus", start="cast(o_orderdate as timestamp)")
     folded = reconcile.assign(seen, spark.createDataFrame([], reconcile.ALIASES))
     return folded.select(F.col("obs_ord").alias("o_orderkey"), "event_id", "is_new")
 
 
+@query("""with n as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as k from orders), f as (select o_orderkey, min(o_orderkey) over (partition by k // 40) as head, k // 40 as chain from n)
+select o_orderkey, case when chain % 3 = 0 then 'held' || chain else left(sha256('o' || chr(31) || 'r' || chr(31) || head), 32) end as event_id, chain % 3 <> 0 and o_orderkey = head as is_new from f""")
+def identity_chains(spark, sf_dir):
+    """Orders in chains of forty, in which each has an alias in common with the next few only; every third chain's end leads to a stored event."""
+    place = F.row_number().over(Window.orderBy("o_orderkey")) - 1  # the fixture's numbering; a window over one column of orders
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", place.alias("k"))
+    seen = _observed(rows, "'o'", "o_orderkey", source_event_uid="cast(k div 4 as string)", source_x_id="if(k % 40 in (0, 1, 38, 39), null, cast((k + 2) div 4 as string))", title="cast(o_orderkey as string)")
+    held = _held(rows, "ics_uid", "cast(k div 4 as string)", "'o'", "concat('held', k div 40)", "k % 40 = 0 and k div 40 % 3 = 0")
+    return reconcile.assign(seen, held).select(F.col("obs_ord").alias("o_orderkey"), "event_id", "is_new")
+
+
 @query(f"""with o as (select 'ics_uid' as kind, o_custkey::varchar as value, o_orderkey from orders union all select 'fingerprint', {_fingerprint_sql("o_orderstatus")}, o_orderkey from orders),
 new as (select kind, value, arg_max(o_orderkey, o_orderkey)::varchar as event_id from o group by all),
 old as (select 'ics_uid' as kind, c_custkey::varchar as value, 'old' || c_custkey as event_id from customer where c_custkey % 2 = 0)
