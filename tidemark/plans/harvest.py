@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import coverage, reconcile
-from ..sources import fetch, html_nodes, ics, jsonld, model, profiles
+from ..sources import detail, fetch, html_nodes, ics, jsonld, model, profiles
 from ..sources.config import Config
 from .state import State
 
@@ -24,8 +24,6 @@ EMPTY = {
     "listing": ["keine veranstaltungen", "keine ergebnisse", "keine treffer", "keine einträge"],
     "structured-html": ["keine veranstaltungen", "keine termine", "keine einträge"],
 }
-# Class or id without which a page of a profile has changed its structure.
-MARKUP = {"listing": "cal-list-event", "table-rows": "ce-table", "dated-list": "entryBody", "cards": "wrapper-inner", "paragraphs": "content_main"}
 #: The profile whose lists go on over further pages.
 PAGED = "dated-list"
 DETAIL, SITEMAP_PARAMETER, ITEM = "/veranstaltungen/veranstaltung/", ("sitemap", "destinationdataevent"), "d1i-item-page/"
@@ -47,13 +45,6 @@ def _says_empty(kind: Column, body: Column) -> Column:
     return F.coalesce(said, F.lit(False))
 
 
-def _has_markup(profile: Column, body: Column) -> Column:
-    found = F.lit(False)
-    for name, mark in MARKUP.items():
-        found = found | ((profile == name) & body.rlike(rf"""(?i)(?:class|id)=["'](?:[^"']*[\s])?{mark}(?:[\s][^"']*)?["']"""))
-    return F.coalesce(found, F.lit(False))
-
-
 def further_pages(url: Column, links: Column) -> Column:
     """Addresses of the pages from 2 that links name by a parameter."""
     numbers = F.transform(links, lambda u: F.regexp_extract(u, r"[?&]page=(\d{1,9})(?:&|#|$)", 1).try_cast("int"))
@@ -76,8 +67,10 @@ def discover(sources: DataFrame, get) -> tuple[DataFrame, DataFrame]:
     links = F.transform(urls.hrefs(F.col("body")), lambda h: profiles.absolute(F.col("at"), h))
     locations = F.transform(F.regexp_extract_all("body", F.lit(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</(?:\w+:)?loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
     found = F.when(low == "listing", F.filter(links, lambda u: urls.is_candidate(u, DETAIL))).when(low == "structured-html", F.concat(F.array("url"), F.when(F.col("profile") == PAGED, further_pages(F.col("url"), links)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
-    changed = ok & (low == "structured-html") & ~_has_markup(F.col("profile"), F.col("body")) & ~_says_empty(low, F.col("body"))
-    got = got.withColumn("error", F.when(changed, F.lit("no event markup")).otherwise(F.col("error")))
+    structured = got.filter(ok & (low == "structured-html")).select("source_id", F.col("url"), "profile", "body")
+    marked = profiles.recognised(structured, html_nodes.nodes).withColumn("marked", F.lit(True))
+    changed = ok & (low == "structured-html") & F.col("marked").isNull() & ~_says_empty(low, F.col("body"))
+    got = got.join(marked, ["source_id", "url"], "left").withColumn("error", F.when(changed, F.lit("no event markup")).otherwise(F.col("error")))
     first = got.withColumn("found", F.when(ok, found).otherwise(F.array().cast("array<string>")))
     maps = F.slice(F.filter(locations, lambda u: urls.has_parameter(u, *SITEMAP_PARAMETER)), 1, MOST_SITEMAPS)
     children = got.filter(ok & (low == "sitemap")).select("source_id", "kind", "profile", "hosts", "seed", F.posexplode(maps).alias("child", "url"), plain)
@@ -92,10 +85,13 @@ def discover(sources: DataFrame, get) -> tuple[DataFrame, DataFrame]:
 
 
 def parse(pages: DataFrame, profiles_used: list[str]) -> DataFrame:
-    """pages: source_id, url, body, kind, profile."""
+    """pages: source_id, url, body, kind, profile, and what profiles take from the configuration. Pages of sitemaps without event data are read as detail pages."""
     calendars = _is_calendar()
-    body = lambda d: d.select("source_id", "url", "body")
-    parts = [ics.parse(body(pages.filter(calendars))), jsonld.parse(body(pages.filter(~calendars & (F.col("kind") != "structured-html"))))]
+    given = [c for c in ("default_location", "default_organizer", "skip_titles") if c in pages.columns]
+    body = lambda d: d.select("source_id", "url", "body", *given)
+    data = jsonld.parse(body(pages.filter(~calendars & (F.col("kind") != "structured-html")))).checkpoint()
+    rest = body(pages.filter(~calendars & (F.col("kind") == "sitemap")).join(data, ["source_id", "url"], "left_anti"))
+    parts = [ics.parse(body(pages.filter(calendars))), data, detail.parse(rest, html_nodes.nodes(rest))]
     for name in profiles_used:
         mine = body(pages.filter((F.col("kind") == "structured-html") & (F.col("profile") == name)))
         parts.append(profiles.parse(mine, html_nodes.nodes(mine), name))
@@ -139,7 +135,7 @@ def run(spark: SparkSession, config: Config, provider: fetch.Provider, state: St
     fetched = get(candidates.filter(F.col("ord") <= config.max_events).join(cache, "url", "left"))
     good = fetched.filter("error is null and not not_modified")
     used = [p for p in profiles.PROFILES if any(s[2] == p for s in config.sources)]
-    read = linked(good, get)
+    read = linked(good, get).join(sources.select("source_id", "default_location", "default_organizer", "skip_titles"), "source_id")
     fresh = parse(read, used).checkpoint()
     answers = state.read("model_cache")
     if backend is not None:

@@ -9,7 +9,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
-SOURCES = "source_id string, kind string, profile string, enabled boolean, seeds array<string>, hosts array<string>, delay double"
+SOURCES = "source_id string, kind string, profile string, enabled boolean, seeds array<string>, hosts array<string>, delay double, default_location string, default_organizer string, skip_titles array<string>"
 
 
 @dataclass
@@ -56,7 +56,7 @@ def load(path: str) -> Config:
 
 
 def source(s: dict) -> tuple:
-    if extra := s.keys() - {"id", "type", "profile", "enabled", "seed_urls", "allowed_hosts", "min_request_delay_seconds"}:
+    if extra := s.keys() - {"id", "type", "profile", "enabled", "seed_urls", "allowed_hosts", "min_request_delay_seconds", "location", "organizer", "skip_titles"}:
         raise ValueError(f"unknown keys in a source: {sorted(extra)}")
     seeds, hosts = s["seed_urls"], list(dict.fromkeys(h.strip().lower() for h in s["allowed_hosts"]))
     if not hosts or not all(hosts):
@@ -67,4 +67,4 @@ def source(s: dict) -> tuple:
     delay = float(s.get("min_request_delay_seconds", 0))
     if delay < 0:
         raise ValueError("a delay can't be negative")
-    return s["id"], s["type"], s.get("profile"), s.get("enabled", True), seeds, hosts, delay
+    return s["id"], s["type"], s.get("profile"), s.get("enabled", True), seeds, hosts, delay, s.get("location"), s.get("organizer"), s.get("skip_titles", [])

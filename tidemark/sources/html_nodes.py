@@ -1,6 +1,7 @@
-"""HTML as rows: each element with its place, path of classes, attributes and text.
+"""HTML as rows: each element with its place, classes and attributes, and each piece of visible text as a row of its own.
 
-The parser is the standard library's; what it yields is a table, and profiles are queries over that table.
+The parser is the standard library's; what it yields is a table. An element's text isn't kept with the element: it is the pieces
+between its own number and its ``last``, and selectors put together what is asked for.
 """
 
 from __future__ import annotations
@@ -13,39 +14,63 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe svg head nav".split())
+#: The tag of a piece of text.
+TEXT = "#text"
 
-SCHEMA = "source_id string, url string, n int, last int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string"
+SCHEMA = "source_id string, url string, n int, last int, depth int, tag string, attrs map<string,string>, text string"
+ARROW = pa.schema([("source_id", pa.string()), ("url", pa.string()), ("n", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+#: Rows of a page that are passed on at a time.
+ROWS = 5000
 
 
 class Nodes(HTMLParser):
-    """Elements in document order. An element's descendants are those numbered up to its ``last``."""
+    """Elements and texts in document order. An element's descendants are those numbered up to its ``last``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
+        self.last, self.depth, self.tag, self.attrs, self.text = [], [], [], [], []
+        self.open: list[int] = []
+        self.count: dict[str, int] = {}  # of open elements, by tag
+        self.hidden = 0
+
+    def _row(self, tag: str, attrs: list, text: str | None) -> int:
+        n = len(self.last)
+        for column, value in zip((self.last, self.depth, self.tag, self.attrs, self.text), (n, len(self.open), tag, attrs, text), strict=True):
+            column.append(value)
+        return n
 
     def handle_starttag(self, tag, attrs):
-        row = {"n": len(self.rows), "last": len(self.rows), "depth": len(self.open), "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "parts": [], "hidden": tag in HIDDEN}
-        self.rows.append(row)
+        n = self._row(tag, [(k, v or "") for k, v in dict(attrs).items()], None)
         if tag not in VOID:
-            self.open.append(row)
+            self.open.append(n)
+            self.count[tag] = self.count.get(tag, 0) + 1
+            self.hidden += tag in HIDDEN
 
     def handle_endtag(self, tag):
-        if any(r["tag"] == tag for r in self.open):
-            while (row := self.open.pop())["tag"] != tag:
-                row["last"] = len(self.rows) - 1
-            row["last"] = len(self.rows) - 1
+        if self.count.get(tag):
+            while self._close() != tag:
+                pass
+
+    def _close(self) -> str:
+        n = self.open.pop()
+        self.last[n] = len(self.last) - 1
+        tag = self.tag[n]
+        self.count[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        return tag
 
     def handle_data(self, data):
-        data = " ".join(data.split())
-        if data and not any(r["hidden"] for r in self.open):
-            for row in self.open:
-                row["parts"].append(data)
+        if not self.hidden and (data := " ".join(data.split())):
+            self._row(TEXT, [], data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close()
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """pages: source_id, url, body (text). A row for each element; text is all its visible text, single-spaced."""
+    """pages: source_id, url, body (text). The rows of a page come together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,13 +78,10 @@ def nodes(pages: DataFrame) -> DataFrame:
                 tree = Nodes()
                 tree.feed(body or "")
                 tree.close()
-                for row in tree.open:
-                    row["last"] = len(tree.rows) - 1
-                if tree.rows:
-                    found = [{"source_id": source, "url": url, "n": r["n"], "last": r["last"], "depth": r["depth"], "tag": r["tag"], "id": dict(r["attrs"]).get("id"), "classes": dict(r["attrs"]).get("class", "").split(), "attrs": r["attrs"], "text": " ".join(r["parts"])} for r in tree.rows]
-                    yield pa.RecordBatch.from_pylist(found, schema=ARROW)
+                for lo in range(0, len(tree.last), ROWS):
+                    part = slice(lo, lo + ROWS)
+                    n = list(range(lo, min(lo + ROWS, len(tree.last))))
+                    columns = [[source] * len(n), [url] * len(n), n, tree.last[part], tree.depth[part], tree.tag[part], tree.attrs[part], tree.text[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
     return pages.select("source_id", "url", "body").mapInArrow(run, SCHEMA)
-
-
-ARROW = pa.schema([("source_id", pa.string()), ("url", pa.string()), ("n", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])

@@ -7,38 +7,61 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..operators import history
 
 SCRIPT = re.compile(r'(?is)<script[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>')
 FIELDS = ["name", "start", "end", "description", "location", "organizer", "identifier", "status", "link"]
 
 
 def _walk(value) -> Iterator[dict]:
-    if isinstance(value, dict):
-        kinds = value.get("@type")
-        if any(str(k).rstrip("/").rsplit("/", 1)[-1].casefold() == "event" for k in (kinds if isinstance(kinds, list) else [kinds])):
-            yield value
-        value = list(value.values())
+    """Event objects in document order, however deep."""
+    rest = [value]
+    while rest:
+        value = rest.pop()
+        if isinstance(value, dict):
+            kinds = value.get("@type")
+            if any(str(k).rsplit("/", 1)[-1].casefold() == "event" for k in (kinds if isinstance(kinds, list) else [kinds])):
+                yield value
+            value = list(value.values())
+        if isinstance(value, list):
+            rest.extend(reversed(value))
+
+
+def _named(value) -> str | None:
+    """A name, that of a thing, or those of a list, each once."""
     if isinstance(value, list):
-        for inner in value:
-            yield from _walk(inner)
-
-
-def _told(value, keys: tuple[str, ...], separator: str) -> str | None:
-    """What a value that may be text, a thing with one of some keys, or a list of these, says; each once."""
-    parts = []
-    for v in value if isinstance(value, list) else [value]:
-        if isinstance(v, dict):
-            v = separator.join(dict.fromkeys(x for k in keys if (x := _told(v.get(k), ("name", *keys), separator))))
-        if v not in (None, "") and (v := " ".join(str(v).split())):
-            parts.append(v)
-    return separator.join(dict.fromkeys(parts)) or None
+        return ", ".join(dict.fromkeys(n for v in value if (n := _named(v)))) or None
+    if isinstance(value, dict):
+        value = value.get("name")
+    return value.strip() or None if isinstance(value, str) else None
 
 
-ADDRESS = ("name", "address", "streetAddress", "postalCode", "addressLocality")
+def _place(value) -> str | None:
+    """Name, street, and postal code with town of a place; several places stand side by side."""
+    if isinstance(value, list):
+        return " / ".join(dict.fromkeys(p for v in value if (p := _place(v)))) or None
+    if not isinstance(value, dict):
+        return value.strip() or None if isinstance(value, str) else None
+    address = value.get("address")
+    parts = [_named(value)]
+    if isinstance(address, str):
+        parts.append(address.strip())
+    elif isinstance(address, dict):
+        street, code, town = (str(address.get(k) or "").strip() for k in ("streetAddress", "postalCode", "addressLocality"))
+        parts += [street, f"{code} {town}".strip()]
+    return ", ".join(dict.fromkeys(p for p in parts if p)) or None
+
+
+def _identifier(value) -> str | None:
+    """The first that says something."""
+    if isinstance(value, (str, int)):
+        return str(value).strip() or None
+    inner = value if isinstance(value, list) else [value.get(k) for k in ("value", "@value", "name")] if isinstance(value, dict) else []
+    return next((i for v in inner if (i := _identifier(v))), None)
 
 
 def objects(pages: DataFrame) -> DataFrame:
@@ -51,11 +74,12 @@ def objects(pages: DataFrame) -> DataFrame:
                 for raw in SCRIPT.findall(body or ""):
                     try:
                         found = list(_walk(json.loads(raw)))
-                    except ValueError:
+                    except (ValueError, RecursionError):  # not JSON, or nested beyond what the reader takes
                         continue
                     for e in found:
-                        pick = (e.get("name"), e.get("startDate"), e.get("endDate"), e.get("description"))
-                        rows.append([*(x if isinstance(x, str) else None for x in pick), _told(e.get("location"), ADDRESS, ", "), _told(e.get("organizer"), ("name",), ", "), _told(e.get("identifier"), ("value", "@value", "name"), ", "), _told(e.get("eventStatus"), ("@id",), ""), _told(e.get("url"), ("@id",), "")])
+                        said = (_named(e.get("name")), *(x if isinstance(x, str) else None for x in (e.get("startDate"), e.get("endDate"), e.get("description"))))
+                        link = e.get("url")
+                        rows.append([*said, _place(e.get("location")), _named(e.get("organizer")), _identifier(e.get("identifier")), str(e.get("eventStatus") or ""), link.strip() if isinstance(link, str) else None])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(rows), pa.string()) for x in (source, url, digest)] + [pa.array(range(len(rows)), pa.int32())] + [pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], ["source_id", "url", "raw_content_hash", "row", *FIELDS])
 
@@ -71,8 +95,8 @@ def moment(value: Column) -> Column:
 
 def status(said: Column) -> Column:
     """The state of an event, by the last part of its schema.org address."""
-    tail = F.element_at(F.split(said, "/"), -1)
-    return F.when(tail == "EventCancelled", "CANCELLED").when(tail.isin("EventPostponed", "EventTentative"), "TENTATIVE").otherwise("CONFIRMED")
+    tail = text.casefold(F.element_at(F.split(said, "/"), -1))
+    return F.when(tail.isin("eventcancelled", "cancelled"), "CANCELLED").when(tail.isin("eventpostponed", "eventrescheduled", "eventtentative", "tentative"), "TENTATIVE").otherwise("CONFIRMED")
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -91,5 +115,5 @@ def parse(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("jsonld:"), "identifier", F.lit(":"), dates.iso_berlin(start)).alias("source_x_id"), F.lit(None).cast("int").alias("source_sequence"),
         F.lit(None).cast("timestamp").alias("source_last_modified"), F.lit("json-ld").alias("extraction_method"), F.lit(1.0).alias("extraction_confidence"),
     )
-    w = Window.partitionBy("source_id", "url", "source_x_id", text.casefold(F.col("title")), "start").orderBy("row")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    keyed = rows.withColumn("_title", text.casefold(F.col("title")))
+    return history.first_of(keyed, ["source_id", "url", "source_x_id", "_title", "start"], ["row"]).drop("_title")

@@ -62,7 +62,7 @@ def checked(answer: str | None) -> dict | None:
 
 def visible_text(pages: DataFrame, most: int) -> DataFrame:
     """(source_id, url, page_text): what a reader sees of each page, cut to so many characters."""
-    return html_nodes.nodes(pages).filter("depth = 0").groupBy("source_id", "url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("t")).select("source_id", "url", F.substring("t", 1, most).alias("page_text"))
+    return html_nodes.nodes(pages).filter(F.col("tag") == html_nodes.TEXT).groupBy("source_id", "url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("t")).select("source_id", "url", F.substring("t", 1, most).alias("page_text"))
 
 
 def cache_key(page: Column, model: str) -> Column:

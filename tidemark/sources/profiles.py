@@ -1,7 +1,8 @@
 """Event profiles of semi-structured pages, as queries over html_nodes.
 
 A profile gives raw rows (row, title, when, time, location, description, organizer, link, ident); ``finish`` turns them into
-observations. Rows whose date can't be read are dropped.
+observations. Rows whose date can't be read are dropped. Places and organisers that a site doesn't print, and titles that don't count, come
+from the source's configuration, as columns default_location, default_organizer and skip_titles of the pages.
 """
 
 from __future__ import annotations
@@ -10,103 +11,105 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from .selectors import PAGE, within
 
-PAGE = ["source_id", "url"]
+# By what a site's pages are recognised.
+MARKUP = {"listing": ".cal-list-event", "table-rows": "table.ce-table", "dated-list": ".veranstaltungen .entryBody", "cards": 'main .wrapper-inner a[title="Zur Veranstaltung"]', "paragraphs": "#content_main"}
+STYLED = 'span[style*="Kaushan Script"]'
 
 
-def has_class(name: str, prefix: str = "") -> Column:
-    return F.array_contains(F.col(f"{prefix}classes"), name)
+def said(pieces: str = "pieces") -> Column:
+    """The text of an element; null where it has none."""
+    return F.nullif(F.array_join(F.transform(pieces, lambda p: p["t"]), " "), F.lit(""))
 
 
-def below(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Pairs of an element and one inside it, on the same page; the inner one's columns start with d_."""
-    o = outer.select(*PAGE, F.col("n").alias("row"), F.col("last").alias("_last"), F.col("depth").alias("_depth"))
-    d = inner.select(*PAGE, *[F.col(c).alias(f"d_{c}") for c in ("n", "last", "depth", "tag", "id", "classes", "attrs", "text")])
-    return o.join(d, PAGE).filter("d_n > row and d_n <= _last")
+def first(field: str, what: Column | None = None) -> Column:
+    """What the first element of a field says, or what else of it is asked for."""
+    mine = F.col("field") == field
+    return F.min_by(F.when(mine, said() if what is None else what), F.when(mine, F.col("n")))
 
 
-def first(condition: Column, what: Column) -> Column:
-    return F.min_by(F.when(condition, what), F.when(condition, F.col("d_n")))
+def attr(name: str) -> Column:
+    return F.element_at("attrs", name)
 
 
-def attr(name: str) -> Column:
-    return F.element_at("d_attrs", name)
+def raw(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of a profile; what isn't given is null."""
+    none = F.lit(None).cast("string")
+    names = ("title", "when", "time", "location", "description", "organizer", "link", "ident")
+    return rows.select(*PAGE, "row", *[columns.get(n, none).alias(n) for n in names])
 
 
 def listing(nodes: DataFrame) -> DataFrame:
     """Blocks with day, month, year, time and title in elements of their own."""
-    c = lambda name: has_class(name, "d_")
-    inside = below(nodes.filter(has_class("cal-list-event")), nodes)
-    t = F.col("d_text")
-    buttons = inside.filter(c("cal-button")).select(*PAGE, "row", F.col("d_n").alias("b"), F.col("d_last").alias("z"))
-    links = inside.filter("d_tag = 'a'").join(buttons, [*PAGE, "row"]).filter("d_n >= b and d_n <= z").groupBy(*PAGE, "row").agg(F.min_by(attr("href"), "d_n").alias("link"))
-    rows = inside.groupBy(*PAGE, "row").agg(
-        first(c("cal-list-title"), t).alias("title"), F.concat_ws(" ", F.concat(first(c("cal-date-day"), t), F.lit(".")), first(c("cal-date-month"), t), first(c("cal-date-year"), t)).alias("when"),
-        first(c("cal-date-time"), t).alias("time"), first(c("cal-list-type"), t).alias("location"), first(c("cal-list-teaser"), t).alias("description"), first(c("cal-list-place"), t).alias("organizer"),
-    )
-    return rows.join(links, [*PAGE, "row"], "left").filter("time is not null").withColumn("ident", F.nullif(F.regexp_extract("link", r"/(\d+)/detail(?:$|[?#])", 1), F.lit("")))
+    parts = ("cal-list-title", "cal-date-day", "cal-date-month", "cal-date-year", "cal-date-time", "cal-list-type", "cal-list-teaser", "cal-list-place")
+    found = within(nodes, ".cal-list-event", {p: f".{p}" for p in parts} | {"link": ".cal-button a[href]"})
+    rows = found.groupBy(*PAGE, "row").agg(*[first(p).alias(p) for p in parts], first("link", attr("href")).alias("link")).filter("`cal-date-time` is not null")
+    when = F.concat(F.concat("cal-date-day", F.lit(".")), F.lit(" "), "cal-date-month", F.lit(" "), "cal-date-year")
+    ident = F.nullif(F.regexp_extract("link", r"/(\d+)/detail(?:$|[?#])", 1), F.lit(""))
+    c = F.col
+    return raw(rows, title=c("cal-list-title"), when=when, time=c("cal-date-time"), location=c("cal-list-type"), description=c("cal-list-teaser"), organizer=c("cal-list-place"), link=c("link"), ident=ident)
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:
-    """Rows of a table: date, time, title; short and header rows are skipped."""
-    tables = below(nodes.filter((F.col("tag") == "table") & has_class("ce-table")), nodes)
-    rows = tables.filter("d_tag = 'tr'").select(*PAGE, F.col("d_n").alias("n"), F.col("d_last").alias("last"), F.col("d_depth").alias("depth"))
-    cells = below(rows, nodes.filter("tag = 'td'")).groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("d_n", "d_text"))).alias("c"))
-    cell = lambda i: F.get("c", F.lit(i))["d_text"]
-    none = F.lit(None).cast("string")
-    return cells.filter(F.size("c") >= 3).select(*PAGE, "row", cell(2).alias("title"), cell(0).alias("when"), cell(1).alias("time"), none.alias("location"), none.alias("description"), none.alias("organizer"), none.alias("link"), none.alias("ident")).filter("time rlike '[0-9]'")
+    """Rows of a table: date, time, title; short rows and those without a clock time are skipped."""
+    cells = within(nodes, "table.ce-table tr", {"cell": "td"}).groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce(said(), F.lit("")).alias("t")))).alias("c"))
+    cell = lambda i: F.get("c", F.lit(i))["t"]
+    return raw(cells.filter(F.size("c") >= 3), title=F.nullif(cell(2), F.lit("")), when=F.regexp_substr(cell(0), F.lit(r"\d{1,2}\.\d{1,2}\.20\d{2}")), time=cell(1)).filter(r"time rlike '\\d{1,2}[.:]\\d{2}'")
 
 
 def dated_list(nodes: DataFrame) -> DataFrame:
     """Date headings and bodies side by side: each body has the date of the last heading before it."""
-    children = below(nodes.filter(has_class("veranstaltungen")), nodes).filter("d_depth = _depth + 1")
-    w = Window.partitionBy(*PAGE, "row").orderBy("d_n").rowsBetween(Window.unboundedPreceding, 0)
-    dated = children.withColumn("when", F.last(F.when(has_class("entryHeadDate", "d_"), F.col("d_text")), ignorenulls=True).over(w))
-    bodies = dated.filter(has_class("entryBody", "d_")).filter("when is not null")
-    parts = below(bodies.select(*PAGE, F.col("d_n").alias("n"), F.col("d_last").alias("last"), F.col("d_depth").alias("depth")), nodes)
-    c, t = (lambda name: has_class(name, "d_")), F.col("d_text")
-    left = first(c("leftCol"), t)
+    sides = within(nodes, ".veranstaltungen", {"head": ":scope > .entryHeadDate", "body": ":scope > .entryBody"})
+    w = Window.partitionBy(*PAGE, "row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    dated = sides.withColumn("when", F.last(F.when(F.col("field") == "head", said()), ignorenulls=True).over(w))
+    bodies = dated.filter("field = 'body' and when is not null").select(*PAGE, F.col("n").alias("row"), "when", F.regexp_replace("lead", "^Veranstalter:", "").alias("lead"))
+    parts = within(nodes, ".veranstaltungen > .entryBody", {"title": ".wglListEntryDetails h2 a[href]", "left": ".leftCol", "details": ".wglListEntryDetails", "heading": ".wglListEntryDetails h2"})
     rows = parts.groupBy(*PAGE, "row").agg(
-        first((F.col("d_tag") == "a") & attr("href").isNotNull(), t).alias("title"), left.alias("time"), F.nullif(F.trim(F.regexp_replace(left, r"\d{1,2}[:.]\d{2}( Uhr)?", "")), F.lit("")).alias("location"),
-        first(c("wglListEntryDetails"), t).alias("description"), first((F.col("d_tag") == "a") & attr("href").isNotNull(), attr("href")).alias("link"),
+        first("title").alias("title"), first("title", attr("href")).alias("link"), first("left", F.col("pieces")).alias("left"), first("details", F.col("pieces")).alias("details"), first("heading", F.struct("n", "last")).alias("heading"),
     )
-    said = F.nullif(F.trim(F.regexp_extract("description", "Veranstalter:([^|]*)", 1)), F.lit(""))
-    when = bodies.select(*PAGE, F.col("d_n").alias("row"), "when")
-    rest = F.when(F.startswith(F.col("description"), F.col("title")), F.nullif(F.trim(F.substring("description", F.length("title") + 1, F.length("description"))), F.lit(""))).otherwise(F.col("description"))
-    return rows.withColumn("description", rest).join(when, [*PAGE, "row"]).withColumn("organizer", said).withColumn("ident", F.nullif(F.regexp_extract("link", r"[?&]vDetail=([^&#]+)", 1), F.lit("")))
+    place = F.get(F.filter(F.transform("left", lambda p: p["t"]), lambda t: ~t.rlike(r"\d{1,2}[.:]\d{2}") & ~F.contains(text.casefold(t), F.lit("onlineticket"))), F.lit(0))
+    rest = F.filter("details", lambda p: F.col("heading").isNull() | (p["n"] < F.col("heading.n")) | (p["n"] > F.col("heading.last")))
+    joined = rows.withColumns({"time": said("left"), "place": place, "rest": rest}).join(bodies, [*PAGE, "row"]).filter("title is not null and time is not null")
+    ident = F.coalesce(F.nullif(F.regexp_extract("link", r"[?&]vDetail=([^&#]+)", 1), F.lit("")), text.slug(F.col("title")))
+    return raw(joined, title=F.col("title"), when=F.col("when"), time=F.col("time"), location=F.col("place"), description=said("rest"), organizer=F.nullif(F.trim("lead"), F.lit("")), link=F.col("link"), ident=ident)
 
 
 def cards(nodes: DataFrame) -> DataFrame:
-    """Cards with a headline, a date or range in bold, and a link."""
-    inside = below(nodes.filter(has_class("wrapper-inner")), nodes)
-    t = F.col("d_text")
-    bold = below(inside.filter(has_class("ce_text", "d_")).select(*PAGE, F.col("d_n").alias("n"), F.col("d_last").alias("last"), F.col("d_depth").alias("depth")), nodes.filter("tag = 'strong'"))
-    when = bold.groupBy(*PAGE, F.col("row").alias("block")).agg(F.min_by("d_text", "d_n").alias("when"))
-    rows = inside.groupBy(*PAGE, "row").agg(
-        first((F.col("d_tag") == "h2") & has_class("ce_headline", "d_"), t).alias("title"), F.min(F.when(has_class("ce_text", "d_"), F.col("d_n"))).alias("block"),
-        first(has_class("ce_text", "d_"), t).alias("body"), first((F.col("d_tag") == "a") & attr("href").isNotNull(), attr("href")).alias("link"),
-    ).join(when, [*PAGE, "block"])
-    none = F.lit(None).cast("string")
-    rest = F.nullif(F.regexp_replace(F.replace("body", F.col("when"), F.lit("")), "^[ :]+", ""), F.lit(""))
-    return rows.select(*PAGE, "row", "title", "when", none.alias("time"), none.alias("location"), rest.alias("description"), none.alias("organizer"), "link", F.nullif(text.slug(F.regexp_replace("link", "^[a-zA-Z]+://[^/]*|[?#].*$", "")), F.lit("")).alias("ident"))
-
-
-def paragraphs(nodes: DataFrame, style: str = "Kaushan Script", ahead: int = 4) -> DataFrame:
-    """Headings set in a decorative font; of the paragraphs that follow, the last dated one counts."""
-    children = below(nodes.filter("id = 'content_main'"), nodes).filter("d_depth = _depth + 1 and d_tag = 'p'")
-    styled = nodes.filter((F.col("tag") == "span") & F.contains(F.element_at("attrs", "style"), F.lit(style))).select(*PAGE, F.col("n").alias("s"))
-    heads = children.join(styled, PAGE).filter("s > d_n and s <= d_last").select(*PAGE, "d_n").distinct().withColumn("head", F.lit(True))
-    order = Window.partitionBy(*PAGE).orderBy("d_n")
-    marked = children.join(heads, [*PAGE, "d_n"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
-    grouped = marked.withColumn("g", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy(*PAGE, "g").orderBy("d_n").rowsBetween(1, ahead)
-    dated = F.contains("d_text", F.lit("Termin")) & F.col("d_text").rlike(r"20\d\d")
-    seen = grouped.withColumn("when", F.last(F.when(dated, F.col("d_text")), ignorenulls=True).over(w)).withColumn("description", F.array_join(F.collect_list("d_text").over(w), " "))
-    none = F.lit(None).cast("string")
-    return seen.filter("head and when is not null").select(*PAGE, F.col("d_n").alias("row"), F.regexp_replace("d_text", "[. ]+$", "").alias("title"), "when", F.regexp_extract("when", r"\d{1,2}[:.]\d{2}(?= ?Uhr)", 0).alias("time"), none.alias("location"), "description", none.alias("organizer"), none.alias("link"), none.alias("ident"))
+    """Cards with a headline, a date or range in bold, and a link to the event."""
+    found = within(nodes, "main .wrapper-inner", {"title": "h2.ce_headline", "when": ".ce_text strong", "body": ".ce_text", "link": 'a[title="Zur Veranstaltung"][href]'})
+    rows = found.groupBy(*PAGE, "row").agg(first("title").alias("title"), first("when").alias("when"), first("body").alias("body"), first("link", attr("href")).alias("link")).filter("title is not null and when is not null and link is not null")
+    at = F.position(F.col("when"), F.col("body"))
+    rest = F.when(at > 0, F.concat(F.substring("body", F.lit(1), at - 1), F.substring("body", at + F.length("when"), F.length("body")))).otherwise(F.col("body"))
+    ident = text.slug(F.regexp_replace("link", "^[a-zA-Z]+://[^/]*|[?#].*$", ""))
+    return raw(rows, title=F.col("title"), when=F.col("when"), description=F.nullif(F.regexp_replace(rest, "^[ :]+", ""), F.lit("")), link=F.col("link"), ident=ident)
+
+
+def paragraphs(nodes: DataFrame, ahead: int = 4) -> DataFrame:
+    """Headings set in a decorative font; of the paragraphs that follow, the last dated one counts. The events last whole days."""
+    found = within(nodes, "#content_main", {"p": ":scope > p", "head": f":scope > p {STYLED}"})
+    order = Window.partitionBy(*PAGE, "row").orderBy("n", F.desc("last"))
+    inside = F.last(F.when(F.col("field") == "p", F.col("n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    each = found.withColumn("p", inside).groupBy(*PAGE, "row", "p").agg(first("p").alias("t"), first("head").alias("title"))
+    order = Window.partitionBy(*PAGE, "row").orderBy("p")
+    grouped = each.withColumn("g", F.sum(F.col("title").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*PAGE, "row", "g").orderBy("p").rowsBetween(1, ahead)
+    dated = F.contains("t", F.lit("Termin")) & F.col("t").rlike(r"20\d\d")
+    seen = grouped.withColumn("when", F.last(F.when(dated, F.col("t")), ignorenulls=True).over(w)).withColumn("description", F.array_join(F.collect_list("t").over(w), " "))
+    rows = seen.filter("title is not null and when is not null").select(*PAGE, F.col("p").alias("row"), F.trim(F.regexp_replace("title", "[. ]+$", "")).alias("title"), "when", F.nullif("description", F.lit("")).alias("description"))
+    return raw(rows, title=F.col("title"), when=F.col("when"), description=F.col("description"))
 
 
 PROFILES = {"listing": listing, "table-rows": table_rows, "dated-list": dated_list, "cards": cards, "paragraphs": paragraphs}
+#: Profiles whose link ids name an event, not a series of them.
+OWN_IDS = ("listing",)
+
+
+def recognised(pages: DataFrame, nodes_of) -> DataFrame:
+    """(source_id, url): those pages, of a known profile, that still have its markup. nodes_of: html_nodes.nodes."""
+    rows = nodes_of(pages)
+    found = within(rows, "", MARKUP).select(*PAGE, F.col("field").alias("profile")).distinct()
+    return pages.select(*PAGE, "profile").join(found, [*PAGE, "profile"], "left_semi").select(*PAGE).distinct()
 
 
 def absolute(base: Column, link: Column) -> Column:
@@ -118,17 +121,29 @@ def absolute(base: Column, link: Column) -> Column:
 
 def finish(raw: DataFrame, pages: DataFrame, profile: str) -> DataFrame:
     """Observations: timed where a time is given, else all days from the first to the last one."""
-    span, minutes = dates.german_range(F.col("when")), dates.german_time(F.col("time"))
-    rows = raw.withColumn("span", span).withColumn("minutes", minutes).filter("span is not null and title is not null").join(pages.select(*PAGE, F.sha2("body", 256).alias("raw_content_hash")), PAGE)
+    given = [F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("default_location", "string"), ("default_organizer", "string"), ("skip_titles", "array<string>"))]
+    said_of = pages.select(*PAGE, F.sha2("body", 256).alias("raw_content_hash"), *given)
+    rows = raw.withColumn("span", dates.german_range(F.col("when"))).withColumn("minutes", dates.german_time(F.col("time"))).filter("span is not null and title is not null").join(said_of, PAGE)
+    skipped = F.exists(F.coalesce("skip_titles", F.array().cast("array<string>")), lambda t: text.casefold(t) == text.casefold(F.col("title")))
+    rows = rows.filter(~skipped)
     midnight = F.col("span.first").cast("timestamp_ntz")
     timed = F.col("minutes").isNotNull()
     start = F.when(timed, F.convert_timezone(F.lit(dates.ZONE), F.lit("UTC"), F.timestamp_add("MINUTE", F.col("minutes"), midnight)).cast("timestamp")).otherwise(dates.berlin_midnight(F.col("span.first")))
-    own = F.coalesce("ident", F.concat(text.slug(F.col("title")), F.lit(":"), dates.iso_berlin(start)))
+    dated = F.concat(F.coalesce("ident", text.slug(F.col("title"))), F.lit(":"), dates.iso_berlin(start))
+    own = F.coalesce("ident", dated) if profile in OWN_IDS else dated
+    return observed(
+        rows, "row", title=F.col("title"), start=start, end=F.when(~timed, dates.berlin_midnight(F.col("span.end"))), all_day=~timed, location=F.coalesce("location", "default_location"), description=F.col("description"), organizer=F.coalesce("organizer", "default_organizer"),
+        event_url=F.coalesce(absolute(F.col("url"), F.col("link")), F.col("url")), source_x_id=F.concat(F.lit(f"{profile}:"), own),
+    )
+
+
+def observed(rows: DataFrame, row: str, **c: Column) -> DataFrame:
+    """Observations of pages whose structure is known."""
     none = F.lit(None).cast("string")
     return rows.select(
-        *PAGE, F.col("row").cast("int").alias("row"), none.alias("error"), "raw_content_hash", "title", start.alias("start"), F.when(~timed, dates.berlin_midnight(F.col("span.end"))).alias("end"), (~timed).alias("all_day"),
-        "location", "description", "organizer", F.lit("CONFIRMED").alias("status"), F.coalesce(absolute(F.col("url"), F.col("link")), F.col("url")).alias("event_url"), none.alias("source_event_uid"),
-        F.concat(F.lit(f"{profile}:"), own).alias("source_x_id"), F.lit(None).cast("int").alias("source_sequence"), F.lit(None).cast("timestamp").alias("source_last_modified"), F.lit("structured-html").alias("extraction_method"), F.lit(1.0).alias("extraction_confidence"),
+        *PAGE, F.col(row).cast("int").alias("row"), none.alias("error"), "raw_content_hash", c["title"].alias("title"), c["start"].alias("start"), c["end"].alias("end"), c["all_day"].alias("all_day"),
+        c["location"].alias("location"), c["description"].alias("description"), c["organizer"].alias("organizer"), F.lit("CONFIRMED").alias("status"), c["event_url"].alias("event_url"), none.alias("source_event_uid"),
+        c["source_x_id"].alias("source_x_id"), F.lit(None).cast("int").alias("source_sequence"), F.lit(None).cast("timestamp").alias("source_last_modified"), F.lit("structured-html").alias("extraction_method"), F.lit(1.0).alias("extraction_confidence"),
     )
 
 
