@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key: a minimum, so partial results are combined before the shuffle."""
@@ -50,12 +52,16 @@ def look_ahead(df: DataFrame, key: str, order: list, heading: Column, rows: int
     return grouped, Window.partitionBy(key, "section").orderBy(*order).rowsBetween(1, rows)
 
 
-def paced(df: DataFrame, host: str, arrival: Column, order: list, delay: Column, column: str = "start") -> DataFrame:
-    """start_i = max(arrival_i, start_{i-1} + delay) for a delay that is constant in each host, in closed form."""
-    w = Window.partitionBy(host).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = df.withColumn("_i", F.row_number().over(w).cast("long"))
-    return numbered.withColumn(column, F.max(arrival - F.col("_i") * delay).over(upto) + F.col("_i") * delay).drop("_i")
+def paced(df: DataFrame, host: str, arrival: Column, order: list[str], delay: Column, column: str = "start") -> DataFrame:
+    """start_i = max(arrival_i, start_{i-1} + known_i), known_i being the largest delay that the host has asked for up to i; a null one asks for nothing.
+
+    With D_i the sum of known delays up to i, start_i - D_i is the largest arrival_j - D_j so far: three running results, for delays that grow, too.
+    """
+    rows = scan.blocks(df.withColumns({"_a": arrival, "_d": F.greatest(F.coalesce(delay, F.lit(0)), F.lit(0))}), host, order)
+    known = scan.running(rows, host, order, _known=("max", F.col("_d")))
+    summed = scan.running(known, host, order, _sum=("sum", F.col("_known")))
+    ahead = scan.running(summed, host, order, _most=("max", F.col("_a") - F.col("_sum")))
+    return ahead.withColumn(column, F.col("_most") + F.col("_sum")).drop("_a", "_d", "_known", "_sum", "_most", scan.BLOCK)
 
 
 def strictest_delay(df: DataFrame, host: str, order: list, delay: Column, column: str = "known_delay") -> DataFrame:

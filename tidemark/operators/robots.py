@@ -9,7 +9,7 @@ from ..functions import urls
 
 
 def parse(texts: DataFrame, agent: str, key: str = "origin", text: str = "text") -> DataFrame:
-    """(key, pattern, is_allow, deny_all, crawl_delay): rules of the groups that name the agent most specifically.
+    """(key, pattern, is_allow, crawl_delay): rules of the groups that name the agent most specifically. Where there is a delay but no rule, an empty pattern carries it.
 
     Consecutive User-agent lines share a group, one after a rule starts a new one. An agent matches if it begins the
     product token; the empty one and * match least. A bare Disallow allows all; negative or non-numeric delays are ignored.
@@ -29,8 +29,11 @@ def parse(texts: DataFrame, agent: str, key: str = "origin", text: str = "text")
     best = groups.withColumn("best", F.max("strength").over(Window.partitionBy(key))).filter("strength = best")
     delay = F.when((F.col("field") == "crawl-delay") & (F.col("value").try_cast("double") >= 0), F.col("value").try_cast("double"))
     with_delay = best.withColumn("crawl_delay", F.max(delay).over(Window.partitionBy(key)))
-    rules = with_delay.filter(F.col("field").isin("allow", "disallow"))
-    return rules.select(key, F.col("value").alias("pattern"), ((F.col("field") == "allow") | (F.col("value") == "")).alias("is_allow"), "crawl_delay")
+    is_rule = F.col("field").isin("allow", "disallow")
+    ruled = F.max(is_rule).over(Window.partitionBy(key))
+    rules = with_delay.withColumn("ruled", ruled).filter(is_rule | (~F.col("ruled") & (F.col("field") == "crawl-delay")))
+    pattern = F.when(is_rule, F.col("value")).otherwise(F.lit(""))
+    return rules.select(key, pattern.alias("pattern"), ((F.col("field") == "allow") | (pattern == "")).alias("is_allow"), "crawl_delay")
 
 
 def decide(requests: DataFrame, rules: DataFrame, request: list[str], origin: str = "origin", path: str = "path") -> DataFrame:

@@ -86,6 +86,17 @@ def pacing_schedule(spark, sf_dir):
     return history.paced(e, "user_id", F.col("t"), ["ts", "event_id"], F.lit(3600).cast("long")).select("event_id", "start")
 
 
+@query("""with recursive a as (select event_id, user_id, cast(epoch_us(ts) // 1000000 as bigint) as t, case when event_id % 4 = 0 then null else (event_id % 7) * 900 end as d, row_number() over (partition by user_id order by ts, event_id) as i from events),
+s as (select event_id, user_id, i, coalesce(d, 0) as known, t as start from a where i = 1
+union all select a.event_id, a.user_id, a.i, greatest(s.known, coalesce(a.d, 0)), greatest(a.t, s.start + greatest(s.known, coalesce(a.d, 0))) from s join a on a.user_id = s.user_id and a.i = s.i + 1)
+select event_id, start from s""")
+def pacing_growing_delay(spark, sf_dir):
+    """When each request of a host may start, where hosts ask for longer delays as time goes on."""
+    e = table(spark, sf_dir, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"))
+    delay = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 7 * 900)
+    return history.paced(e, "user_id", F.col("t"), ["ts", "event_id"], delay).select("event_id", "start")
+
+
 @query("""select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading from conversations""")
 def forward_fill(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

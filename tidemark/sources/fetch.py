@@ -1,6 +1,6 @@
 """Policy-checked fetching, a hop at a time for all requests at once.
 
-A provider is a function from a table of (url, etag, agent settings aside) to responses (url, status, headers, redirect_to, body):
+A provider is a function from a table of (url, etag, last_modified, crawl_delay) to responses (url, status, headers, redirect_to, body):
 canned ones from a folder, or live ones. What is a redirect, a refusal or a failure is decided here, by columns.
 """
 
@@ -57,13 +57,14 @@ def live(agent: str, timeout: float, most_bytes: int, delays: dict[str, float] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = urllib.request.build_opener(_NoRedirect)
-        ready: dict[str, float] = {}
+        known, last = dict(delays or {}), {}
         for b in batches:
-            for url, etag, modified, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                delay, waited = (delays or {}).get(host, 0.0), 0.0
+            for url, etag, modified, crawl_delay, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                known[host], waited = max(known.get(host, 0.0), crawl_delay or 0.0), 0.0  # a delay once known stays, for later requests of the task
                 for attempt in range(1, ATTEMPTS + 1):
-                    sleep(max(0.0, ready.get(host, 0.0) - time.monotonic()))
-                    ready[host] = time.monotonic() + delay
+                    if host in last:
+                        sleep(max(0.0, last[host] + known[host] - time.monotonic()))
+                    last[host] = time.monotonic()
                     headers = {"User-Agent": agent} | ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
                     try:
                         with opener.open(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
@@ -84,7 +85,7 @@ def live(agent: str, timeout: float, most_bytes: int, delays: dict[str, float] |
                 yield pa.RecordBatch.from_pylist([{"url": url, "status": status, "headers": list(low.items()), "redirect_to": low.get("location"), "body": body.decode("utf-8", "replace")}], schema=ARROW)
 
     def get(requests: DataFrame) -> DataFrame:
-        wanted = requests.select("url", "etag", "last_modified", urls.host(F.col("url")).alias("host")).distinct()
+        wanted = requests.groupBy("url", "etag", "last_modified").agg(F.max("crawl_delay").alias("crawl_delay")).withColumn("host", urls.host(F.col("url")))
         return wanted.repartition("host").sortWithinPartitions("host", "url").mapInArrow(run, RESPONSE)
 
     return get
@@ -140,7 +141,11 @@ def get(requests: DataFrame, provider: Provider, robots_of: Robots | None, most_
             asked = checked.select(F.col("at").alias("url_at"), origin(F.col("at")).alias("origin"), urls.robots_path(F.col("at")).alias("path")).distinct()
             allowed = robots.decide(asked, rules, ["url_at"])
             checked = checked.join(allowed, F.col("at") == F.col("url_at"), "left").withColumn("error", F.coalesce("error", F.when(~F.col("allowed"), "robots"))).drop("url_at", "allowed")
-        answers = store(provider(checked.filter("error is null").select(F.col("at").alias("url"), *[(F.col(c) if hop == 0 and c in keys else F.lit(None).cast("string")).alias(c) for c in ("etag", "last_modified")])))
+            delays = rules.groupBy("origin").agg(F.max("crawl_delay").alias("crawl_delay"))
+            checked = checked.withColumn("origin", origin(F.col("at"))).join(delays, "origin", "left").drop("origin")
+        else:
+            checked = checked.withColumn("crawl_delay", F.lit(None).cast("double"))
+        answers = store(provider(checked.filter("error is null").select(F.col("at").alias("url"), "crawl_delay", *[(F.col(c) if hop == 0 and c in keys else F.lit(None).cast("string")).alias(c) for c in ("etag", "last_modified")])))
         met = checked.join(answers.withColumnRenamed("url", "answered"), F.col("at") == F.col("answered"), "left")
         moves = F.col("status").isin(MOVED) & F.col("redirect_to").isNotNull() & F.col("error").isNull()
         said = F.when(moves, "too many redirects").when(F.col("status") == 304, None).when(F.length("body") > most_bytes, "too large").when(F.col("status") != 200, F.concat(F.lit("status "), "status"))
@@ -170,7 +175,7 @@ def robots_rules(origins: DataFrame, provider: Provider, agent: str) -> DataFram
     open_, told = origins.select("origin", "hosts", F.concat("origin", F.lit("/robots.txt")).alias("at")), None
     for hop in range(ROBOTS_HOPS + 1):
         checked = open_.withColumn("error", refusal(F.col("at"), F.col("hosts")))
-        answers = provider(checked.filter("error is null").select(F.col("at").alias("url"), none.alias("etag"), none.alias("last_modified"))).checkpoint()
+        answers = provider(checked.filter("error is null").select(F.col("at").alias("url"), none.alias("etag"), none.alias("last_modified"), F.lit(None).cast("double").alias("crawl_delay"))).checkpoint()
         met = checked.join(answers, F.col("at") == F.col("url"), "left")
         moves = F.coalesce(F.col("status").isin(MOVED) & F.col("redirect_to").isNotNull(), F.lit(False))
         final = met.filter(~moves | F.lit(hop == ROBOTS_HOPS)).select("origin", F.when(F.octet_length("body") > ROBOTS_BYTES, 413).otherwise(F.coalesce("status", F.lit(599))).alias("status"), "body")
