@@ -17,15 +17,24 @@ from pyspark.sql import functions as F
 from tidemark.llm import byte_bpe, common, decontaminate, line_dedup, near_dup, quality
 
 
+def with_own_columns(docs: DataFrame, operator, *results: str) -> DataFrame:
+    """What an operator makes of docs, whose columns come out as they went in where a result column has the same name (in any case)."""
+    aside = {c: f"_tm_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in results}
+    out = operator(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns], *[F.col(c).alias(f"_tm_{c}") for c in results])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
-    return quality.classify(docs, common.read(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+    labels = common.read(spark, sf_dir, "labels").select("doc_id", "quality")
+    judged = with_own_columns(docs, lambda d: quality.classify(d, labels), "held_out", "score", "predicted")
+    return judged.filter("_tm_predicted = 1").select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of line runs; one of which nothing is left is dropped."""
-    found = line_dedup.dedup(docs, repeatable=True).filter("n_removed = 0 or n_removed < n_lines")
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = with_own_columns(docs, lambda d: line_dedup.dedup(d, repeatable=True), "n_lines", "n_removed", "n_runs", "longest_run").filter("_tm_n_removed = 0 or _tm_n_removed < _tm_n_lines")
+    return found.withColumn("n_chars", F.when(F.col("_tm_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
