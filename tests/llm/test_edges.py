@@ -120,3 +120,23 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_folder(Elsewhere())
+
+
+def test_pipeline_keeps_every_column_and_value(spark):
+    import corpus_pipeline
+
+    path = scratch(spark, "own-columns")
+    spark.createDataFrame([(3, "run1 run2 run3 run4 run5 run6 run7 run8")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    own = ["score", "Held_Out", "predicted", "n_removed", "n_lines", "n_runs", "longest_run", "uid", "same", "kept", "class_id", "item_id", "key", "text2"]
+    rows = [(i, f"alpha{i} beta{i % 3}\nthe same line here\nand this line too\ngamma{i} " + " ".join(f"w{i}x{j}" for j in range(20)), "en", "s", 1, *[f"{c}-{i}" for c in own]) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in own)).write.parquet(f"{path}/0")
+    docs = spark.read.parquet(f"{path}/0")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, path)
+        assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{path}/{k + 1}")
+        docs = spark.read.parquet(f"{path}/{k + 1}")
+        kept = docs.collect()
+        assert len(kept) >= 38 and all(r[c] == f"{c}-{r.doc_id}" for r in kept for c in own)
+    assert {r.n_chars == 1 or r.n_chars == len(r.text) for r in kept} == {True} and sum(r.n_chars != 1 for r in kept) >= 37
