@@ -435,3 +435,42 @@ def test_pipeline_stages(spark):
     for r in got.collect():
         groups[r.ids_sha256].append(r.doc_id)
     assert all(len(g) == 1 for g in groups.values())
+
+
+def test_op3_templated_items_in_bounded_parts(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    start = "which of the following is true of"
+    rng = random.Random(11)
+    items = [f"{start} {' '.join(f'i{i}w{j}' for j in range(12))}" for i in range(3000)]
+    leaked = items[1234].replace("w5", "x5").replace("w9 ", "w9 so ")
+    text = f"{' . '.join([start] * 400)} {leaked} end {' '.join(rng.choices(start.split(), k=500))} {items[7]}"
+    one = decontaminate.block(list(range(len(items))), items)
+    ((_, w),) = decontaminate.plain_words(pa.array([text, "nothing here", leaked, text], pa.large_string()), 1 << 62)
+    want = {(d, h[0]): h[1:] for d, h in decontaminate.matches(w, one, set(), 0.5)}
+    assert set(want) == {(0, 1234), (0, 7), (2, 1234), (3, 1234), (3, 7)}
+    tracemalloc.start()
+    for most in (5_000, 100_000, 10**9):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        tracemalloc.reset_peak()
+        assert {(d, h[0]): h[1:] for d, h in decontaminate.matches(w, one, set(), 0.5)} == want
+        if most < 10**9:
+            assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+
+
+def test_op3_recall_under_inserted_words():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    item = " ".join(f"w{i}" for i in range(24))
+    put = lambda every: " ".join(f"{x} put{i}" if i % every == every - 1 else x for i, x in enumerate(item.split()))
+    noise = lambda: " ".join(f"n{rng.randrange(10**6)}" for _ in range(60))
+    one = decontaminate.block([0], [item])
+    found = {}
+    for every in (2, 3, 4, 8):
+        ((_, w),) = decontaminate.plain_words(pa.array([f"{noise()} {put(every)} {noise()}"], pa.large_string()), 1 << 62)
+        found[every] = bool(list(decontaminate.matches(w, one, set(), 0.5)))
+    assert found == {2: False, 3: True, 4: True, 8: True}  # the bound that the docstring states

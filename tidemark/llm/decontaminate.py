@@ -7,7 +7,12 @@ common could give the score, Smith-Waterman alignment of item and surroundings g
 or missing ones, divided by what the whole item would get. A document is contaminated by an item if that is at least ``least``.
 
 The items are broadcast in blocks of a fixed number of words, each block meeting all documents: benchmarks of any size are
-searched whole, at one pass over the documents for each block. Nothing of the documents is shuffled.
+searched whole, at one pass over the documents for each block. Nothing of the documents is shuffled. Where items have a beginning in
+common, its seeds lead to all of them; a document full of such seeds first leaves out the items of whose words it has too few, and the
+rest is looked at in parts of bounded size.
+
+A passage with a word put in after every two has no 3-gram left and isn't found, though its alignment may score 0.5 or more; with
+one put in after every third word, or a word in eight replaced, it is.
 
 Null texts count as empty; items without words match nothing; an item of fewer than three words must occur as a whole. Repeated
 documents and repeated items each give their own rows; of several places with the best score in one document the first counts.
@@ -33,6 +38,8 @@ N = 3
 #: Words of the items of one block, which is broadcast.
 BLOCK_WORDS = 1_000_000
 LEAST = 0.5
+#: Pairs of a hit and an item that are looked at together.
+PAIRS = 1_000_000
 _INSIDE = ~SPACES
 _INSIDE[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
 
@@ -52,6 +59,21 @@ class Block:
     words: list[np.ndarray]
     hashes: np.ndarray  # sorted, one for each (hash, item)
     items: np.ndarray
+    vocabulary: np.ndarray  # all words, sorted; then one row for each (word, item): place of the word, item, times
+    word: np.ndarray
+    holder: np.ndarray
+    times: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.array([*map(len, self.words)])
+
+    def possible(self, words: np.ndarray, least: float) -> np.ndarray:
+        """Of each item: whether a document of these words has enough of the item's own ones for it."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        have = np.bincount(at[self.vocabulary[at] == words], minlength=len(self.vocabulary))
+        shared = np.bincount(self.holder, weights=np.minimum(have[self.word], self.times), minlength=len(self.words))
+        return shared >= least * self.sizes
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, most: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -77,7 +99,9 @@ def block(ids: list, texts: list[str]) -> Block:
     items = np.concatenate([items, np.array(short, np.int64)])
     pairs = np.unique(np.stack([grams.view(np.int64), items]), axis=1) if len(grams) else np.zeros((2, 0), np.int64)
     order = np.argsort(pairs[0].view(np.uint64), kind="stable")
-    return Block(ids, each, pairs[0].view(np.uint64)[order], pairs[1][order])
+    vocabulary, at = np.unique(w.hashes, return_inverse=True)
+    cells, times = np.unique(at * max(1, len(each)) + w.doc, return_counts=True)
+    return Block(ids, each, pairs[0].view(np.uint64)[order], pairs[1][order], vocabulary, cells // max(1, len(each)), cells % max(1, len(each)), times)
 
 
 def _whole(words: np.ndarray) -> np.uint64:
@@ -162,17 +186,58 @@ def _finder(shared, least: float, names: tuple[str, str]):
 
 
 def matches(w: Words, one: Block, short: set[int], least: float) -> Iterator[tuple[int, tuple]]:
-    """For each document and item with seeds close together: the best alignment, if it is good enough."""
+    """For each document and item with seeds close together: the best alignment, if it is good enough.
+
+    A seed of many items meets all of them, so a document with many such seeds is taken alone: only items of which it has
+    enough words at all go on, in parts with at most PAIRS pairs of hit and item (or one item)."""
     words, at = seed_hits(w, one.hashes, short)
     if not len(words):
         return
+    order = np.lexsort((at, words))  # by document, too
+    words, at = words[order], at[order]
     many = np.searchsorted(one.hashes, one.hashes[at], "right") - at
+    docs = w.doc[words]
+    edges = np.append(np.flatnonzero(np.diff(docs, prepend=-1)), len(docs))
+    before = np.concatenate([[0], np.cumsum(many)])
+    lo = 0
+    for k in range(1, len(edges)):
+        a, z = edges[lo], edges[k]
+        if k + 1 < len(edges) and before[edges[k + 1]] - before[a] <= PAIRS:
+            continue
+        if before[z] - before[a] <= PAIRS:
+            yield from _aligned(w, one, words[a:z], at[a:z], many[a:z], np.arange(len(one.items)), least)
+        else:
+            d = int(docs[a])
+            fine = np.flatnonzero(one.possible(w.hashes[w.first[d] : w.first[d + 1]], least))
+            yield from _in_parts(w, one, words[a:z], at[a:z], many[a:z], fine, least)
+        lo = k
+
+
+def _in_parts(w: Words, one: Block, words: np.ndarray, at: np.ndarray, many: np.ndarray, fine: np.ndarray, least: float) -> Iterator[tuple[int, tuple]]:
+    """Matches of one document with some items."""
+    if not len(fine):
+        return
+    kept = np.zeros(len(one.words), bool)
+    kept[fine] = True
+    entries = kept[one.items]
+    upto = np.concatenate([[0], np.cumsum(entries)])
+    start, some = upto[at], upto[at + many] - upto[at]
+    if some.sum() > PAIRS and len(fine) > 1:
+        for part in np.array_split(fine, 2):
+            yield from _in_parts(w, one, words, at, many, part, least)
+    else:
+        hit = some > 0
+        yield from _aligned(w, one, words[hit], start[hit], some[hit], np.flatnonzero(entries), least)
+
+
+def _aligned(w: Words, one: Block, words: np.ndarray, at: np.ndarray, many: np.ndarray, entries: np.ndarray, least: float) -> Iterator[tuple[int, tuple]]:
+    """Hits at words; at and many: which of entries (places in the seeds) each has."""
     word = np.repeat(words, many)
-    seed = np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    seed = entries[np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
     item, doc = one.items[seed], w.doc[word]
     order = np.lexsort((word, item, doc))
     word, seed, item, doc = word[order], seed[order], item[order], doc[order]
-    sizes = np.array([*map(len, one.words)])
+    sizes = one.sizes
     new = np.ones(len(word), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > sizes[item[1:]])
     edges = np.append(np.flatnonzero(new), len(word))
