@@ -474,3 +474,19 @@ def test_op3_recall_under_inserted_words():
         ((_, w),) = decontaminate.plain_words(pa.array([f"{noise()} {put(every)} {noise()}"], pa.large_string()), 1 << 62)
         found[every] = bool(list(decontaminate.matches(w, one, set(), 0.5)))
     assert found == {2: False, 3: True, 4: True, 8: True}  # the bound that the docstring states
+
+
+@pytest.mark.parametrize("far", [1e60, 1e290])
+def test_op1_recall_beside_an_outlier(spark, far):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 12)) + rng.integers(0, 6, (1500, 1))
+    x[77, 3] = far
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.vec_id % 50 == 0).collect()
+    hits = 0
+    for q in range(0, 1500, 50):
+        d = np.sqrt(((np.delete(x, 77, 0) - x[q]) ** 2).sum(1))
+        ids = np.delete(np.arange(1500), 77)
+        best = ids[np.argsort(np.where(ids == q, np.inf, d), kind="stable")[:10]]
+        hits += len(set(best) & {r.vec_id for r in got if r.query_id == q})
+    assert hits / 300 >= 0.9

@@ -11,7 +11,7 @@ A query walks the graph: from its entry nodes (its own node's place in the graph
 looks at the neighbours (either way) of the BEAM nearest nodes found so far that it has not looked at yet, until nothing nearer
 turns up.
 Every row is indexed; the graph's random choices depend on seeds only. Graph and walk use vectors of 32-bit floats, scaled by
-the largest component; distances in results are computed in double precision from the original vectors.
+the largest component (of 64-bit floats where vectors are so unlike in size that the small ones would vanish); distances in results are computed in double precision from the original vectors.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than most; rows
 with a null id don't either. Ties go to the smaller id. Rows that are repeated with their id count once; equal vectors of
@@ -44,6 +44,9 @@ BACK = 24
 #: Bytes of distinct vectors that a task holds before it passes them on.
 HELD_BYTES = 64 << 20
 
+#: A vector so many times as large as the smallest makes the graph use 64-bit floats; what is further out lies at FAR.
+SPREAD, FAR = 1e25, 1e120
+
 EDGES = "array<struct<d:double,to:bigint,new:boolean>>"
 
 
@@ -85,13 +88,13 @@ def _stack(column: pa.Array, kind: type = np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def scaled(rows: DataFrame, vector: str, scale: float, out: str) -> DataFrame:
-    """rows with a vector of doubles as one of 32-bit floats, between -1 and 1."""
+def scaled(rows: DataFrame, vector: str, scale: float, out: str, kind: type = np.float32) -> DataFrame:
+    """rows with a vector of doubles as one of floats of the given kind, between -1 and 1, or what is FAR beyond."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _stack(b.column(b.schema.names.index(vector))) / scale
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary())], [*b.schema.names, out])
+            v = np.clip(_stack(b.column(b.schema.names.index(vector))) / scale, -FAR, FAR)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())], [*b.schema.names, out])
 
     return rows.mapInArrow(run, common.plus(rows, **{out: "binary"}))
 
@@ -134,13 +137,13 @@ def _compare(best: Best, ids: np.ndarray, v: np.ndarray, fresh: np.ndarray, boun
     best.add(ids[a], ids[b], d[a, b])
 
 
-def start(points: DataFrame, dims: int, seed: int) -> DataFrame:
+def start(points: DataFrame, dims: int, seed: int, kind: type = np.float32) -> DataFrame:
     """(node, to, d): candidates among nodes that lie together on random projections."""
     lines = np.random.default_rng(seed).normal(size=(TREES, 2, dims))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _stack(b.column(1), np.float32)
+            v = _stack(b.column(1), kind)
             for t, line in enumerate(lines):
                 at = v @ line.T
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), *b.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], ["tree", *b.schema.names, "x", "y"])
@@ -148,7 +151,7 @@ def start(points: DataFrame, dims: int, seed: int) -> DataFrame:
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(DEGREE)
         for b in batches:  # sorted by tree and x: strips of them, and within a strip neighbours on the other line
-            tree, ids, v, y = b.column(0).to_numpy(), b.column(1).to_numpy(), _stack(b.column(2), np.float32), b.column(4).to_numpy()
+            tree, ids, v, y = b.column(0).to_numpy(), b.column(1).to_numpy(), _stack(b.column(2), kind), b.column(4).to_numpy()
             ends = np.unique(np.concatenate([np.arange(0, len(ids), 32 * LEAF), np.flatnonzero(np.diff(tree)) + 1, [len(ids)]]))
             for lo, hi in zip(ends[:-1], ends[1:], strict=True):
                 strip = lo + np.argsort(y[lo:hi], kind="stable")
@@ -168,8 +171,8 @@ def keep_nearest(edges: DataFrame, degree: int) -> DataFrame:
     return near.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("d", "to", "new"))).alias("edges"))
 
 
-def graph(points: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """points: (node, h), h a vector of 32-bit floats. (node, edges) with the degree nearest nodes that NN-descent finds."""
+def graph(points: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 11, kind: type = np.float32) -> DataFrame:
+    """points: (node, h), h a vector of floats of that kind. (node, edges) with the degree nearest nodes that NN-descent finds."""
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, held = Best(degree), None
@@ -186,12 +189,12 @@ def graph(points: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUN
 
     def _descend(best: Best, b: pa.RecordBatch) -> None:
         if b.num_rows:
-            at, ids, new, bound, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(4).to_numpy(), _stack(b.column(3), np.float32)
+            at, ids, new, bound, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(4).to_numpy(), _stack(b.column(3), kind)
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 _compare(best, ids[lo:hi], v[lo:hi], new[lo:hi], bound[lo:hi])
 
-    now = common.cut(keep_nearest(start(points, dims, seed).withColumn("new", F.lit(True)), degree))
+    now = common.cut(keep_nearest(start(points, dims, seed, kind).withColumn("new", F.lit(True)), degree))
     for turn in range(rounds):
         edges = now.select("node", F.explode("edges").alias("e")).select("node", "e.d", "e.to", "e.new")
         both = edges.select("node", "to", "new").unionByName(edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "new"))
@@ -209,26 +212,26 @@ def graph(points: DataFrame, dims: int, degree: int = DEGREE, rounds: int = ROUN
     return now
 
 
-def walk(queries: DataFrame, points: DataFrame, links: DataFrame, beam: int = BEAM, walks: int = WALKS) -> DataFrame:
+def walk(queries: DataFrame, points: DataFrame, links: DataFrame, beam: int = BEAM, walks: int = WALKS, kind: type = np.float32) -> DataFrame:
     """queries: (query, qh, at): vector and entry nodes; points: (node, h). (query, found): the nearest nodes of a greedy search, as (d, to)."""
     edges = links.select("node", F.explode("edges").alias("e")).select("node", "e.to", "e.d")
     nearest = F.row_number().over(Window.partitionBy("to").orderBy("d", "node"))
     back = edges.withColumn("r", nearest).filter(F.col("r") <= BACK).select(F.col("to").alias("node"), F.col("node").alias("to"))
     ways = common.cut(edges.select("node", "to").unionByName(back).groupBy("node").agg(F.collect_set("to").alias("next")))
     vectors = points.select(F.col("node").alias("to"), "h")
-    kind = "array<struct<d:double,to:bigint,seen:boolean>>"
+    states = "array<struct<d:double,to:bigint,seen:boolean>>"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = np.sqrt(((_stack(b.column(2), np.float32) - _stack(b.column(3), np.float32)) ** 2).sum(1)) if b.num_rows else np.zeros(0)
+            d = np.sqrt(((_stack(b.column(2), kind) - _stack(b.column(3), kind)) ** 2).sum(1)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["query", "to", "d"])
 
-    state = queries.select("query", "qh", F.array().cast(kind).alias("found"), F.col("at").alias("open"))
+    state = queries.select("query", "qh", F.array().cast(states).alias("found"), F.col("at").alias("open"))
     for _ in range(walks):
         fresh = state.select("query", "qh", F.explode(F.array_except("open", F.transform("found", lambda x: x["to"]))).alias("to")).join(vectors, "to")
         near = fresh.select("query", "to", "qh", "h").mapInArrow(measure, "query long, to long, d double")
         more = near.groupBy("query").agg(F.collect_list(F.struct("d", "to", F.lit(False).alias("seen"))).alias("more"))
-        all_ = F.slice(F.array_sort(F.concat("found", F.coalesce("more", F.array().cast(kind)))), 1, beam)
+        all_ = F.slice(F.array_sort(F.concat("found", F.coalesce("more", F.array().cast(states)))), 1, beam)
         merged = common.cut(state.drop("open").join(more, "query", "left").select("query", "qh", all_.alias("found")))
         steps = merged.select("query", F.explode(F.filter("found", lambda x: ~x["seen"])).alias("s")).select("query", F.col("s.to").alias("node"))
         ahead = steps.join(ways, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("open"))
@@ -244,12 +247,15 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = 10, key: str = "vec_id
     """For each row that wanted holds for: its k nearest other rows. query_id, rank, vec_id, score."""
     common.small_batches(vectors.sparkSession)
     rows = sound(vectors, key, vector)
-    largest, dims = rows.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
+    size = F.array_max(F.transform("v", F.abs))
+    largest, smallest, dims = rows.agg(F.max(size), F.min(size), F.max(F.size("v"))).first()
     if not dims:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    whole = common.cut(scaled(nodes(rows, k), "v", largest, "h"))
+    kind = np.float32 if largest / SPREAD <= smallest else np.float64
+    scale = min(largest, smallest * 1e100)  # even then the squares of the smallest are above zero
+    whole = common.cut(scaled(nodes(rows, k), "v", scale, "h", kind))
     points = whole.select("node", "h")
-    links = graph(points, dims)
+    links = graph(points, dims, kind=kind)
 
     asked = vectors.filter(wanted).select(F.col(key).cast("long").alias("query")).join(rows.withColumnRenamed("id", "query"), "query")
 
@@ -262,10 +268,10 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = 10, key: str = "vec_id
             d = np.sqrt(((_stack(b.column(2)) - _stack(b.column(3))) ** 2).sum(1)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["query", "ids", "d"])
 
-    asked = common.cut(scaled(asked.dropDuplicates(["query"]).mapInArrow(packed, "query long, qv binary"), "qv", largest, "qh"))
+    asked = common.cut(scaled(asked.dropDuplicates(["query"]).mapInArrow(packed, "query long, qv binary"), "qv", scale, "qh", kind))
     entries = [r[0] for r in points.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     own = asked.join(whole.select("node", "v"), F.col("qv") == F.col("v"), "left").select("query", "qh", F.array_compact(F.array(F.col("node"), *map(F.lit, entries))).cast("array<bigint>").alias("at"))
-    found = walk(own, points, links).select("query", F.explode("found").alias("f")).select("query", F.col("f.to").alias("node"))
+    found = walk(own, points, links, kind=kind).select("query", F.explode("found").alias("f")).select("query", F.col("f.to").alias("node"))
     met = found.join(whole.select("node", "v", "ids"), "node").join(asked.select("query", "qv"), "query").select("query", "ids", "qv", "v")
     each = met.mapInArrow(exact, "query long, ids array<long>, d double").select("query", "d", F.explode("ids").alias("vec_id")).filter("vec_id <> query")
     best = each.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, k).alias("best"))
