@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b), numbers of nodes. (node, component): a row for each node with a smaller one in its component, whose number is the smallest."""
     now = _down(edges.select(F.col("a").alias("node"), F.col("b").alias("component"))).checkpoint()
+    if now.isEmpty():
+        return now
     before = _mark(now)
     while True:
         now = _down(_hang_smaller(_hang_larger(now))).checkpoint()

@@ -1,9 +1,8 @@
-"""The calendar feed: RFC 5545 text in a fixed order, written at once."""
+"""The calendar feed: RFC 5545 text in a fixed order, written in parts by the executors and put together in the store."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ def fold(line: Column) -> Column:
         return F.struct(F.concat(a["out"], F.when(full, F.lit("\r\n ")).otherwise(F.lit("")), ch).alias("out"), F.when(full, size + 1).otherwise(a["room"] + size).alias("room"))
 
     folded = F.aggregate(F.split(line, "(?!^)"), start, step, lambda a: a["out"])
-    return F.when(F.octet_length(line) <= 75, line).otherwise(folded)
+    plain = F.concat(F.substring(line, 1, 75), F.regexp_replace(F.substring(line, F.lit(76), F.length(line)), "(?s)(.{1,74})", "\r\n $1"))
+    return F.when(F.octet_length(line) <= 75, line).when(F.octet_length(line) == F.length(line), plain).otherwise(folded)
 
 
 def vevents(events: DataFrame, domain: str) -> DataFrame:
@@ -53,18 +53,38 @@ def feed(events: DataFrame, domain: str) -> DataFrame:
 
 
 def write(events: DataFrame, domain: str, path: str, name: str = "Events") -> int:
-    """Writes the feed beside its place and moves it there; gives the number of events."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, part = tempfile.mkstemp(dir=folder, prefix=".feed-")
-    n = 0
-    with os.fdopen(handle, "wb") as out:
+    """Writes the feed at a path of any store; gives the number of events.
+
+    Sorted part files lie beside it until they have been copied, one after the other, between a head and a tail; the whole then takes
+    the feed's place. What passes through the driver are bytes of a file, a buffer at a time.
+    """
+    spark = events.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    mark = uuid.uuid4().hex
+    parts, whole = f"{path}.parts-{mark}", f"{path}.whole-{mark}"
+    fs = at(path).getFileSystem(conf)
+    fs.setWriteChecksum(False)
+    try:
+        feed(events, domain).write.option("lineSep", "\r\n").text(parts)
         head = ["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:-//{domain}//tidemark//EN", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}", f"X-WR-TIMEZONE:{dates.ZONE}"]
-        out.write("".join(f"{line}\r\n" for line in head).encode())
-        for row in feed(events, domain).toLocalIterator():  # a partition at a time
-            out.write(f"{row.vevent}\r\n".encode())
-            n += 1
-        out.write(b"END:VCALENDAR\r\n")
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(part, path)
-    return n
+        manifest = sorted(f.getPath().toString() for f in fs.listStatus(at(parts)) if f.getPath().getName().startswith("part-"))
+        out = fs.create(at(whole))
+        try:
+            out.write(bytearray("".join(f"{line}\r\n" for line in head).encode()))
+            for part in manifest:  # numbered in the order of the feed
+                source = fs.open(at(part))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+                finally:
+                    source.close()
+            out.write(bytearray(b"END:VCALENDAR\r\n"))
+        finally:
+            out.close()
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri() if "://" in path else fs.getUri(), conf).rename(at(whole), at(path), over)
+        return spark.read.option("lineSep", "\r\n").text(parts).filter("value = 'BEGIN:VEVENT'").count()
+    finally:
+        fs.delete(at(parts), True)
+        fs.delete(at(whole), False)

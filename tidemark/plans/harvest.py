@@ -73,8 +73,8 @@ def discover(sources: DataFrame, get) -> tuple[DataFrame, DataFrame]:
     got = got.join(marked, ["source_id", "url"], "left").withColumn("error", F.when(changed, F.lit("no event markup")).otherwise(F.col("error")))
     first = got.withColumn("found", F.when(ok, found).otherwise(F.array().cast("array<string>")))
     maps = F.slice(F.filter(locations, lambda u: urls.has_parameter(u, *SITEMAP_PARAMETER)), 1, MOST_SITEMAPS)
-    children = got.filter(ok & (low == "sitemap")).select("source_id", "kind", "profile", "hosts", "seed", F.posexplode(maps).alias("child", "url"), plain)
-    below = get(children).withColumn("found", F.when(ok, F.filter(locations, lambda u: urls.is_safe_detail(u, ITEM, "/typo3/", BANNED_QUERY))).otherwise(F.array().cast("array<string>")))
+    children = got.filter(ok & (low == "sitemap")).select("source_id", "kind", "profile", "hosts", "seed", F.posexplode(maps).alias("child", "url"), plain).checkpoint()
+    below = (got.limit(0).withColumn("child", F.lit(0)) if children.isEmpty() else get(children)).withColumn("found", F.when(ok, F.filter(locations, lambda u: urls.is_safe_detail(u, ITEM, "/typo3/", BANNED_QUERY))).otherwise(F.array().cast("array<string>")))
     part = lambda d, child: d.select("source_id", "kind", "profile", "hosts", "seed", child.alias("child"), ok.alias("ok"), "not_modified", "found", (ok & _says_empty(low, F.col("body")) & ((low != "listing") | (F.size("found") == 0))).alias("explicit_empty"), "error")
     everything = part(first, F.lit(-1)).unionByName(part(below, F.col("child")))
     outcomes = everything.select("source_id", F.coalesce("ok", F.lit(False)).alias("ok"), "not_modified", F.col("found").alias("urls"), "explicit_empty", "error")
@@ -109,6 +109,8 @@ def replay(unchanged: DataFrame, state: State) -> DataFrame:
 def linked(pages: DataFrame, get) -> DataFrame:
     """pages, those of listings that link to an iCalendar file with its body in place of their own; gone where it can't be fetched."""
     known = pages.withColumn("link", F.when((F.col("kind") == "listing") & ~_is_calendar(), calendar_link(F.col("at"), F.col("body")))).checkpoint()
+    if known.filter("link is not null").isEmpty():
+        return known.drop("link")
     files = get(known.filter("link is not null").select("source_id", F.col("url").alias("page"), F.col("link").alias("url"), "hosts")).filter("error is null")
     bodies = files.select("source_id", F.col("page").alias("url"), F.col("body").alias("calendar"))
     met = known.join(bodies, ["source_id", "url"], "left").filter("link is null or calendar is not null")
@@ -158,12 +160,13 @@ def run(spark: SparkSession, config: Config, provider: fetch.Provider, state: St
 
     aliases, events = state.read("aliases"), state.read("events")
     assigned = observations.join(reconcile.assign(observations, aliases), ["source_id", "obs_ord"]).checkpoint()
-    after = reconcile.effects(events, assigned, seen, now, config.missing_threshold, config.missing_grace_days)
+    after = reconcile.effects(events, assigned, seen, now, config.missing_threshold, config.missing_grace_days).checkpoint()
+    done = reconcile.run_counts(events, after, now).select("source_id", "created", "updated", "cancelled")
     etag = F.element_at("headers", "etag")
     new_cache = good.groupBy("url").agg(F.max(etag).alias("etag"), F.max(F.element_at("headers", "last-modified")).alias("last_modified"), F.max(F.sha2("body", 256)).alias("content_hash")).withColumn("fetched_at", now)
     kept_cache = state.read("resource_cache").join(new_cache, "url", "left_anti")
     counts = assigned.groupBy("source_id").agg(F.count("*").alias("events_seen"))
     notes = failures.groupBy("source_id").agg(text.bounded(F.array_sort(F.collect_list("note"))).alias("notes"))  # bounded by the cap on candidates
-    log = seen.join(counts, "source_id", "left").join(notes, "source_id", "left").select(F.lit(run_id).alias("run_id"), "source_id", now.alias("started_at"), now.alias("finished_at"), "coverage", F.coalesce("events_seen", F.lit(0)).alias("events_seen"), F.coalesce("notes", F.lit("")).alias("notes")).checkpoint()
+    log = seen.join(counts, "source_id", "left").join(notes, "source_id", "left").join(done, "source_id", "left").select(F.lit(run_id).alias("run_id"), "source_id", now.alias("started_at"), now.alias("finished_at"), "coverage", F.coalesce("events_seen", F.lit(0)).alias("events_seen"), F.coalesce("notes", F.lit("")).alias("notes"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("created", "updated", "cancelled")]).checkpoint()
     version = state.commit({"events": after, "aliases": reconcile.upsert_aliases(aliases, assigned, now), "resource_cache": kept_cache.unionByName(new_cache), "model_cache": answers, "runs": state.read("runs").unionByName(log)})
     return Result(version, log.orderBy("source_id").collect())

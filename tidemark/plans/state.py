@@ -16,7 +16,7 @@ TABLES = {
     "aliases": ALIASES,
     "resource_cache": "url string, etag string, last_modified string, content_hash string, fetched_at timestamp",
     "model_cache": "cache_key string, result_json string, created_at timestamp",
-    "runs": "run_id string, source_id string, started_at timestamp, finished_at timestamp, coverage string, events_seen long, notes string",
+    "runs": "run_id string, source_id string, started_at timestamp, finished_at timestamp, coverage string, events_seen long, notes string, created long, updated long, cancelled long",
 }
 
 

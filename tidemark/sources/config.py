@@ -9,6 +9,9 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import profiles
+
+KINDS = ("listing", "structured-html", "sitemap")
 SOURCES = "source_id string, kind string, profile string, enabled boolean, seeds array<string>, hosts array<string>, delay double, default_location string, default_organizer string, skip_titles array<string>"
 
 
@@ -48,10 +51,14 @@ def load(path: str) -> Config:
             if names[k]:
                 values[names[k]] = v
     config = Config(**values, sources=[source(s) for s in raw.get("sources", [])])
+    ids = [s[0] for s in config.sources]
+    if len(set(ids)) < len(ids):
+        raise ValueError(f"sources that have an id in common: {sorted({i for i in ids if ids.count(i) > 1})}")
     if config.max_events <= 0:
         raise ValueError("max_events_per_source must be positive")
     for name in ("state", "output"):
-        setattr(config, name, str((Path(path).parent / getattr(config, name)).resolve()))
+        if "://" not in getattr(config, name):  # one with a scheme names a store
+            setattr(config, name, str((Path(path).parent / getattr(config, name)).resolve()))
     return config
 
 
@@ -67,4 +74,8 @@ def source(s: dict) -> tuple:
     delay = float(s.get("min_request_delay_seconds", 0))
     if delay < 0:
         raise ValueError("a delay can't be negative")
+    if s["type"] not in KINDS:
+        raise ValueError(f"unknown type of source {s['id']!r}: {s['type']!r}")
+    if s["type"] == "structured-html" and s.get("profile") not in profiles.PROFILES:
+        raise ValueError(f"source {s['id']!r} needs a profile, one of {sorted(profiles.PROFILES)}")
     return s["id"], s["type"], s.get("profile"), s.get("enabled", True), seeds, hosts, delay, s.get("location"), s.get("organizer"), s.get("skip_titles", [])

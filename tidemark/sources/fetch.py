@@ -154,12 +154,17 @@ def get(requests: DataFrame, provider: Provider, robots_of: Robots | None, most_
         done = out if done is None else done.unionByName(out)
         from .profiles import absolute
 
-        open_ = store(met.filter(moves).select(*keys, absolute(F.col("at"), F.col("redirect_to")).alias("at")))
-        if open_.isEmpty():
+        if not _any_moves(answers):
             break
+        open_ = store(met.filter(moves).select(*keys, absolute(F.col("at"), F.col("redirect_to")).alias("at")))
     return store(done)
 
 
+def _any_moves(answers: DataFrame) -> bool:
+    """Whether stored answers lead on: no further hop is planned where none does."""
+    return not answers.filter(F.col("status").isin(MOVED) & F.col("redirect_to").isNotNull()).isEmpty()
+
+
 def origin(url: Column) -> Column:
     return F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]*)", 1)
 
@@ -180,9 +185,9 @@ def robots_rules(origins: DataFrame, provider: Provider, agent: str) -> DataFram
         moves = F.coalesce(F.col("status").isin(MOVED) & F.col("redirect_to").isNotNull(), F.lit(False))
         final = met.filter(~moves | F.lit(hop == ROBOTS_HOPS)).select("origin", F.when(F.octet_length("body") > ROBOTS_BYTES, 413).otherwise(F.coalesce("status", F.lit(599))).alias("status"), "body")
         told = final if told is None else told.unionByName(final)
-        open_ = met.filter(moves).select("origin", "hosts", absolute(F.col("at"), F.col("redirect_to")).alias("at")).checkpoint()
-        if open_.isEmpty():
+        if not _any_moves(answers):
             break
+        open_ = met.filter(moves).select("origin", "hosts", absolute(F.col("at"), F.col("redirect_to")).alias("at")).checkpoint()
     rules = robots.parse(told.filter("status = 200"), agent, text="body")
     closed = told.filter(~F.col("status").isin(200, 404, 410)).select("origin", F.lit("/").alias("pattern"), F.lit(False).alias("is_allow"), F.lit(None).cast("double").alias("crawl_delay"))
     return rules.unionByName(closed)
