@@ -1,5 +1,6 @@
 """Selectors against a plain walk over a tree, their cost on a large page, and the parsers that use them."""
 
+import json
 import random
 import time
 from datetime import datetime
@@ -111,6 +112,8 @@ def test_jsonld_odd_pages(spark):
     body = script("[" * 200_000) + script("{") + script("7") + script(event % "x/EventRescheduled") + script(event.replace('"N"', '["A","B","A"]') % "eventcancelled")
     got = {r.title: r.status for r in jsonld.parse(page(spark, body)).collect()}
     assert got == {"N": "TENTATIVE", "A, B": "CANCELLED"}
+    said = json.dumps({"@type": "Event", "name": "N", "startDate": "2026-05-01", "description": "<p>Bread &amp; wine</p><style>x</style> 2 &lt; 3<br>end"})
+    assert jsonld.parse(page(spark, script(said))).first().description == "Bread & wine 2 < 3 end"
 
 
 def test_markup_is_recognised_by_the_profile(spark):

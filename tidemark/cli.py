@@ -22,11 +22,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--config", default="config.toml")
     parser.add_argument("--source", action="append")
     parser.add_argument("--fixtures", help="a folder of canned responses instead of the network")
+    parser.add_argument("--database", help="the state's folder, in place of the configured one")
+    parser.add_argument("--output", help="the feed's place, in place of the configured one")
+    parser.add_argument("-v", "--verbose", action="store_true", help="say what each source's run created, updated and cancelled")
     args = parser.parse_args(argv)
     if not os.path.exists(args.config):
         print(f"no configuration at {args.config}", file=sys.stderr)
         return 2
     config = configs.load(args.config)
+    config.state, config.output = args.database or config.state, args.output or config.output
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(f"{config.state}/checkpoints")
@@ -36,6 +40,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         provider = fetch.canned(spark, args.fixtures) if args.fixtures else fetch.live(config.user_agent, config.timeout, config.max_bytes, delays)
         for r in harvest.run(spark, config, provider, state, datetime.now(UTC), args.source).runs:
             print(f"{r.source_id}: {r.coverage} events={r.events_seen} {r.notes}")
+            if args.verbose:
+                print(f"  created={r.created} updated={r.updated} cancelled={r.cancelled}")
             failed |= r.coverage == "PARTIAL" and r.events_seen == 0
     if args.command != "harvest":
         print(f"{export.write(state.read('events'), config.domain, config.output)} events in {config.output}")

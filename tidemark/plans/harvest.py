@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import coverage, reconcile
-from ..sources import detail, fetch, html_nodes, ics, jsonld, model, profiles
+from ..sources import detail, fetch, html_nodes, ics, jsonld, model, profiles, sitemaps
 from ..sources.config import Config
 from .state import State
 
@@ -65,16 +65,16 @@ def discover(sources: DataFrame, get) -> tuple[DataFrame, DataFrame]:
     ok = F.col("error").isNull() & ~F.col("not_modified")
     low = F.col("kind")
     links = F.transform(urls.hrefs(F.col("body")), lambda h: profiles.absolute(F.col("at"), h))
-    locations = F.transform(F.regexp_extract_all("body", F.lit(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</(?:\w+:)?loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
     found = F.when(low == "listing", F.filter(links, lambda u: urls.is_candidate(u, DETAIL))).when(low == "structured-html", F.concat(F.array("url"), F.when(F.col("profile") == PAGED, further_pages(F.col("url"), links)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
     structured = got.filter(ok & (low == "structured-html")).select("source_id", F.col("url"), "profile", "body")
     marked = profiles.recognised(structured, html_nodes.nodes).withColumn("marked", F.lit(True))
     changed = ok & (low == "structured-html") & F.col("marked").isNull() & ~_says_empty(low, F.col("body"))
     got = got.join(marked, ["source_id", "url"], "left").withColumn("error", F.when(changed, F.lit("no event markup")).otherwise(F.col("error")))
+    got = _with_locations(got, ok & (low == "sitemap"))
     first = got.withColumn("found", F.when(ok, found).otherwise(F.array().cast("array<string>")))
-    maps = F.slice(F.filter(locations, lambda u: urls.has_parameter(u, *SITEMAP_PARAMETER)), 1, MOST_SITEMAPS)
+    maps = F.slice(F.filter("locations", lambda u: urls.has_parameter(u, *SITEMAP_PARAMETER)), 1, MOST_SITEMAPS)
     children = got.filter(ok & (low == "sitemap")).select("source_id", "kind", "profile", "hosts", "seed", F.posexplode(maps).alias("child", "url"), plain).checkpoint()
-    below = (got.limit(0).withColumn("child", F.lit(0)) if children.isEmpty() else get(children)).withColumn("found", F.when(ok, F.filter(locations, lambda u: urls.is_safe_detail(u, ITEM, "/typo3/", BANNED_QUERY))).otherwise(F.array().cast("array<string>")))
+    below = _with_locations(got.limit(0).drop("locations").withColumn("child", F.lit(0)) if children.isEmpty() else get(children), ok).withColumn("found", F.when(ok, F.filter("locations", lambda u: urls.is_safe_detail(u, ITEM, "/typo3/", BANNED_QUERY))).otherwise(F.array().cast("array<string>")))
     part = lambda d, child: d.select("source_id", "kind", "profile", "hosts", "seed", child.alias("child"), ok.alias("ok"), "not_modified", "found", (ok & _says_empty(low, F.col("body")) & ((low != "listing") | (F.size("found") == 0))).alias("explicit_empty"), "error")
     everything = part(first, F.lit(-1)).unionByName(part(below, F.col("child")))
     outcomes = everything.select("source_id", F.coalesce("ok", F.lit(False)).alias("ok"), "not_modified", F.col("found").alias("urls"), "explicit_empty", "error")
@@ -84,6 +84,12 @@ def discover(sources: DataFrame, get) -> tuple[DataFrame, DataFrame]:
     return outcomes, once.select("source_id", "url", "s.*", F.row_number().over(order).alias("ord"))
 
 
+def _with_locations(got: DataFrame, maps: Column) -> DataFrame:
+    """got with the locations of those pages that are sitemaps; one that isn't XML is an error."""
+    read = got.withColumn("read", F.when(maps, sitemaps.read(F.col("body"))))
+    return read.withColumn("error", F.when(~F.col("read.valid"), F.lit("not a sitemap")).otherwise(F.col("error"))).withColumn("locations", F.coalesce("read.locations", F.array().cast("array<string>"))).drop("read")
+
+
 def parse(pages: DataFrame, profiles_used: list[str]) -> DataFrame:
     """pages: source_id, url, body, kind, profile, and what profiles take from the configuration. Pages of sitemaps without event data are read as detail pages."""
     calendars = _is_calendar()
@@ -154,7 +160,7 @@ def run(spark: SparkSession, config: Config, provider: fetch.Provider, state: St
     observations = kept.select(F.lit(run_id).alias("run_id"), F.col("n").cast("long").alias("obs_ord"), F.col("url").alias("source_url"), *[c for c in kept.columns if c not in ("n", "ord", "url", "valid", "all_valid")]).withColumn("event_url", F.coalesce(F.nullif("event_url", F.lit("")), F.col("source_url"))).checkpoint()
 
     empty = fetched.join(per_page, ["source_id", "url"], "left").filter("error is not null or all_valid is null or not all_valid")
-    fail = lambda d, why: d.select("source_id", F.concat(F.lit(why), F.coalesce(text.endpoint(F.col("url")), F.lit(""))).alias("note"))
+    fail = lambda d, why: d.select("source_id", F.concat(F.lit(why), F.coalesce(text.endpoint(F.col("url")), F.lit("")), F.coalesce(F.concat(F.lit(" ("), F.col("error"), F.lit(")")), F.lit("")) if "error" in d.columns else F.lit("")).alias("note"))
     failures = fail(empty, "no events from ").unionByName(fail(dropped, "over the limit ")).unionByName(fail(numbered.filter(F.col("n") > config.max_events), "over the limit ")).checkpoint()
     seen = coverage.downgrade(coverage.discovery(outcomes, sources), failures).checkpoint()
 

@@ -206,3 +206,15 @@ def cache_misses(spark, sf_dir):
     """Texts whose answer isn't among those of labelled documents: only these would go to a model."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("page_text"), model.cache_key(F.col("text"), "m").alias("cache_key"))
     return model.unanswered(d, d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")).select("cache_key")
+
+
+@query("""with a as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as attempt, case event_id % 6 when 0 then 200 when 1 then 429 when 2 then 404 else 503 end as status, case when event_id % 2 = 1 then event_id % 37 end as asked from events),
+b as (select *, case when status = 429 and asked is not null then asked::double when attempt = 1 then 1.0 else 2.0 end as wait from a), c as (select *, sum(wait) over (partition by user_id order by attempt) as total from b)
+select event_id, wait, total, bool_and(status in (429, 503) and attempt < 3 and total <= 30) over (partition by user_id order by attempt) as again from c""")
+def retry_budget(spark, sf_dir):
+    """Each user's events as the attempts of a request: how long to wait after each, and whether there is a next one."""
+    e = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*map(F.lit, (200, 429, 404, 503, 503, 503))), (F.col("event_id") % 6 + 1).cast("int"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    attempts = e.select("event_id", F.col("user_id").alias("request"), F.row_number().over(order).alias("attempt"), status.alias("status"), F.when(F.col("event_id") % 2 == 1, F.col("event_id") % 37).alias("asked"))
+    return fetch.waits(attempts).select("event_id", "wait", "total", "again")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..sources import detail, html_nodes, ics, jsonld, model, profiles
+from ..sources import detail, html_nodes, ics, jsonld, model, profiles, sitemaps
 from .scalar_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -147,6 +147,21 @@ def detail_roundtrip(spark, sf_dir):
     return found.select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("o_orderkey"), "title", local("start").alias("starts"), local("end").alias("ends"), "all_day", "location", "organizer", "event_url")
 
 
+@query("""select o_custkey, row_number() over (partition by o_custkey order by o_orderkey % 2, o_orderkey) as place, 'https://x/d?a=' || o_orderkey || '&b=<' || o_orderkey % 3 || '>' as url from orders where o_custkey % 10 <> 0""")
+def sitemap_roundtrip(spark, sf_dir):
+    """A sitemap for each customer, with prefixes, comments, CDATA and images; its orders of even keys as an index's maps. Every tenth isn't XML."""
+    k = F.col("o_orderkey")
+    plain = F.concat(F.lit("https://x/d?a="), k, F.lit("&b=<"), k % 3, F.lit(">"))
+    told = F.when(k % 3 == 0, F.concat(F.lit("<![CDATA["), plain, F.lit("]]>"))).otherwise(F.concat(F.lit("\n "), F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("<!-- x --> ")))
+    tag = F.when(k % 2 == 0, "s:sitemap").otherwise("s:url")
+    entry = F.concat(F.lit("<"), tag, F.lit("><s:loc>"), told, F.lit("</s:loc><i:image><i:loc>https://img/x</i:loc></i:image></"), tag, F.lit("><!-- <s:url><s:loc>https://no/</s:loc></s:url> -->"))
+    top = F.when(F.col("o_custkey") % 10 == 0, "<broken>").otherwise("")
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("t")))), lambda x: x["t"]), "").alias("rows"))
+    body = F.concat(F.lit('<?xml version="1.0"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="urn:image">'), top, "rows", F.lit("<s:url/></s:urlset>"))
+    read = pages.select("o_custkey", sitemaps.read(body).alias("r")).filter("r.valid")
+    return read.select("o_custkey", F.posexplode("r.locations").alias("place", "url")).select("o_custkey", (F.col("place") + 1).cast("long").alias("place"), "url")
+
+
 @query()
 def html_visible_text(spark, sf_dir):
     """What a reader sees of each page; Python's parser has no equal in SQL."""

@@ -14,7 +14,7 @@ from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, urls
@@ -194,8 +194,11 @@ def robots_rules(origins: DataFrame, provider: Provider, agent: str) -> DataFram
 
 
 def waits(attempts: DataFrame) -> DataFrame:
-    """attempts with wait (before the next one) and total (so far); columns request, attempt."""
-    from pyspark.sql import Window
-
+    """attempts (request, attempt from 1, status, asked: seconds that a Retry-After asked for) with wait (before the next one), total (so far, this one
+    included) and again: whether there is a next one. It needs a passing failure, a number below ATTEMPTS, all waits within MOST_WAIT, and that none before it ended the request.
+    """
     w = Window.partitionBy("request").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
-    return attempts.withColumn("wait", dates.backoff(F.col("attempt"))).withColumn("total", F.sum("wait").over(w))
+    wait = F.when((F.col("status") == 429) & F.col("asked").isNotNull(), F.col("asked").cast("double")).otherwise(dates.backoff(F.col("attempt")))
+    summed = attempts.withColumn("wait", wait).withColumn("total", F.sum("wait").over(w))
+    fine = F.col("status").isin(RETRIED) & (F.col("attempt") < ATTEMPTS) & (F.col("total") <= MOST_WAIT)
+    return summed.withColumn("again", F.min(fine).over(w))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import history
+from . import html_nodes
 
 SCRIPT = re.compile(r'(?is)<script[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>')
 FIELDS = ["name", "start", "end", "description", "location", "organizer", "identifier", "status", "link"]
@@ -64,6 +65,18 @@ def _identifier(value) -> str | None:
     return next((i for v in inner if (i := _identifier(v))), None)
 
 
+def _plain(value) -> str | None:
+    """The text of a description, which may be HTML; single-spaced."""
+    if not isinstance(value, str):
+        return None
+    if "<" in value or "&" in value:
+        tree = html_nodes.Nodes()
+        tree.feed(value)
+        tree.close()
+        value = " ".join(t for t in tree.text if t)
+    return " ".join(value.split()) or None
+
+
 def objects(pages: DataFrame) -> DataFrame:
     """(source_id, url, raw_content_hash, row, fields): each event object of a page, in document order, its fields as text."""
 
@@ -77,7 +90,7 @@ def objects(pages: DataFrame) -> DataFrame:
                     except (ValueError, RecursionError):  # not JSON, or nested beyond what the reader takes
                         continue
                     for e in found:
-                        said = (_named(e.get("name")), *(x if isinstance(x, str) else None for x in (e.get("startDate"), e.get("endDate"), e.get("description"))))
+                        said = (_named(e.get("name")), *(x if isinstance(x, str) else None for x in (e.get("startDate"), e.get("endDate"))), _plain(e.get("description")))
                         link = e.get("url")
                         rows.append([*said, _place(e.get("location")), _named(e.get("organizer")), _identifier(e.get("identifier")), str(e.get("eventStatus") or ""), link.strip() if isinstance(link, str) else None])
                 if rows:
@@ -106,10 +119,9 @@ def parse(pages: DataFrame) -> DataFrame:
     found = found.withColumns({"_start": moment(F.col("start")), "_end": moment(F.col("end")), "_title": text.squeeze(F.col("name"))}).filter("_title is not null and _start is not null")
     start, end, title = F.col("_start"), F.col("_end"), F.col("_title")
     last = F.when(F.to_date(F.try_to_timestamp("end")) >= F.to_date(F.try_to_timestamp("start")), F.try_to_date(F.substring("end", 1, 10))).when(F.col("end").isNull(), F.try_to_date("start"))
-    plain = text.squeeze(F.regexp_replace("description", "<[^>]*>", " "))
     rows = found.select(
         "source_id", "url", "row", F.lit(None).cast("string").alias("error"), "raw_content_hash", title.alias("title"), start.alias("start"),
-        F.when(day, dates.berlin_midnight(F.date_add(last, 1))).otherwise(end).alias("end"), day.alias("all_day"), "location", plain.alias("description"), "organizer",
+        F.when(day, dates.berlin_midnight(F.date_add(last, 1))).otherwise(end).alias("end"), day.alias("all_day"), "location", "description", "organizer",
         status(F.col("status")).alias("status"),
         F.when(F.col("link").rlike("^https?://"), F.col("link")).otherwise(F.col("url")).alias("event_url"), F.lit(None).cast("string").alias("source_event_uid"),
         F.concat(F.lit("jsonld:"), "identifier", F.lit(":"), dates.iso_berlin(start)).alias("source_x_id"), F.lit(None).cast("int").alias("source_sequence"),
