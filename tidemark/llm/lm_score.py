@@ -15,7 +15,7 @@ under which the training documents are likeliest when each n-gram's count is low
 
 A null text is a document of one end; a null id counts as training; repeated rows each count and each give a row; texts of any
 length are read whole; an empty table gives an empty one. Without training documents N = V = 0 and every score is that of the formula.
-Words are told apart by 64-bit hashes, 2- and 3-grams by 32 bits within a slice, of which about one in 10,000 coincides.
+Words are told apart by 64-bit hashes, 2- and 3-grams by 32 bits within a slice: of the up to 2 million n-grams of one, about one in 2,000 coincides.
 Columns besides id and text are left out, so names may clash with those of the result.
 """
 

@@ -9,7 +9,7 @@ Layout of a folder (its path may be of any file system that pyarrow.fs opens):
   rank of its bit) and, by place, a fingerprint of the key, shard, offset and number of ids, and how many documents share
   the key. A key that was never written is told by its fingerprint, and costs the same constant time.
 
-A null text is one end id. Null keys sort first and are keys like others. Documents of one key are numbered from 0 in the
+A null text is one end id, and so is an empty one; texts of any length are encoded whole, words at a time. Null keys sort first and are keys like others. Documents of one key are numbered from 0 in the
 order of their texts; (key, number) is what the index holds, and looking a key up gives them all. Extra columns are left
 out. An empty table gives an empty folder and no rows.
 """
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U64, mix
 
+#: Text of one shard, on average; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 128 << 20
 #: Keys of one index part; a part is built and loaded whole.
 KEYS_A_PART = 1 << 15
 #: Bits of a level for each key that is still without a place.
@@ -188,7 +190,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
     """Writes data, manifest and index below folder; returns the manifest."""
     common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-common.text_bytes(docs, text) // SHARD_BYTES))
     fs, root = files(folder)
     for d in ("data", "index"):
         fs.create_dir(f"{root}/{d}", recursive=True)
