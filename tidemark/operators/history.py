@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from . import scan
 
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key: a minimum, so partial results are combined before the shuffle."""
+def first_of(df: DataFrame, keys: list[str], order: list, count: str | None = None) -> DataFrame:
+    """The first row of each key, and how many there are if count names a column for it: partial results are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     least = F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")
-    return df.groupBy(*keys).agg(least).select(*keys, "_r.*").select(*df.columns)
+    many = [F.count("*").alias(count)] if count else []
+    return df.groupBy(*keys).agg(least, *many).select(*keys, "_r.*", *([count] if count else [])).select(*df.columns, *([count] if count else []))
+
+
+def first_n(df: DataFrame, keys: list[str], order: list, n: int, place: str) -> DataFrame:
+    """The first n rows of each key with their places, from 1; rows beyond are dropped before the shuffle already."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n)
 
 
 def last_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from ..operators import history
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,7 +49,7 @@ def page_links(spark, sf_dir):
 
 @query(r"""select page_id, href, min(pos) as first_pos from (select page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1), 1) - 1 as pos from pages) group by all""")
 def page_links_distinct(spark, sf_dir):
-    return page_links(spark, sf_dir).groupBy("page_id", "href").agg(F.min("pos").alias("first_pos"))
+    return history.first_of(page_links(spark, sf_dir), ["page_id", "href"], ["pos"]).withColumnRenamed("pos", "first_pos")
 
 
 @query(r"""select page_id, lower(url) like '%.ical' or contains(lower(url), '/article/') as is_candidate, regexp_matches(lower(url), '^https?:') and not contains(lower(url), '/admin/') and contains(url, '/') as is_safe from pages""")

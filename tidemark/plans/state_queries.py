@@ -35,13 +35,12 @@ def robots_longest_match(spark, sf_dir):
     return robots.decide(p, rules, ["page_id"])
 
 
-@query("""with s as (select event_type, cast(ts as date) as d, bool_and(value > 1) as all_ok, bool_and(user_id % 2 = 0) as all_old, bool_or(user_id % 50 = 0) as any_old, sum(case when value > 20 then 1 else 0 end) as n_urls, bool_or(value > 90) as any_empty from events group by 1, 2)
+@query("""with s as (select event_type, cast(ts as date) as d, bool_and(value > 1) as all_ok, bool_and(user_id % 4 < day(ts) % 5) as all_old, bool_or(user_id % 4 < day(ts) % 5) as any_old, sum(case when value > 20 then 1 else 0 end) as n_urls, bool_or(value > 90) as any_empty from events group by 1, 2)
 select event_type, strftime(d, '%Y-%m-%d') as day, case when not all_ok then 'PARTIAL' when all_old then 'UNCHANGED' when any_old then 'PARTIAL' when n_urls = 0 and not any_empty then 'PARTIAL' else 'COMPLETE' end as coverage from s""")
 def coverage_by_source(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     c = F.col
-    outs = coverage.outcome_aggregates(c("value") > 1, c("user_id") % 2 == 0, (c("value") > 20).cast("long"), c("value") > 90)
-    outs = [F.bool_or(c("user_id") % 50 == 0).alias("any_old") if "any_old" in str(o) else o for o in outs]
+    outs = coverage.outcome_aggregates(c("value") > 1, c("user_id") % 4 < F.dayofmonth("ts") % 5, (c("value") > 20).cast("long"), c("value") > 90)
     return e.groupBy("event_type", "day").agg(*outs).select("event_type", "day", coverage.classify().alias("coverage"))
 
 
@@ -114,7 +113,7 @@ def lookahead_four(spark, sf_dir):
 @query("""select min(doc_id) as doc_id, count(*) as copies from documents group by lower(text), lang""")
 def dedup_first(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.lower("text"), 256).alias("k"))
-    return d.groupBy("k", "lang").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    return history.first_of(d, ["k", "lang"], ["doc_id"], "copies").select("doc_id", "copies")
 
 
 @query("""select o_custkey, o_orderkey, o_orderstatus, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1""")
@@ -125,10 +124,8 @@ def upsert_last_wins(spark, sf_dir):
 
 @query("""select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderpriority, o_orderkey) as place from orders qualify place <= 3""")
 def feed_order_first(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderpriority", "o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 3").select("o_custkey", "o_orderkey", "place")
+    found = history.first_n(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderpriority", "o_orderkey"], 3, "place")
+    return found.select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"))
 
 
 @query("""with s as (select event_id, user_id, ts, cast(floor(value) as bigint) % 7 as size from events), b as (select *, coalesce(sum(size) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as before from s)
