@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ def test_batches_are_versions_and_replays_change_nothing(spark, tmp_path):
     landing.apply(state, spark.createDataFrame([seen("a", "A2", 3), seen("a", "A3", 4, 2), seen("b", "B", 2, 3, "CANCELLED")], OBSERVED), 1)
     assert events(state) == {"A3": (2, "CONFIRMED", None), "B": (1, "CANCELLED", "source")}
     assert state.versions() == [0, 1]
+    places = [json.loads((tmp_path / "state" / "commits" / v).read_text())["tables"] for v in "01"]
+    assert places[0]["runs"] == places[1]["runs"] and places[0]["events"] != places[1]["events"]  # what a run doesn't change is not written again
+    assert state.read("runs").count() == 0 and state.read("resource_cache").columns == ["url", "etag", "last_modified", "content_hash", "fetched_at"]
 
 
 def test_stream(spark, tmp_path):

@@ -39,23 +39,31 @@ class State:
         now = self.versions()
         if not now:
             return self.spark.createDataFrame([], TABLES[table])
-        return migrate(self.spark.read.parquet(f"{self.folder}/{self._info(now[-1])['data']}/{table}"), table)
+        return migrate(self.spark.read.parquet(f"{self.folder}/{self._place(self._info(now[-1]), table)}"), table)
+
+    @staticmethod
+    def _place(info: dict, table: str) -> str:
+        """Where a version has a table: what it took over stays where an earlier one wrote it."""
+        return info.get("tables", {}).get(table, f"{info['data']}/{table}")
 
     def _info(self, version: int) -> dict:
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/commits/{version}").collect()))
 
     def commit(self, tables: dict[str, DataFrame], version: int | None = None) -> int:
-        """Writes the given tables and carries the others over. A version that is there already stays as it is."""
+        """Writes the given tables; the others stay those of the version before, where they lie. A version that is there already stays as it is."""
         done = self.versions()
         version = (done[-1] + 1 if done else 0) if version is None else version
         if version in done:
             return version
         data = f"data/{version}-{uuid.uuid4().hex[:8]}"
-        for name in TABLES:
-            (tables[name] if name in tables else self.read(name)).write.parquet(f"{self.folder}/{data}/{name}")
+        before = self._info(done[-1]) if done else None
+        places = {name: f"{data}/{name}" if name in tables or not before else self._place(before, name) for name in TABLES}
+        for name, place in places.items():
+            if place == f"{data}/{name}":
+                (tables[name] if name in tables else self.read(name)).write.parquet(f"{self.folder}/{place}")
         mark = self._path(f"{self.folder}/commits/.{uuid.uuid4().hex}")
         out = self._fs.create(mark)
-        out.write(bytearray(json.dumps({"data": data, "format": FORMAT}).encode()))
+        out.write(bytearray(json.dumps({"data": data, "format": FORMAT, "tables": places}).encode()))
         out.close()
         if not self._fs.rename(mark, self._path(f"{self.folder}/commits/{version}")):
             raise RuntimeError(f"version {version} was committed by another run")
