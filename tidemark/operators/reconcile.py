@@ -20,6 +20,8 @@ CONTENT = ["title", "start", "end", "all_day", "location", "description", "organ
 EVENTS = "event_id string, source_id string, title string, start timestamp, end timestamp, all_day boolean, location string, description string, organizer string, status string, extraction_method string, extraction_confidence double, source_url string, event_url string, cancelled_reason string, sequence long, semantic_hash string, missing_count long, first_missing timestamp, dtstamp timestamp, last_modified timestamp, created_at timestamp, updated_at timestamp"
 ALIASES = "alias_type string, alias_value string, source_id string, event_id string, created_at timestamp"
 STRONG = ["ics_uid", "x_id"]
+#: Aliases of a batch that are folded together, on average; a larger component is one group by itself.
+ALIASES_A_GROUP = 10_000
 
 
 def semantic_hash() -> Column:
@@ -42,7 +44,9 @@ def assign(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     candidates = candidate_aliases(observations.withColumn("event_id", F.lit(None).cast("string"))).select("source_id", "obs_ord", "alias_type", "alias_value").checkpoint()
     held = touched(aliases, candidates).checkpoint()
     labels = components.components(_bonds(candidates, held))
-    number = F.coalesce("component", "node").alias("component")
+    # components share a group where they are small: the fold keeps them apart, and a group costs more than a row
+    groups = max(int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // ALIASES_A_GROUP))
+    number = F.pmod(F.coalesce("component", "node"), F.lit(groups)).alias("component")
     seen = keyed.withColumn("node", _node("o", "obs_ord")).join(labels, "node", "left").select(*keyed.columns, number)
     known = held.withColumn("node", _node("e", "event_id")).join(labels, "node", "left").select(*held.columns, number)
     return seen.groupBy("source_id", "component").cogroup(known.groupBy("source_id", "component")).applyInPandas(lambda obs, held: fold(obs, held), "source_id string, obs_ord long, event_id string, is_new boolean")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import coverage, reconcile
-from ..sources import detail, fetch, html_nodes, ics, jsonld, model, profiles, sitemaps
+from ..sources import detail, fetch, ics, jsonld, model, profiles, sitemaps
 from ..sources.config import Config
 from .state import State
 
@@ -67,7 +67,7 @@ def discover(sources: DataFrame, get) -> tuple[DataFrame, DataFrame]:
     links = F.transform(urls.hrefs(F.col("body")), lambda h: profiles.absolute(F.col("at"), h))
     found = F.when(low == "listing", F.filter(links, lambda u: urls.is_candidate(u, DETAIL))).when(low == "structured-html", F.concat(F.array("url"), F.when(F.col("profile") == PAGED, further_pages(F.col("url"), links)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
     structured = got.filter(ok & (low == "structured-html")).select("source_id", F.col("url"), "profile", "body")
-    marked = profiles.recognised(structured, html_nodes.nodes).withColumn("marked", F.lit(True))
+    marked = profiles.recognised(structured, lambda pages: pages).withColumn("marked", F.lit(True))
     changed = ok & (low == "structured-html") & F.col("marked").isNull() & ~_says_empty(low, F.col("body"))
     got = got.join(marked, ["source_id", "url"], "left").withColumn("error", F.when(changed, F.lit("no event markup")).otherwise(F.col("error")))
     got = _with_locations(got, ok & (low == "sitemap"))
@@ -97,10 +97,10 @@ def parse(pages: DataFrame, profiles_used: list[str]) -> DataFrame:
     body = lambda d: d.select("source_id", "url", "body", *given)
     data = jsonld.parse(body(pages.filter(~calendars & (F.col("kind") != "structured-html")))).checkpoint()
     rest = body(pages.filter(~calendars & (F.col("kind") == "sitemap")).join(data, ["source_id", "url"], "left_anti"))
-    parts = [ics.parse(body(pages.filter(calendars))), data, detail.parse(rest, html_nodes.nodes(rest))]
+    parts = [ics.parse(body(pages.filter(calendars))), data, detail.parse(rest, rest)]
     for name in profiles_used:
         mine = body(pages.filter((F.col("kind") == "structured-html") & (F.col("profile") == name)))
-        parts.append(profiles.parse(mine, html_nodes.nodes(mine), name))
+        parts.append(profiles.parse(mine, mine, name))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..sources import detail, html_nodes, ics, jsonld, model, profiles, sitemaps
+from ..sources import detail, ics, jsonld, model, profiles, sitemaps
 from .scalar_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -63,7 +63,7 @@ def _pages(rows, key: str, block, top: str, bottom: str, **given):
 
 def _told(spark, pages, profile):
     """What a profile reads, by the number in the title."""
-    found = profiles.parse(pages, html_nodes.nodes(pages), profile)
+    found = profiles.parse(pages, pages, profile)
     return found.select(F.regexp_extract("title", r"(\d+)$", 1).cast("long").alias("o_orderkey"), F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page"), F.date_format(F.from_utc_timestamp("start", "Europe/Berlin"), "yyyy-MM-dd HH:mm").alias("starts"), "all_day", "location", "description", "organizer", F.regexp_replace("event_url", "^https://x/", "").alias("link"), "source_x_id")
 
 
@@ -143,7 +143,7 @@ def detail_roundtrip(spark, sf_dir):
     body = F.concat(F.lit('<h1 class="d1i-head__title">Order '), k, F.lit('</h1><div id="descriptionText"><div class="toujou-text-clamper__content">Wann? '), when, F.lit("."), hours, F.lit('</div></div><section id="d1iAddressesSection">'), place, other, F.lit("</section>"), site)
     pages = table(spark, sf_dir, "orders").select(F.lit("o").alias("source_id"), F.concat(F.lit("https://x/fair-"), k, F.lit("/")).alias("url"), body.alias("body"))
     local = lambda c: F.date_format(F.from_utc_timestamp(c, "Europe/Berlin"), "yyyy-MM-dd HH:mm")
-    found = detail.parse(pages, html_nodes.nodes(pages))
+    found = detail.parse(pages, pages)
     return found.select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("o_orderkey"), "title", local("start").alias("starts"), local("end").alias("ends"), "all_day", "location", "organizer", "event_url")
 
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .html_nodes import ROWS, TEXT
+from .html_nodes import ROWS, TEXT, Nodes
 
 PAGE = ["source_id", "url"]
 COMPOUND = re.compile(r"(:scope|[a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+|\[[\w-]+(?:\*?=\"[^\"]*\")?\])*)")
@@ -94,9 +94,9 @@ class Matcher:
         for p, (i, steps) in enumerate(self.programs):
             above, any_above, bits = parent[0][p], parent[1][p], 0
             for k, step in enumerate(steps):
-                open_ = (not step.child or top) if k == 0 else (above if step.child else any_above) >> (k - 1) & 1
-                if open_ and step.holds(tag, attrs):
-                    bits |= 1 << k
+                if (not step.child or top) if k == 0 else (above if step.child else any_above) >> (k - 1) & 1:
+                    if step.holds(tag, attrs):
+                        bits |= 1 << k
             own.append(bits)
             around.append(any_above | bits)
             if bits >> (len(steps) - 1) & 1:
@@ -165,7 +165,7 @@ class Open:
 def within(nodes: DataFrame, scope: str, fields: dict[str, str]) -> DataFrame:
     """(source_id, url, row, field, n, last, depth, attrs, pieces, lead): for each element that scope selects (its number is row; -1 where scope
     is empty, for the page) and each field, the elements inside that the field's selector finds; pieces are their texts, lead is what they say before
-    their first element. nodes: as html_nodes gives them.
+    their first element. nodes: as html_nodes gives them, or pages (source_id, url, body), which are then read and searched in one go.
     """
     names, selectors = list(fields), list(fields.values())
     for s in [*selectors, *([scope] if scope else [])]:
@@ -187,10 +187,33 @@ def within(nodes: DataFrame, scope: str, fields: dict[str, str]) -> DataFrame:
             page.end()
             yield from _batches(page, True)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for source, url, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tree, page = Nodes(), Page(source, url, scope, names, selectors)
+                tree.feed(body or "")
+                tree.close()
+                for n, (last, depth, tag, attrs, text) in enumerate(zip(tree.last, tree.depth, tree.tag, tree.attrs, tree.text, strict=True)):
+                    page.node(n, last, depth, tag, dict(attrs), text)
+                page.end()
+                held += page.done
+                if len(held) >= ROWS:
+                    yield from _rows(held)
+                    held = []
+        yield from _rows(held)
+
+    if "body" in nodes.columns:
+        return nodes.select(*PAGE, "body").mapInArrow(read, FOUND)
     return nodes.select(*PAGE, "n", "last", "depth", "tag", "attrs", "text").mapInArrow(run, FOUND)
 
 
+def _rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(found), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found[lo : lo + ROWS], strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 def _batches(page: Page, last: bool = False) -> Iterator[pa.RecordBatch]:
-    while page.done and (last or len(page.done) >= ROWS):
-        some, page.done = page.done[:ROWS], page.done[ROWS:]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*some, strict=True), ARROW, strict=True)], schema=ARROW)
+    if last or len(page.done) >= ROWS:
+        some, page.done = page.done, []
+        yield from _rows(some)
