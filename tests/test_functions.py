@@ -62,3 +62,10 @@ def test_slugs_of_any_text(spark):
     cases = {"„Fest“ – Straße €5": "fest-strasse-5", "ПРИВЕТ": "", "漢字 a😀b": "a-b", "ẞ": "ss", "ÄÖÜ é": "äöü"}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
     assert [r for r in df.select("t", "want", text.slug(F.col("t")).alias("got")).collect() if r.want != r.got] == []
+
+
+def test_a_text_is_searched_once_for_its_dates(spark):
+    df = spark.range(3).selectExpr("concat('1. Mai - 3.', char(160), 'Juni  203', id) as t").select(dates.german_range(F.col("t")).alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "regexp_extract" not in plan and "format_string" not in plan
+    assert [(str(r.first), str(r.end)) for (r,) in df.collect()] == [(f"203{i}-05-01", f"203{i}-06-04") for i in range(3)]

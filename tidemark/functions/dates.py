@@ -11,7 +11,11 @@ ZONE = "Europe/Berlin"
 MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"]
 EXTRA_MONTHS = {"maerz": 3}
 
-_NAME = r"([A-Za-zÄÖÜäöüß]+)"
+_LETTERS, _GAP = "A-Za-zÄÖÜäöüß", r"[\s\u00a0]"
+_NUMBERS, _NAME, _TO = r"\d{1,2}\.\d{1,2}\.", rf"\d{{1,2}}\.{_GAP}*[{_LETTERS}]+", rf"{_GAP}*[+\-]{_GAP}*"
+# The forms of german_range in order: each is looked for in the whole text before the next one is, and none comes last.
+_FORMS = [rf"(?<!\d){_NUMBERS}20\d\d{_TO}{_NUMBERS}(?:20\d\d)?", rf"{_NAME}{_TO}{_NAME}{_GAP}+20\d\d", rf"\d{{1,2}}\.{_TO}{_NAME}{_GAP}+20\d\d", rf"(?<!\d){_NUMBERS}20\d\d(?!\d)", rf"(?<!\d){_NAME}{_GAP}+20\d\d(?!\d)"]
+_SPAN = f"(?s)^(?:{'|'.join(f'.*?({f})' for f in _FORMS)}|).*"
 
 
 def month_number(name: Column) -> Column:
@@ -20,41 +24,26 @@ def month_number(name: Column) -> Column:
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d))
+    return F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("date")
 
 
 def german_range(text: Column) -> Column:
     """struct(first date, end date): the first and the day after the last day that a text names; null where it names none.
 
-    In order: d.m.20yy +|- d.m.[20yy]; d. month +|- d. month 20yy; d. +|- d. month 20yy; d.m.20yy; d. month 20yy.
+    The text is searched once; what the first form matched is cut into its numbers and names once. In order: d.m.20yy +|- d.m.[20yy]; d. month +|- d. month 20yy; d. +|- d. month 20yy; d.m.20yy; d. month 20yy.
     """
-    whole = F.regexp_replace(F.regexp_replace(text, " ", " "), r"\s+", " ")
-    forms = {
-        "numeric": rf"(?<!\d)(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)\s*[+\-]\s*(\d{{1,2}})\.(\d{{1,2}})\.(20\d\d)?",
-        "months": rf"(\d{{1,2}})\.\s*{_NAME}\s*[+\-]\s*(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)",
-        "days": rf"(\d{{1,2}})\.\s*[+\-]\s*(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)",
-        "one": r"(?<!\d)(\d{1,2})\.(\d{1,2})\.(20\d\d)(?!\d)",
-        "named": rf"(?<!\d)(\d{{1,2}})\.\s*{_NAME}\s+(20\d\d)(?!\d)",
-    }
-    # each form is looked for once in the whole text; what is left to read is the piece that the first of them matched
-    piece = F.coalesce(*[F.regexp_substr(whole, F.lit(f)) for f in forms.values()])
-    return F.get(F.transform(F.array(piece), lambda t: _read(t, forms)), 0)
-
-
-def _read(t: Column, forms: dict[str, str]) -> Column:
-    g = lambda f, i: F.regexp_extract(t, forms[f], i)
-    n = lambda f, i: g(f, i).try_cast("int")
-    span = lambda a, b: F.struct(a.alias("first"), F.date_add(b, 1).alias("end"))
-    one = _day(n("one", 3), n("one", 2), n("one", 1))
-    named = _day(n("named", 3), month_number(g("named", 2)), n("named", 1))
-    found = (
-        F.when(t.rlike(forms["numeric"]), span(_day(n("numeric", 3), n("numeric", 2), n("numeric", 1)), _day(F.coalesce(n("numeric", 6), n("numeric", 3)), n("numeric", 5), n("numeric", 4))))
-        .when(t.rlike(forms["months"]), span(_day(n("months", 5), month_number(g("months", 2)), n("months", 1)), _day(n("months", 5), month_number(g("months", 4)), n("months", 3))))
-        .when(t.rlike(forms["days"]), span(_day(n("days", 4), month_number(g("days", 3)), n("days", 1)), _day(n("days", 4), month_number(g("days", 3)), n("days", 2))))
-        .when(t.rlike(forms["one"]), span(one, one))
-        .when(t.rlike(forms["named"]), span(named, named))
-    )
-    return F.when(found["first"].isNotNull() & found["end"].isNotNull(), found)
+    return F.get(F.filter(F.transform(F.array(F.split(F.regexp_replace(text, _SPAN, "$1$2$3$4$5"), f"[^{_LETTERS}0-9]+")), _read), lambda s: s["first"].isNotNull() & s["end"].isNotNull()), 0)
+
+
+def _read(t: Column) -> Column:
+    """The span of a piece's parts, by their number: d m y d m [y], d name d name y, d d name y, or d m y."""
+    n = F.size(t)
+    at = lambda i: F.get(t, F.lit(i))
+    back = lambda i: F.get(t, n - i)
+    month = lambda c: F.when(c.rlike("^[0-9]"), c).otherwise(month_number(c).cast("string"))
+    year = F.coalesce(F.nullif(back(1), F.lit("")), at(2))
+    first = _day(F.when(n == 6, at(2)).otherwise(year), month(F.when(n == 4, at(2)).otherwise(at(1))), at(0))
+    return F.struct(first.alias("first"), F.date_add(_day(year, month(back(2)), back(3)), 1).alias("end"))
 
 
 def german_time(text: Column) -> Column:
