@@ -28,6 +28,11 @@ def ics_roundtrip(spark, sf_dir):
     return ics.parse(said).select(F.col("source_event_uid").cast("long").alias("o_orderkey"), "title", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("starts"), F.col("source_sequence").cast("long").alias("seq"), "status")
 
 
+def _spread(rows):
+    """Orders over all cores: a file of them is small beside the pages that are made of it, so its parts are too few."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
+
+
 _STATES = ["EventCancelled", "https://schema.org/eventcancelled", "cancelled", "https://schema.org/EventPostponed", "EventRescheduled", "tentative", "https://schema.org/EventScheduled"]
 
 
@@ -50,7 +55,7 @@ def jsonld_roundtrip(spark, sf_dir):
     again = F.replace(event, hall, F.lit("Elsewhere"))  # told once more, so it is left out
     deep = F.when(k % 50 == 0, F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), F.lit(3000)), F.lit("</script>"))).otherwise("")
     page = F.concat(F.lit("<html>"), deep, F.lit('<script type="application/ld+json">{"@graph":['), event, F.when(k % 4 == 0, F.concat(F.lit(","), again)).otherwise(""), F.lit("]}</script></html>"))
-    orders = table(spark, sf_dir, "orders").select(F.lit("o").alias("source_id"), F.concat(F.lit("https://x/"), "o_orderkey").alias("url"), page.alias("body"))
+    orders = _spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")).select(F.lit("o").alias("source_id"), F.concat(F.lit("https://x/"), "o_orderkey").alias("url"), page.alias("body"))
     found = jsonld.parse(orders)
     return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("o_orderkey"), "title", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "location", "status", F.nullif(F.regexp_extract("source_x_id", r"^jsonld:([^:]*):", 1), F.lit("")).cast("long").alias("ident"))
 
@@ -141,7 +146,7 @@ def detail_roundtrip(spark, sf_dir):
     other = F.concat(F.lit('<address class="d1i-address"><h4 class="d1i-section__subtitle">'), label, F.lit("</h4>"), line(F.concat(F.lit("Club "), "o_custkey")), line(F.lit("2 Town")), F.lit("</address>"))
     site = F.concat(F.lit('<section id="d1iSidebarButtonsSection"><a href="/map">Karte</a><a href="'), F.when(k % 2 == 0, F.concat(F.lit("https://club/"), k)).otherwise("mailto:x"), F.lit('">WEBSITE</a></section>'))
     body = F.concat(F.lit('<h1 class="d1i-head__title">Order '), k, F.lit('</h1><div id="descriptionText"><div class="toujou-text-clamper__content">Wann? '), when, F.lit("."), hours, F.lit('</div></div><section id="d1iAddressesSection">'), place, other, F.lit("</section>"), site)
-    pages = table(spark, sf_dir, "orders").select(F.lit("o").alias("source_id"), F.concat(F.lit("https://x/fair-"), k, F.lit("/")).alias("url"), body.alias("body"))
+    pages = _spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(F.lit("o").alias("source_id"), F.concat(F.lit("https://x/fair-"), k, F.lit("/")).alias("url"), body.alias("body"))
     local = lambda c: F.date_format(F.from_utc_timestamp(c, "Europe/Berlin"), "yyyy-MM-dd HH:mm")
     found = detail.parse(pages, pages)
     return found.select(F.regexp_extract("url", r"(\d+)/$", 1).cast("long").alias("o_orderkey"), "title", local("start").alias("starts"), local("end").alias("ends"), "all_day", "location", "organizer", "event_url")

@@ -6,27 +6,30 @@ under the label of an organiser is the organiser.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from .profiles import attr, first, observed, said
-from .selectors import PAGE, within
+from .profiles import observed, pick
+from .selectors import PAGE, gathered
 
 # Elements of such pages, the label of an organiser, the name of the link to the event's own page.
 TITLE, DESCRIPTION, ADDRESS, LINKS = "h1.d1i-head__title", "#descriptionText .toujou-text-clamper__content", "#d1iAddressesSection address.d1i-address", "#d1iSidebarButtonsSection a[href]"
 LINE, LINKED, LABEL = "d1i-address__info", "d1i-address__info--with-link", ".d1i-section__subtitle"
 ORGANISER, WEBSITE = "veranstalter", "website"
-HOURS = r"(?i)Beginn(?:\s+ist)?(?:\s+jeweils)?\s+um\s+(\d{1,2})(?::(\d{2}))?\s*Uhr.{0,120}?Ende(?:\s+gegen|\s+um)?\s+(\d{1,2})(?::(\d{2}))?\s*Uhr"
+HOURS = r"(?i:Beginn(?:\s+ist)?(?:\s+jeweils)?\s+um\s+(\d{1,2})(?::(\d{2}))?\s*Uhr(?-s:.){0,120}?Ende(?:\s+gegen|\s+um)?\s+(\d{1,2})(?::(\d{2}))?\s*Uhr)"
 
 
 def clock_range(said: Column) -> Column:
     """struct(first, last): minutes after midnight at which a text says that something begins and ends; null where it doesn't say so."""
-    piece = F.regexp_substr(said, F.lit(HOURS))
-    part = lambda i: F.regexp_extract(piece, HOURS, i).try_cast("int")
-    minutes = lambda h, m: part(h) * 60 + F.coalesce(part(m), F.lit(0))
-    fine = (part(1) < 24) & (part(3) < 24) & (F.coalesce(part(2), F.lit(0)) < 60) & (F.coalesce(part(4), F.lit(0)) < 60)
-    return F.when(piece.isNotNull() & fine, F.struct(minutes(1, 2).alias("first"), minutes(3, 4).alias("last")))
+    t = F.split(F.regexp_replace(said, f"(?s)^(?:.*?{HOURS}|).*", "$1 $2 $3 $4"), " ")
+
+    def read(t: Column) -> Column:
+        h, m, h2, m2 = [F.get(t, F.lit(i)).try_cast("int") for i in range(4)]
+        m, m2 = F.coalesce(m, F.lit(0)), F.coalesce(m2, F.lit(0))
+        return F.when((h < 24) & (h2 < 24) & (m < 60) & (m2 < 60), F.struct((h * 60 + m).alias("first"), (h2 * 60 + m2).alias("last")))
+
+    return F.get(F.transform(F.array(t), read), F.lit(0))
 
 
 def instants(span: Column, clock: Column) -> tuple[Column, Column]:
@@ -39,31 +42,43 @@ def instants(span: Column, clock: Column) -> tuple[Column, Column]:
     return F.when(whole, dates.berlin_midnight(span["first"])).otherwise(start), F.when(whole, dates.berlin_midnight(span["end"])).otherwise(end)
 
 
-def addresses(nodes: DataFrame) -> DataFrame:
-    """(source_id, url, location, organizer)."""
-    found = within(nodes, ADDRESS, {"line": f".{LINE}", "label": LABEL}).withColumn("t", said())
-    order = Window.partitionBy(*PAGE, "row").orderBy("n")
-    governed = found.withColumn("label", F.last(F.when(F.col("field") == "label", text.casefold(F.col("t"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    line = (F.col("field") == "line") & F.col("t").isNotNull()
-    plain = line & ~F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), LINKED)
-    blocks = governed.groupBy(*PAGE, "row").agg(
-        F.array_sort(F.collect_list(F.when(plain, F.struct("n", "t")))).alias("lines"), F.min_by(F.when(line & (F.col("label") == ORGANISER), F.col("t")), F.when(line & (F.col("label") == ORGANISER), F.col("n"))).alias("organizer")
-    )
-    place = F.nullif(F.array_join(F.array_distinct(F.transform(F.min_by("lines", "row"), lambda x: x["t"])), ", "), F.lit(""))
-    return blocks.groupBy(*PAGE).agg(place.alias("location"), F.min_by("organizer", F.when(F.col("organizer").isNotNull(), F.col("row"))).alias("organizer"))
+def _addresses(scopes: Column) -> Column:
+    """struct(location, organizer): the lines of the first block, and the first line under an organiser's label."""
+    none = F.lit(None).cast("string")
+
+    def block(s: Column) -> Column:
+        start = F.struct(none.alias("label"), none.alias("organizer"), F.array().cast("array<string>").alias("lines"))
+
+        def step(a: Column, x: Column) -> Column:
+            label, line = x["field"] == "label", (x["field"] == "line") & x["t"].isNotNull()
+            plain = line & ~F.array_contains(F.split(F.coalesce(x["attrs"]["class"], F.lit("")), r"\s+"), LINKED)
+            return F.struct(
+                F.when(label & x["t"].isNotNull(), text.casefold(x["t"])).otherwise(a["label"]).alias("label"), F.coalesce(a["organizer"], F.when(line & (a["label"] == ORGANISER), x["t"])).alias("organizer"),
+                F.when(plain, F.array_append(a["lines"], x["t"])).otherwise(a["lines"]).alias("lines"),
+            )
+
+        return F.aggregate(s["found"], start, step, lambda a: F.struct(a["lines"], a["organizer"]))
+
+    blocks = F.transform(F.filter(scopes, lambda s: s["search"] == "address"), block)
+    organizers = F.filter(F.transform(blocks, lambda b: b["organizer"]), lambda o: o.isNotNull())
+    return F.struct(F.nullif(F.array_join(F.array_distinct(F.get(blocks, F.lit(0))["lines"]), ", "), F.lit("")).alias("location"), F.get(organizers, F.lit(0)).alias("organizer"))
 
 
 def parse(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """An observation for each page with a title, a description and a date in it. pages: source_id, url, body."""
-    parts = within(nodes, "", {"title": TITLE, "description": DESCRIPTION, "link": LINKS})
-    site = (F.col("field") == "link") & (text.casefold(said()) == WEBSITE) & F.trim(attr("href")).rlike("^https?://")
-    heads = parts.groupBy(*PAGE).agg(first("title").alias("title"), first("description").alias("description"), F.min_by(F.when(site, F.trim(attr("href"))), F.when(site, F.col("n"))).alias("site"))
-    known = heads.filter("title is not null and description is not null").withColumn("span", dates.german_range(F.col("description"))).filter("span is not null").withColumn("clock", clock_range(F.col("description")))
-    rows = known.join(addresses(nodes), PAGE, "left").join(pages.select(*PAGE, F.sha2("body", 256).alias("raw_content_hash")), PAGE)
+    hashed = pages.select(*PAGE, "body", F.sha2("body", 256).alias("raw_content_hash"))
+    searches = {"page": ("", {"title": TITLE, "description": DESCRIPTION, "link": LINKS}), "address": (ADDRESS, {"line": f".{LINE}", "label": LABEL})}
+    found = gathered(hashed, searches) if "body" in nodes.columns else gathered(nodes, searches).join(hashed.drop("body"), PAGE)
+    site = lambda x: (x["field"] == "link") & (text.casefold(x["t"]) == WEBSITE) & F.trim(x["attrs"]["href"]).rlike("^https?://")
+    heads = found.withColumn("found", F.get(F.filter("scopes", lambda s: s["search"] == "page"), F.lit(0))["found"])
+    named = heads.withColumns({"title": pick("title")["t"], "description": pick("description")["t"], "site": F.trim(F.get(F.filter("found", site), F.lit(0))["attrs"]["href"])})
+    known = named.filter("title is not null and description is not null").withColumn("span", dates.german_range(F.col("description"))).filter("span is not null").withColumn("clock", clock_range(F.col("description")))
+    rows = known.withColumn("blocks", _addresses(F.col("scopes")))
     start, end = instants(F.col("span"), F.col("clock"))
     path = F.regexp_replace("url", "^[a-zA-Z]+://[^/?#]*|[?#].*$", "")
     ident = F.coalesce(F.nullif(F.regexp_extract(path, r"-(\d+)/?$", 1), F.lit("")), text.casefold(F.col("title")))
+    whole = rows.select(*PAGE, "raw_content_hash", F.lit(0).alias("row"), "title", "description", "site", "blocks.*", start.alias("start"), end.alias("end"), F.col("clock").isNull().alias("all_day"), ident.alias("ident"))
     return observed(
-        rows.withColumn("row", F.lit(0)), "row", title=F.col("title"), start=start, end=end, all_day=F.col("clock").isNull(), location=F.col("location"), description=F.col("description"), organizer=F.col("organizer"),
-        event_url=F.coalesce("site", "url"), source_x_id=F.concat(F.lit("detail:"), ident, F.lit(":"), dates.iso_berlin(start)),
+        whole, "row", title=F.col("title"), start=F.col("start"), end=F.col("end"), all_day=F.col("all_day"), location=F.col("location"), description=F.col("description"), organizer=F.col("organizer"),
+        event_url=F.coalesce("site", "url"), source_x_id=F.concat(F.lit("detail:"), "ident", F.lit(":"), dates.iso_berlin(F.col("start"))),
     )

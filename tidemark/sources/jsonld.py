@@ -71,8 +71,7 @@ def _plain(value) -> str | None:
         return None
     if "<" in value or "&" in value:
         tree = html_nodes.Nodes()
-        tree.feed(value)
-        tree.close()
+        tree.read(value)
         value = " ".join(t for t in tree.text if t)
     return " ".join(value.split()) or None
 

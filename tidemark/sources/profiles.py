@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from .selectors import PAGE, within
+from .selectors import PAGE, gathered, within
 
 # By what a site's pages are recognised.
 MARKUP = {"listing": ".cal-list-event", "table-rows": "table.ce-table", "dated-list": ".veranstaltungen .entryBody", "cards": 'main .wrapper-inner a[title="Zur Veranstaltung"]', "paragraphs": "#content_main"}
@@ -33,18 +33,38 @@ def attr(name: str) -> Column:
     return F.element_at("attrs", name)
 
 
+def pick(field: str) -> Column:
+    """The first element of a field, of those found in a scope (see gathered)."""
+    return F.get(F.filter("found", lambda x: x["field"] == field), F.lit(0))
+
+
+def picked(*fields: str) -> dict[str, Column]:
+    """The texts of such elements."""
+    return {f: pick(f)["t"] for f in fields}
+
+
+def scoped(nodes: DataFrame, scope: str, fields: dict[str, str], pieces: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each element that scope selects: row, found, and what else is known of its page."""
+    rows = gathered(nodes, {"scope": (scope, fields)}, pieces)
+    return rows.withColumn("s", F.explode("scopes")).select(*[c for c in rows.columns if c != "scopes"], "s.row", "s.found")
+
+
+#: What finish needs to know of a page.
+GIVEN = {"raw_content_hash": "string", "default_location": "string", "default_organizer": "string", "skip_titles": "array<string>"}
+
+
 def raw(rows: DataFrame, **columns: Column) -> DataFrame:
     """Rows of a profile; what isn't given is null."""
     none = F.lit(None).cast("string")
     names = ("title", "when", "time", "location", "description", "organizer", "link", "ident")
-    return rows.select(*PAGE, "row", *[columns.get(n, none).alias(n) for n in names])
+    return rows.select(*PAGE, "row", *[c for c in GIVEN if c in rows.columns], *[columns.get(n, none).alias(n) for n in names])
 
 
 def listing(nodes: DataFrame) -> DataFrame:
     """Blocks with day, month, year, time and title in elements of their own."""
     parts = ("cal-list-title", "cal-date-day", "cal-date-month", "cal-date-year", "cal-date-time", "cal-list-type", "cal-list-teaser", "cal-list-place")
-    found = within(nodes, ".cal-list-event", {p: f".{p}" for p in parts} | {"link": ".cal-button a[href]"})
-    rows = found.groupBy(*PAGE, "row").agg(*[first(p).alias(p) for p in parts], first("link", attr("href")).alias("link")).filter("`cal-date-time` is not null")
+    found = scoped(nodes, ".cal-list-event", {p: f".{p}" for p in parts} | {"link": ".cal-button a[href]"})
+    rows = found.withColumns(picked(*parts) | {"link": pick("link")["attrs"]["href"]}).filter("`cal-date-time` is not null")
     when = F.concat(F.concat("cal-date-day", F.lit(".")), F.lit(" "), "cal-date-month", F.lit(" "), "cal-date-year")
     ident = F.nullif(F.regexp_extract("link", r"/(\d+)/detail(?:$|[?#])", 1), F.lit(""))
     c = F.col
@@ -53,9 +73,9 @@ def listing(nodes: DataFrame) -> DataFrame:
 
 def table_rows(nodes: DataFrame) -> DataFrame:
     """Rows of a table: date, time, title; short rows and those without a clock time are skipped."""
-    cells = within(nodes, "table.ce-table tr", {"cell": "td"}).groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce(said(), F.lit("")).alias("t")))).alias("c"))
-    cell = lambda i: F.get("c", F.lit(i))["t"]
-    return raw(cells.filter(F.size("c") >= 3), title=F.nullif(cell(2), F.lit("")), when=F.regexp_substr(cell(0), F.lit(r"\d{1,2}\.\d{1,2}\.20\d{2}")), time=cell(1)).filter(r"time rlike '\\d{1,2}[.:]\\d{2}'")
+    cells = scoped(nodes, "table.ce-table tr", {"cell": "td"})
+    cell = lambda i: F.coalesce(F.get("found", F.lit(i))["t"], F.lit(""))
+    return raw(cells.filter(F.size("found") >= 3), title=F.nullif(cell(2), F.lit("")), when=F.regexp_substr(cell(0), F.lit(r"\d{1,2}\.\d{1,2}\.20\d{2}")), time=cell(1)).filter(r"time rlike '\\d{1,2}[.:]\\d{2}'")
 
 
 def dated_list(nodes: DataFrame) -> DataFrame:
@@ -77,8 +97,8 @@ def dated_list(nodes: DataFrame) -> DataFrame:
 
 def cards(nodes: DataFrame) -> DataFrame:
     """Cards with a headline, a date or range in bold, and a link to the event."""
-    found = within(nodes, "main .wrapper-inner", {"title": "h2.ce_headline", "when": ".ce_text strong", "body": ".ce_text", "link": 'a[title="Zur Veranstaltung"][href]'})
-    rows = found.groupBy(*PAGE, "row").agg(first("title").alias("title"), first("when").alias("when"), first("body").alias("body"), first("link", attr("href")).alias("link")).filter("title is not null and when is not null and link is not null")
+    found = scoped(nodes, "main .wrapper-inner", {"title": "h2.ce_headline", "when": ".ce_text strong", "body": ".ce_text", "link": 'a[title="Zur Veranstaltung"][href]'})
+    rows = found.withColumns(picked("title", "when", "body") | {"link": pick("link")["attrs"]["href"]}).filter("title is not null and when is not null and link is not null")
     at = F.position(F.col("when"), F.col("body"))
     rest = F.when(at > 0, F.concat(F.substring("body", F.lit(1), at - 1), F.substring("body", at + F.length("when"), F.length("body")))).otherwise(F.col("body"))
     ident = text.slug(F.regexp_replace("link", "^[a-zA-Z]+://[^/]*|[?#].*$", ""))
@@ -119,11 +139,17 @@ def absolute(base: Column, link: Column) -> Column:
     return F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(urls.scheme(base), F.lit(":"), link)).when(link.startswith("/"), F.concat(origin, link)).when(link.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), link)).otherwise(F.concat(folder, F.lit("/"), link))
 
 
+def known(pages: DataFrame) -> DataFrame:
+    """Pages with what finish needs to know of them."""
+    given = [F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in GIVEN.items() if c != "raw_content_hash"]
+    return pages.select(*PAGE, "body", F.sha2("body", 256).alias("raw_content_hash"), *given)
+
+
 def finish(raw: DataFrame, pages: DataFrame, profile: str) -> DataFrame:
     """Observations: timed where a time is given, else all days from the first to the last one."""
-    given = [F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("default_location", "string"), ("default_organizer", "string"), ("skip_titles", "array<string>"))]
-    said_of = pages.select(*PAGE, F.sha2("body", 256).alias("raw_content_hash"), *given)
-    rows = raw.withColumn("span", dates.german_range(F.col("when"))).withColumn("minutes", dates.german_time(F.col("time"))).filter("span is not null and title is not null").join(said_of, PAGE)
+    rows = raw.withColumn("span", dates.german_range(F.col("when"))).withColumn("minutes", dates.german_time(F.col("time"))).filter("span is not null and title is not null")
+    if any(c not in raw.columns for c in GIVEN):
+        rows = rows.join(known(pages).drop("body"), PAGE)
     skipped = F.exists(F.coalesce("skip_titles", F.array().cast("array<string>")), lambda t: text.casefold(t) == text.casefold(F.col("title")))
     rows = rows.filter(~skipped)
     midnight = F.col("span.first").cast("timestamp_ntz")
@@ -148,4 +174,4 @@ def observed(rows: DataFrame, row: str, **c: Column) -> DataFrame:
 
 
 def parse(pages: DataFrame, nodes: DataFrame, profile: str) -> DataFrame:
-    return finish(PROFILES[profile](nodes), pages, profile)
+    return finish(PROFILES[profile](known(nodes) if "body" in nodes.columns else nodes), pages, profile)
