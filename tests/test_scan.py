@@ -30,3 +30,11 @@ def test_pacing_under_growing_delays(spark):
         known[host] = max(known.get(host, 0), d or 0)
         last[host] = max(a, last[host] + known[host]) if host in last else a
         assert got[i] == last[host]
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    from tidemark.plans.operator_queries import _numbered
+
+    got = _numbered(spark.range(1000).select((F.col("id") * 7919 % 1000 * 3).alias("key")), "key")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r.k) for r in got.collect()} == {(3 * i, i) for i in range(1000)}

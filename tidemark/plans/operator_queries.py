@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import reconcile
+from ..operators import reconcile, scan
 from ..sources import fetch, jsonld, model
 from . import export
 from .scalar_queries import table
@@ -89,12 +89,17 @@ def identity_fold(spark, sf_dir):
     return folded.select(F.col("obs_ord").alias("o_orderkey"), "event_id", "is_new")
 
 
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """A key with its place k, from 0: counted within ranges of keys, and over the ranges' totals."""
+    ranges = scan.blocks(rows.select(key, F.lit(0).alias("all")), "all", [key])
+    return scan.running(ranges, "all", [key], k=("sum", F.lit(1).cast("long"))).select(key, (F.col("k") - 1).alias("k"))
+
+
 @query("""with n as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as k from orders), f as (select o_orderkey, min(o_orderkey) over (partition by k // 40) as head, k // 40 as chain from n)
 select o_orderkey, case when chain % 3 = 0 then 'held' || chain else left(sha256('o' || chr(31) || 'r' || chr(31) || head), 32) end as event_id, chain % 3 <> 0 and o_orderkey = head as is_new from f""")
 def identity_chains(spark, sf_dir):
     """Orders in chains of forty, in which each has an alias in common with the next few only; every third chain's end leads to a stored event."""
-    place = F.row_number().over(Window.orderBy("o_orderkey")) - 1  # the fixture's numbering; a window over one column of orders
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", place.alias("k"))
+    rows = _numbered(table(spark, sf_dir, "orders"), "o_orderkey")
     seen = _observed(rows, "'o'", "o_orderkey", source_event_uid="cast(k div 4 as string)", source_x_id="if(k % 40 in (0, 1, 38, 39), null, cast((k + 2) div 4 as string))", title="cast(o_orderkey as string)")
     held = _held(rows, "ics_uid", "cast(k div 4 as string)", "'o'", "concat('held', k div 40)", "k % 40 = 0 and k div 40 % 3 = 0")
     return reconcile.assign(seen, held).select(F.col("obs_ord").alias("o_orderkey"), "event_id", "is_new")
