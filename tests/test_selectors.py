@@ -119,3 +119,28 @@ def test_jsonld_odd_pages(spark):
 def test_markup_is_recognised_by_the_profile(spark):
     pages = spark.createDataFrame([("a", "u1", "<main><div class='wrapper-inner'><a title='Impressum'>x</a></div></main>", "cards"), ("a", "u2", "<div class='veranstaltungen'><p><b class='entryBody'></b></p></div>", "dated-list"), ("a", "u3", "<b class='entryBody'></b>", "dated-list"), ("a", "u4", "<table class='ce-table'>", "table-rows")], "source_id string, url string, body string, profile string")
     assert {r.url for r in profiles.recognised(pages, html_nodes.nodes).collect()} == {"u2", "u4"}
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    rng = random.Random(3)
+    bits = ["<p>", "</p>", '<P Class="a b">', '<div id="x" class>', "</DIV>", "<br>", "<br/>", "<a href=x>", '<a href="?a=1&amp;b">', "</a>", "t ", "\n", "a &amp; b", "&lt", "< b", "</", "</p >", "<!-- c -->", "<script>x<y</script>", "<title>a<b></title>", "<nav>", "</nav>", '<img src="a" src="b">', '<p class="a"id="b">', "<?x?>"]
+    plain = 0
+    for _ in range(5000):
+        body = "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))
+        one, two = html_nodes.Nodes(), html_nodes.Nodes()
+        one.feed(body)
+        one.close()
+        two.read(body)
+        plain += sum(map(len, html_nodes.PLAIN.findall(body))) == len(body)
+        assert [one.last, one.depth, one.tag, one.attrs, one.text] == [two.last, two.depth, two.tag, two.attrs, two.text], body
+    assert 500 < plain < 4500
+
+
+def test_pages_are_gathered_without_a_shuffle(spark):
+    body = "<main><div class='wrapper-inner'><h2 class='ce_headline'>T</h2><div class='ce_text'><p><strong>1.5.2030</strong>: much</p></div><a href='/e' title='Zur Veranstaltung'>x</a></div></main>"
+    pages = page(spark, body).unionByName(page(spark, "", "https://x/q"))
+    for name in ("cards", "listing", "table-rows"):
+        assert "Exchange" not in profiles.parse(pages, pages, name)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in detail.parse(pages, pages)._jdf.queryExecution().executedPlan().toString()
+    once, rows = profiles.parse(pages, pages, "cards").collect(), profiles.parse(pages, html_nodes.nodes(pages), "cards").collect()
+    assert once == rows and [r.description for r in once] == ["much"]
