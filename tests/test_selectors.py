@@ -5,6 +5,7 @@ import random
 import time
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,15 @@ def test_pages_are_gathered_without_a_shuffle(spark):
     assert "Exchange" not in detail.parse(pages, pages)._jdf.queryExecution().executedPlan().toString()
     once, rows = profiles.parse(pages, pages, "cards").collect(), profiles.parse(pages, html_nodes.nodes(pages), "cards").collect()
     assert once == rows and [r.description for r in once] == ["much"]
+
+
+def test_jsonld_pages_share_a_batch():
+    event = '{"@type":"Event","name":"%s","startDate":"2030-01-01"}'
+    said = lambda names: f'<script type="application/ld+json">[{",".join(event % n for n in names)},7,"x"]</script>'
+    pages = [[f"p{i}-{k}" for k in range(i % 4)] for i in range(900)] + [[f"many-{k}" for k in range(2 * jsonld.ROWS)], ["last"]]
+    bodies = [None, "<p>none</p>", *map(said, filter(None, pages))]
+    given = pa.RecordBatch.from_arrays([pa.array(c) for c in (["s"] * len(bodies), [f"u{i}" for i in range(len(bodies))], ["h"] * len(bodies), bodies)], ["source_id", "url", "raw_content_hash", "body"])
+    got = list(jsonld._read(iter([given])))
+    assert len(got) == 2
+    rows = [(r["row"], r["name"]) for b in got for r in b.to_pylist()]
+    assert rows == [(k, n) for names in pages for k, n in enumerate(names)]

@@ -16,6 +16,9 @@ from . import html_nodes
 
 SCRIPT = re.compile(r'(?is)<script[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>')
 FIELDS = ["name", "start", "end", "description", "location", "organizer", "identifier", "status", "link"]
+ARROW = pa.schema([(c, pa.string()) for c in ("source_id", "url", "raw_content_hash")] + [("row", pa.int32())] + [(f, pa.string()) for f in FIELDS])
+#: Event objects that are passed on at a time; those of one page stay together.
+ROWS = 5000
 
 
 def _walk(value) -> Iterator[dict]:
@@ -24,12 +27,13 @@ def _walk(value) -> Iterator[dict]:
     while rest:
         value = rest.pop()
         if isinstance(value, dict):
-            kinds = value.get("@type")
-            if any(str(k).rsplit("/", 1)[-1].casefold() == "event" for k in (kinds if isinstance(kinds, list) else [kinds])):
-                yield value
-            value = list(value.values())
-        if isinstance(value, list):
-            rest.extend(reversed(value))
+            if kinds := value.get("@type"):
+                if any(str(k).rsplit("/", 1)[-1].casefold() == "event" for k in (kinds if isinstance(kinds, list) else [kinds])):
+                    yield value
+            value = value.values()
+        elif not isinstance(value, list):
+            continue
+        rest.extend([v for v in reversed(value) if isinstance(v, (dict, list))])
 
 
 def _named(value) -> str | None:
@@ -76,26 +80,39 @@ def _plain(value) -> str | None:
     return " ".join(value.split()) or None
 
 
-def objects(pages: DataFrame) -> DataFrame:
-    """(source_id, url, raw_content_hash, row, fields): each event object of a page, in document order, its fields as text."""
+def _told(body: str) -> Iterator[tuple]:
+    """The fields of each event object of a page, in document order."""
+    for raw in SCRIPT.findall(body):
+        try:
+            found = list(_walk(json.loads(raw)))
+        except (ValueError, RecursionError):  # not JSON, or nested beyond what the reader takes
+            continue
+        for e in found:
+            said = (_named(e.get("name")), *(x if isinstance(x, str) else None for x in (e.get("startDate"), e.get("endDate"))), _plain(e.get("description")))
+            link = e.get("url")
+            yield (*said, _place(e.get("location")), _named(e.get("organizer")), _identifier(e.get("identifier")), str(e.get("eventStatus") or ""), link.strip() if isinstance(link, str) else None)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for source, url, digest, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The event objects of many pages go on together: a batch for each page costs far more than what it holds."""
+    for b in batches:
+        rows = []
+        for page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows.extend((*page[:3], i, *e) for i, e in enumerate(_told(page[3] or "")))
+            if len(rows) >= ROWS:
+                yield _batch(rows)
                 rows = []
-                for raw in SCRIPT.findall(body or ""):
-                    try:
-                        found = list(_walk(json.loads(raw)))
-                    except (ValueError, RecursionError):  # not JSON, or nested beyond what the reader takes
-                        continue
-                    for e in found:
-                        said = (_named(e.get("name")), *(x if isinstance(x, str) else None for x in (e.get("startDate"), e.get("endDate"))), _plain(e.get("description")))
-                        link = e.get("url")
-                        rows.append([*said, _place(e.get("location")), _named(e.get("organizer")), _identifier(e.get("identifier")), str(e.get("eventStatus") or ""), link.strip() if isinstance(link, str) else None])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(rows), pa.string()) for x in (source, url, digest)] + [pa.array(range(len(rows)), pa.int32())] + [pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], ["source_id", "url", "raw_content_hash", "row", *FIELDS])
-
-    return pages.select("source_id", "url", F.sha2("body", 256).alias("raw_content_hash"), "body").mapInArrow(run, "source_id string, url string, raw_content_hash string, row int, " + ", ".join(f"{f} string" for f in FIELDS))
+        if rows:
+            yield _batch(rows)
+
+
+def objects(pages: DataFrame) -> DataFrame:
+    """(source_id, url, raw_content_hash, row, fields): each event object of a page, in document order, its fields as text."""
+    return pages.select("source_id", "url", F.sha2("body", 256).alias("raw_content_hash"), "body").mapInArrow(_read, "source_id string, url string, raw_content_hash string, row int, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
 def moment(value: Column) -> Column:
