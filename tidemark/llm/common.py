@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,21 +65,30 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """The files of the shuffles of what is planned and run inside are freed at its end, not when the driver happens to collect its garbage."""
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(freed, "false")
+    spark.conf.set(freed, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(freed, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder, without its lineage."""
+    """df, computed once and stored in the shared folder, without its lineage; the files of its shuffles are freed as soon as it is stored."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, as the setting holds for what is planned under it
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once and stored as a table in the shared folder; the files of its shuffles are freed as soon as it is written."""
-    spark, path, freed = df.sparkSession, scratch(df.sparkSession, "stored"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(freed, "false")
-    spark.conf.set(freed, "true")
-    try:
+    spark, path = df.sparkSession, scratch(df.sparkSession, "stored")
+    with _freeing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(freed, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
