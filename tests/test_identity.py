@@ -65,3 +65,15 @@ def test_no_group_is_larger_than_its_component(spark):
     assert labels.groupBy("component").count().agg(F.max("count")).first()[0] == 2  # two observations and their alias
     got = reconcile.assign(seen, none)
     assert got.select("event_id").distinct().count() == 200 and got.filter("is_new").count() == 200
+
+
+def test_only_shared_aliases_reach_the_components(spark):
+    rows = [("s", i, f"u{i // 3}", f"x{i}", f"https://x/{i}", f"title {i}", datetime(2026, 5, 1), "r") for i in range(90)]
+    seen = spark.createDataFrame(rows, SEEN)
+    candidates = reconcile.candidate_aliases(seen.withColumn("event_id", F.lit(None).cast("string"))).select("source_id", "obs_ord", "alias_type", "alias_value")
+    held = spark.createDataFrame([("x_id", "x0", "s", "e", datetime(2026, 1, 1)), ("ics_uid", "alone", "s", "other", datetime(2026, 1, 1))], reconcile.ALIASES)
+    bonds = reconcile._direct(reconcile._bonds(candidates, held))
+    nodes = seen.select(reconcile._node("o", "obs_ord").alias("a"), F.col("obs_ord").alias("n")).unionByName(held.select(reconcile._node("e", "event_id").alias("a"), F.lit(-1).cast("long").alias("n")))
+    pairs = {frozenset((r[0], r[1])) for r in bonds.join(nodes, "a").join(nodes.toDF("b", "m"), "b").select("n", "m").collect()}
+    assert bonds.count() == len(pairs) == 61 and frozenset((-1, 0)) in pairs
+    assert all(a // 3 == b // 3 for a, b in map(tuple, pairs - {frozenset((-1, 0))}))

@@ -43,7 +43,7 @@ def assign(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     keyed = observations.select("source_id", "obs_ord", "source_event_uid", "source_x_id", "source_url", text.weak_fingerprint(F.col("title"), F.date_format(dates.berlin_day(F.col("start")), "yyyy-MM-dd")).alias("fingerprint"), "run_id")
     candidates = candidate_aliases(observations.withColumn("event_id", F.lit(None).cast("string"))).select("source_id", "obs_ord", "alias_type", "alias_value").checkpoint()
     held = touched(aliases, candidates).checkpoint()
-    labels = components.components(_bonds(candidates, held))
+    labels = components.components(_direct(_bonds(candidates, held)))
     # components share a group where they are small: the fold keeps them apart, and a group costs more than a row
     groups = max(int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // ALIASES_A_GROUP))
     number = F.pmod(F.coalesce("component", "node"), F.lit(groups)).alias("component")
@@ -79,6 +79,16 @@ def _bonds(candidates: DataFrame, held: DataFrame) -> DataFrame:
     return bound.select(_node("o", "obs_ord").alias("a"), alias).unionByName(held.select(_node("e", "event_id").alias("a"), alias))
 
 
+def _direct(bonds: DataFrame) -> DataFrame:
+    """(a, b): bonds between observations and stored events only, those of an alias each with the smallest of them.
+
+    With the alias as a node of its own, paths would be twice as long, and one that nothing shares would go through all rounds.
+    """
+    owners = bonds.checkpoint()
+    least = owners.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least < most").drop("most")
+    return owners.join(least, "b").filter("a <> least").select("a", F.col("least").alias("b"))
+
+
 def fold(obs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """Gives each observation its event, in order; held are the stored aliases that they can meet."""
 
