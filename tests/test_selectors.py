@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import dates
 from tidemark.sources import detail, html_nodes, jsonld, profiles, selectors
 
 
@@ -157,3 +158,94 @@ def test_jsonld_pages_share_a_batch():
     assert len(got) == 2
     rows = [(r["row"], r["name"]) for b in got for r in b.to_pylist()]
     assert rows == [(k, n) for names in pages for k, n in enumerate(names)]
+
+
+def by_fields(body, searches, attrs):
+    """What gathered gives for a page, from the parser's tree, one field at a time."""
+    tree, out = html_nodes.Nodes(), {}
+    tree.feed(body)
+    tree.close()
+    for name, (scope, fields) in searches.items():
+        found = selectors.Page("", "", scope, list(fields), list(fields.values())).all(tree)
+        out[name] = [
+            {"row": row} | {f: [{"n": m[4], "t": " ".join(t for _, t in m[8]) or None} | {a: dict(m[7]).get(a) for a in attrs.get(f, ())} for m in sorted(found, key=lambda m: m[4]) if m[2:4] == (row, f)] for f in fields}
+            for row in sorted({m[2] for m in found})
+        ]
+    return out
+
+
+SEARCHES = {"page": ("", {"title": "p > b", "link": "a[href]"}), "box": ("div.box", {"p": "p, b", "other": "p:not(.a)", "deep": ":scope > * .a"})}
+BITS = ["<p>", "</p>", '<P Class="a b">', '<p class="ab">', '<div class="box">', "</DIV>", "<br>", "<br/>", "<b>", "</b>", '<a href="/%d">', '<a href="?a=1&amp;b">', "<a href=x%d>", "<a>", "</a>", "t%d ", " \n", "a &amp; b", "1 > 0", ">", "< b", "</", "<>", "<!-- c -->", "<script>x<y</script>", "<nav>", "</nav>"]
+
+
+def test_pages_of_a_shape_give_what_the_parser_gives():
+    rng = random.Random(5)
+    shapes = selectors.Shapes(SEARCHES, {"link": ("href", "class")})
+    for k in range(6000):
+        body = "".join(rng.choice(BITS) for _ in range(rng.randint(0, 9))).replace("%d", str(k))
+        page = pa.RecordBatch.from_arrays([pa.array([body])], ["body"])
+        got = selectors._with_found(page, [shapes.find(body)], SEARCHES, {"link": ("href", "class")}).to_pylist()
+        assert got == [by_fields(body, SEARCHES, {"link": ("href", "class")})], body
+
+
+def test_a_shape_is_searched_once(monkeypatch):
+    searched = []
+    whole = selectors.Page.all
+    monkeypatch.setattr(selectors.Page, "all", lambda self, tree: searched.append(1) or whole(self, tree))
+    shapes = selectors.Shapes(SEARCHES, {"link": ("href",)})
+    for k in range(300):
+        shape, texts, links = shapes.find(f'<div class="box"><p id="n{k}">one {k}</p><a href="/{k}">x</a></div>')
+        assert (texts, links) == (["x", f"one {k}", f"one {k}"], [f"/{k}"])
+    assert len(searched) == len(SEARCHES)
+    shapes.find('<div class="box"><p>one</p><a href="/"> </a></div>')  # no text in the link: a shape of its own
+    assert len(searched) == 2 * len(SEARCHES) and len(shapes.known) == 2
+
+
+def test_what_shapes_remember_is_bounded(monkeypatch):
+    monkeypatch.setattr(selectors, "MOST", 20)
+    monkeypatch.setattr(selectors, "MOST_IN_SHAPES", 50)
+    shapes = selectors.Shapes(SEARCHES, {})
+    for k in range(200):
+        body = f'<x{k}><div class="box">' + f'<p id="{k}">t</p>' * (k % 9)
+        assert selectors._with_found(pa.RecordBatch.from_arrays([pa.array([body])], ["body"]), [shapes.find(body)], SEARCHES, {}).to_pylist() == [by_fields(body, SEARCHES, {})]
+        assert shapes.size <= 50 and len(shapes.kinds) <= 20 and len(shapes.names) <= 30
+
+
+def test_a_class_that_is_lacking(spark):
+    nodes = html_nodes.nodes(page(spark, '<p class="a b">1</p><p class="a">2</p><p class="ab a">3</p><p>4</p>'))
+    found = selectors.within(nodes, "", {"a": ".a:not(.b)", "p": "p:not(.a)"}).collect()
+    assert sorted((r.field, r.pieces[0].t) for r in found) == [("a", "2"), ("a", "3"), ("p", "4")]
+
+
+def test_detail_addresses_are_governed_by_labels(spark):
+    rng = random.Random(11)
+    kinds = [("line", "d1i-address__info"), ("linked", "d1i-address__info d1i-address__info--with-link"), ("label", "d1i-section__subtitle")]
+    bodies, want = {}, {}
+    for k in range(60):
+        blocks, location, organizer = [], None, None
+        for b in range(rng.randint(0, 3)):
+            label, lines, mine, inside = None, [], None, ""
+            for i in range(rng.randint(0, 5)):
+                kind, css = rng.choice(kinds)
+                t = rng.choice(["", "VERANSTALTER", "Kontakt"] if kind == "label" else ["", f"L{i}", "Town"])
+                inside += f'<p class="{css}">{t}</p>'
+                if t and kind == "label":
+                    label = t.lower()
+                elif t:
+                    lines += [t] if kind == "line" else []
+                    mine = mine or (t if label == "veranstalter" else None)
+            blocks.append(f'<address class="d1i-address">{inside}</address>')
+            # a block in which nothing is selected isn't one
+            if location is None and inside:
+                location = ", ".join(dict.fromkeys(lines)) or ""
+            organizer = organizer or mine
+        bodies[f"https://x/fair-{k}"] = f'<h1 class="d1i-head__title">T</h1><div id="descriptionText"><div class="toujou-text-clamper__content">1.5.2030</div></div><section id="d1iAddressesSection">{"".join(blocks)}</section>'
+        want[f"https://x/fair-{k}"] = (location or None, organizer)
+    pages = spark.createDataFrame([("s", u, b) for u, b in bodies.items()], "source_id string, url string, body string")
+    for nodes in (pages, html_nodes.nodes(pages)):
+        assert {r.url: (r.location, r.organizer) for r in detail.parse(pages, nodes).collect()} == want
+
+
+def test_dates_of_detail_pages_are_read_once(spark):
+    pages = page(spark, "")
+    assert detail.parse(pages, pages)._jdf.queryExecution().executedPlan().toString().count(dates._SPAN) == 1

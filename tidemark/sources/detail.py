@@ -25,7 +25,7 @@ def clock_range(said: Column) -> Column:
     t = F.split(F.regexp_replace(said, f"(?s)^(?:.*?{HOURS}|).*", "$1 $2 $3 $4"), " ")
 
     def read(t: Column) -> Column:
-        h, m, h2, m2 = [F.get(t, F.lit(i)).try_cast("int") for i in range(4)]
+        h, m, h2, m2 = [F.nullif(F.get(t, F.lit(i)), F.lit("")).try_cast("int") for i in range(4)]  # a cast that fails is slow
         m, m2 = F.coalesce(m, F.lit(0)), F.coalesce(m2, F.lit(0))
         return F.when((h < 24) & (h2 < 24) & (m < 60) & (m2 < 60), F.struct((h * 60 + m).alias("first"), (h2 * 60 + m2).alias("last")))
 
@@ -42,42 +42,37 @@ def instants(span: Column, clock: Column) -> tuple[Column, Column]:
     return F.when(whole, dates.berlin_midnight(span["first"])).otherwise(start), F.when(whole, dates.berlin_midnight(span["end"])).otherwise(end)
 
 
-def _addresses(scopes: Column) -> Column:
-    """struct(location, organizer): the lines of the first block, and the first line under an organiser's label."""
-    none = F.lit(None).cast("string")
+def _organizer(block: Column) -> Column:
+    """The first line that an organiser's label governs: of labels and lines with a text, the one right after it."""
+    said = lambda field, kind: F.transform(F.filter(block[field], lambda x: x["t"].isNotNull()), lambda x: F.struct(x["n"].alias("n"), F.lit(kind).alias("kind"), x["t"].alias("t")))
 
-    def block(s: Column) -> Column:
-        start = F.struct(none.alias("label"), none.alias("organizer"), F.array().cast("array<string>").alias("lines"))
+    def first(s: Column) -> Column:
+        after = lambda x, i: (x["kind"] == 1) & (F.get(s, i - 1)["kind"] == 0) & (text.casefold(F.get(s, i - 1)["t"]) == ORGANISER)
+        return F.get(F.filter(s, after), F.lit(0))["t"]
 
-        def step(a: Column, x: Column) -> Column:
-            label, line = x["field"] == "label", (x["field"] == "line") & x["t"].isNotNull()
-            plain = line & ~F.array_contains(F.split(F.coalesce(x["attrs"]["class"], F.lit("")), r"\s+"), LINKED)
-            return F.struct(
-                F.when(label & x["t"].isNotNull(), text.casefold(x["t"])).otherwise(a["label"]).alias("label"), F.coalesce(a["organizer"], F.when(line & (a["label"] == ORGANISER), x["t"])).alias("organizer"),
-                F.when(plain, F.array_append(a["lines"], x["t"])).otherwise(a["lines"]).alias("lines"),
-            )
-
-        return F.aggregate(s["found"], start, step, lambda a: F.struct(a["lines"], a["organizer"]))
-
-    blocks = F.transform(F.filter(scopes, lambda s: s["search"] == "address"), block)
-    organizers = F.filter(F.transform(blocks, lambda b: b["organizer"]), lambda o: o.isNotNull())
-    return F.struct(F.nullif(F.array_join(F.array_distinct(F.get(blocks, F.lit(0))["lines"]), ", "), F.lit("")).alias("location"), F.get(organizers, F.lit(0)).alias("organizer"))
+    return F.when(F.exists(block["label"], lambda x: text.casefold(x["t"]) == ORGANISER), F.get(F.transform(F.array(F.array_sort(F.concat(said("label", 0), said("line", 1)))), first), F.lit(0)))
 
 
 def parse(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """An observation for each page with a title, a description and a date in it. pages: source_id, url, body."""
     hashed = pages.select(*PAGE, "body", F.sha2("body", 256).alias("raw_content_hash"))
-    searches = {"page": ("", {"title": TITLE, "description": DESCRIPTION, "link": LINKS}), "address": (ADDRESS, {"line": f".{LINE}", "label": LABEL})}
-    found = gathered(hashed, searches) if "body" in nodes.columns else gathered(nodes, searches).join(hashed.drop("body"), PAGE)
-    site = lambda x: (x["field"] == "link") & (text.casefold(x["t"]) == WEBSITE) & F.trim(x["attrs"]["href"]).rlike("^https?://")
-    heads = found.withColumn("found", F.get(F.filter("scopes", lambda s: s["search"] == "page"), F.lit(0))["found"])
-    named = heads.withColumns({"title": pick("title")["t"], "description": pick("description")["t"], "site": F.trim(F.get(F.filter("found", site), F.lit(0))["attrs"]["href"])})
-    known = named.filter("title is not null and description is not null").withColumn("span", dates.german_range(F.col("description"))).filter("span is not null").withColumn("clock", clock_range(F.col("description")))
-    rows = known.withColumn("blocks", _addresses(F.col("scopes")))
+    searches = {"page": ("", {"title": TITLE, "description": DESCRIPTION, "link": LINKS}), "address": (ADDRESS, {"line": f".{LINE}", "plain": f".{LINE}:not(.{LINKED})", "label": LABEL})}
+    attrs = {"link": ("href",)}
+    found = gathered(hashed, searches, attrs) if "body" in nodes.columns else gathered(nodes, searches, attrs).join(hashed.drop("body"), PAGE)
+    site = lambda x: (text.casefold(x["t"]) == WEBSITE) & F.trim(x["href"]).rlike("^https?://")
+    heads = found.withColumn("found", F.get("page", F.lit(0)))
+    lines = F.array_distinct(F.get("address", F.lit(0))["plain"]["t"])
+    organizers = F.filter(F.transform("address", _organizer), lambda o: o.isNotNull())
+    named = heads.select(
+        *PAGE, "raw_content_hash", pick("title")["t"].alias("title"), pick("description")["t"].alias("description"), F.trim(F.get(F.filter("found.link", site), F.lit(0))["href"]).alias("site"),
+        F.nullif(F.array_join(lines, ", "), F.lit("")).alias("location"), F.get(organizers, F.lit(0)).alias("organizer"),
+    )
+    span = F.explode_outer(F.array(dates.german_range(F.when(F.col("title").isNotNull(), F.col("description")))))  # so that the filter doesn't work it out once more
+    rows = named.withColumn("span", span).filter("span is not null").withColumn("clock", clock_range(F.col("description")))
     start, end = instants(F.col("span"), F.col("clock"))
     path = F.regexp_replace("url", "^[a-zA-Z]+://[^/?#]*|[?#].*$", "")
     ident = F.coalesce(F.nullif(F.regexp_extract(path, r"-(\d+)/?$", 1), F.lit("")), text.casefold(F.col("title")))
-    whole = rows.select(*PAGE, "raw_content_hash", F.lit(0).alias("row"), "title", "description", "site", "blocks.*", start.alias("start"), end.alias("end"), F.col("clock").isNull().alias("all_day"), ident.alias("ident"))
+    whole = rows.select(*PAGE, "raw_content_hash", F.lit(0).alias("row"), "title", "description", "site", "location", "organizer", start.alias("start"), end.alias("end"), F.col("clock").isNull().alias("all_day"), ident.alias("ident"))
     return observed(
         whole, "row", title=F.col("title"), start=F.col("start"), end=F.col("end"), all_day=F.col("all_day"), location=F.col("location"), description=F.col("description"), organizer=F.col("organizer"),
         event_url=F.coalesce("site", "url"), source_x_id=F.concat(F.lit("detail:"), "ident", F.lit(":"), dates.iso_berlin(F.col("start"))),

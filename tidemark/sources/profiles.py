@@ -35,7 +35,7 @@ def attr(name: str) -> Column:
 
 def pick(field: str) -> Column:
     """The first element of a field, of those found in a scope (see gathered)."""
-    return F.get(F.filter("found", lambda x: x["field"] == field), F.lit(0))
+    return F.get(F.col("found")[field], F.lit(0))
 
 
 def picked(*fields: str) -> dict[str, Column]:
@@ -43,10 +43,10 @@ def picked(*fields: str) -> dict[str, Column]:
     return {f: pick(f)["t"] for f in fields}
 
 
-def scoped(nodes: DataFrame, scope: str, fields: dict[str, str], pieces: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each element that scope selects: row, found, and what else is known of its page."""
-    rows = gathered(nodes, {"scope": (scope, fields)}, pieces)
-    return rows.withColumn("s", F.explode("scopes")).select(*[c for c in rows.columns if c != "scopes"], "s.row", "s.found")
+def scoped(nodes: DataFrame, scope: str, fields: dict[str, str]) -> DataFrame:
+    """A row for each element that scope selects: row, found (with the addresses of links), and what else is known of its page."""
+    rows = gathered(nodes, {"scope": (scope, fields)}, {"link": ("href",)})
+    return rows.withColumn("found", F.explode("scope")).select(*[c for c in rows.columns if c != "scope"], "found.row", "found")
 
 
 #: What finish needs to know of a page.
@@ -64,7 +64,7 @@ def listing(nodes: DataFrame) -> DataFrame:
     """Blocks with day, month, year, time and title in elements of their own."""
     parts = ("cal-list-title", "cal-date-day", "cal-date-month", "cal-date-year", "cal-date-time", "cal-list-type", "cal-list-teaser", "cal-list-place")
     found = scoped(nodes, ".cal-list-event", {p: f".{p}" for p in parts} | {"link": ".cal-button a[href]"})
-    rows = found.withColumns(picked(*parts) | {"link": pick("link")["attrs"]["href"]}).filter("`cal-date-time` is not null")
+    rows = found.withColumns(picked(*parts) | {"link": pick("link")["href"]}).filter("`cal-date-time` is not null")
     when = F.concat(F.concat("cal-date-day", F.lit(".")), F.lit(" "), "cal-date-month", F.lit(" "), "cal-date-year")
     ident = F.nullif(F.regexp_extract("link", r"/(\d+)/detail(?:$|[?#])", 1), F.lit(""))
     c = F.col
@@ -74,8 +74,8 @@ def listing(nodes: DataFrame) -> DataFrame:
 def table_rows(nodes: DataFrame) -> DataFrame:
     """Rows of a table: date, time, title; short rows and those without a clock time are skipped."""
     cells = scoped(nodes, "table.ce-table tr", {"cell": "td"})
-    cell = lambda i: F.coalesce(F.get("found", F.lit(i))["t"], F.lit(""))
-    return raw(cells.filter(F.size("found") >= 3), title=F.nullif(cell(2), F.lit("")), when=F.regexp_substr(cell(0), F.lit(r"\d{1,2}\.\d{1,2}\.20\d{2}")), time=cell(1)).filter(r"time rlike '\\d{1,2}[.:]\\d{2}'")
+    cell = lambda i: F.coalesce(F.get("found.cell", F.lit(i))["t"], F.lit(""))
+    return raw(cells.filter(F.size("found.cell") >= 3), title=F.nullif(cell(2), F.lit("")), when=F.regexp_substr(cell(0), F.lit(r"\d{1,2}\.\d{1,2}\.20\d{2}")), time=cell(1)).filter(r"time rlike '\\d{1,2}[.:]\\d{2}'")
 
 
 def dated_list(nodes: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def dated_list(nodes: DataFrame) -> DataFrame:
 def cards(nodes: DataFrame) -> DataFrame:
     """Cards with a headline, a date or range in bold, and a link to the event."""
     found = scoped(nodes, "main .wrapper-inner", {"title": "h2.ce_headline", "when": ".ce_text strong", "body": ".ce_text", "link": 'a[title="Zur Veranstaltung"][href]'})
-    rows = found.withColumns(picked("title", "when", "body") | {"link": pick("link")["attrs"]["href"]}).filter("title is not null and when is not null and link is not null")
+    rows = found.withColumns(picked("title", "when", "body") | {"link": pick("link")["href"]}).filter("title is not null and when is not null and link is not null")
     at = F.position(F.col("when"), F.col("body"))
     rest = F.when(at > 0, F.concat(F.substring("body", F.lit(1), at - 1), F.substring("body", at + F.length("when"), F.length("body")))).otherwise(F.col("body"))
     ident = text.slug(F.regexp_replace("link", "^[a-zA-Z]+://[^/]*|[?#].*$", ""))
